@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, toxicity
+from . import bpe, mixing, quotes, simhash, substrings, topk, toxicity, training_order, url_rules, vectors
 from .common import table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = training_order.tokenised(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
+    return training_order.shards(tokens).select(
+        "shard", "first_slot", "n", "doc_ids", "parts",
+        F.length("payload").alias("n_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+    )
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
 
@@ -25,6 +45,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "score", "predicted", "toxic_in_lang")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select(
@@ -73,10 +101,29 @@ FROM rated
 """
 
 
+TOP_K_SQL = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM ok q JOIN ok c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def queries() -> dict:
-    own = (op2_simhash_near_dedup, op6_byte_level_bpe, op7_toxicity, op10_mixing)
+    own = (
+        op1_embedding_near_dedup, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_top_k,
+        op5_training_order, op6_byte_level_bpe, op7_toxicity, op8_url_filter,
+        op9_chat_quotation_linking, op10_mixing,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": MIXING_SQL}
+    return {"op4_exact_top_k": TOP_K_SQL, "op10_mixing": MIXING_SQL}
