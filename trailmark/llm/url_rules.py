@@ -1,8 +1,10 @@
 """URL filters by association rules.
 
 Native: SQL functions, joins and Spark's FP-growth.  Explicit host and path rules label some URLs; the
-token combinations that go with a label are mined from those, pruned by support and confidence, and
-judge the URLs that no explicit rule fits.  A mined rule is found through its rarest token.
+token combinations that go with the label block are mined, pruned by support and confidence, and judge
+the URLs that no explicit rule fits.  URLs without a label count against a combination, so it must be
+blocked wherever it is seen, not only where somebody looked.  A mined rule is found through its rarest
+token.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-SUPPORT, CONFIDENCE = 0.01, 0.9
+SUPPORT, CONFIDENCE = 0.01, 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)\??([^#]*)"
 
@@ -47,6 +49,10 @@ def explicit_rule(host: Column, path: Column, rules: Sequence = RULES) -> tuple[
     return name, verdict
 
 
+def _tagged_with(tag: str):
+    return lambda x: F.concat(F.lit(tag), x)
+
+
 def tokens_of(url: Column) -> Column:
     """Distinct tokens: host labels, path segments with digits as #, names of query parameters."""
     tagged = []
@@ -55,23 +61,22 @@ def tokens_of(url: Column) -> Column:
         ("p=", F.regexp_replace(path_of(url), "[0-9]+", "#"), "/"),
         ("q=", F.regexp_replace(F.coalesce(F.regexp_extract(url, _SHAPE, 3), F.lit("")), "=[^&]*", ""), "&"),
     ):
-        parts = F.filter(F.split(text, cut), lambda x: x != "")
-        tagged.append(F.transform(parts, lambda x, tag=tag: F.concat(F.lit(tag), x)))
+        found = F.filter(F.split(text, cut), lambda x: x != "")
+        tagged.append(F.transform(found, _tagged_with(tag)))
     return F.array_distinct(F.concat(*tagged))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(seen: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(antecedent, confidence, support): token combinations that go with the verdict block.
 
-    ``labelled`` has tokens and verdict.  A rule that contains a smaller kept rule says nothing new
-    and goes.  No labelled row gives no rules.
+    ``seen`` has tokens and verdict, null where there is no label.  A rule that contains a smaller kept
+    rule says nothing new and goes.  No labelled row gives no rules.
     """
-    spark = labelled.sparkSession
-    empty = "antecedent array<string>, confidence double, support double"
-    if labelled.isEmpty():
-        return spark.createDataFrame([], empty)
-    says = F.array(F.concat(F.lit("verdict="), "verdict"))
-    baskets = labelled.select(F.concat("tokens", says).alias("items"))
+    spark = seen.sparkSession
+    if seen.where("verdict is not null").isEmpty():
+        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    says = F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit("verdict="), "verdict")))
+    baskets = seen.select(F.concat("tokens", F.coalesce(says, F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     kept = model.associationRules.where(
         (F.col("consequent") == F.array(F.lit("verdict=block"))) & ~F.exists("antecedent", lambda x: x.startswith("verdict="))
@@ -121,10 +126,10 @@ def judge(
     name, verdict = explicit_rule(F.col("host"), F.col("path"), rules)
     seen = pages.select("page_id", "url").withColumns({"host": host_of(url), "path": path_of(url)})
     seen = seen.withColumns({"rule": name, "own": verdict})
-    labelled = seen.where("own is not null").select(tokens_of(url).alias("tokens"), F.col("own").alias("verdict"))
+    baskets = seen.where("host <> ''").select(tokens_of(url).alias("tokens"), F.col("own").alias("verdict"))
     open_urls = seen.where("own is null and host <> ''").select("url").distinct()
     open_urls = open_urls.withColumn("tokens", tokens_of(url))
-    found = matches(open_urls, mine(labelled, support, confidence), labelled)
+    found = matches(open_urls, mine(baskets, support, confidence), baskets)
     said = F.coalesce("own", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"))
     return seen.join(found, "url", "left").select(
         "page_id", "host", "path", "rule", said.alias("verdict"),
