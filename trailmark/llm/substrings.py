@@ -26,7 +26,7 @@ from .toxicity import utf8
 SPAN, GRAM = 200, 32
 _HASH = 8  # a suffix's sort key starts with the hash of its gram, so that ranges come out even
 #: Suffixes of one sorted run at most, and bytes whose anchors are looked for at once.
-RUN, CHUNK = 50_000, 1 << 18
+RUN, CHUNK = 12_000, 1 << 18
 
 _BYTE = np.random.default_rng(200).integers(0, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -80,26 +80,27 @@ def _chunks(starts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """(d, t, text, keep...): a row's key is its doc_id (null: 0) and a hash of its text.
+    """(_d, _t, _text, keep...): tables are dealt by _d, a hash of doc_id and text, and what is removed
+    also needs the same _t, another hash of the text.
 
-    Rows that share a key have the same text, so what is removed from one is removed from all.
+    Rows that share both have the same text, so what is removed from one is removed from all.
     """
     text = text_of(docs)
     return docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_d"),
-        F.xxhash64(text).alias("_t"),
+        F.xxhash64(docs["doc_id"].cast("long"), text).alias("_d"),
+        F.xxhash64(F.lit(SPAN), text).alias("_t"),
         text.alias("_text"),
         *[docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)],
     )
 
 
 def _grams(texts: DataFrame, span: int) -> DataFrame:
-    """(_d, _t, gram, n): the anchors of each text by gram."""
+    """(_d, gram, n): the anchors of each text by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = utf8(batch.column(2))
-            d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, starts = utf8(batch.column(1))
+            d = batch.column(0).to_numpy()
             for i, j in _chunks(starts):
                 at, h = anchors(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], span)
                 if not len(at):
@@ -112,11 +113,11 @@ def _grams(texts: DataFrame, span: int) -> DataFrame:
                 n = np.diff(np.append(begin, len(h)))
                 owner = owner[begin]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[owner]), pa.array(t[owner]), pa.array(h[begin].view(np.int64)), pa.array(n)],
-                    ["_d", "_t", "gram", "n"],
+                    [pa.array(d[owner]), pa.array(h[begin].view(np.int64)), pa.array(n.astype(np.int32))],
+                    ["_d", "gram", "n"],
                 )
 
-    return texts.select("_d", "_t", "_text").mapInArrow(run, "_d long, _t long, gram long, n long")
+    return texts.select("_d", "_text").mapInArrow(run, "_d long, gram long, n int")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -137,11 +138,13 @@ def front_code(entries: list[tuple]) -> bytes:
     numbers = np.array([e[2:] for e in entries], np.int64)
     sizes = np.array([lcp, list(map(len, rest)), list(map(len, left))], np.uint16)
     head = np.array([len(entries)], np.int64)
-    return b"".join([head.tobytes(), numbers.tobytes(), sizes.tobytes(), *rest, *left])
+    raw = b"".join([head.tobytes(), numbers.tobytes(), sizes.tobytes(), *rest, *left])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def read_run(run: bytes) -> Iterator[tuple]:
     """(key, lcp with the key before, left, d, t, at) of a front-coded run, in order."""
+    run = pa.decompress(run[8:], int.from_bytes(run[:8], "little"), "zstd", asbytes=True)
     n = int(np.frombuffer(run, np.int64, 1)[0])
     numbers = np.frombuffer(run, np.int64, 3 * n, 8).reshape(n, 3).tolist()
     lcp, rest, left = np.frombuffer(run, np.uint16, 3 * n, 8 + 24 * n).reshape(3, n).tolist()
@@ -257,9 +260,9 @@ def _runs(met: DataFrame, buckets: int, span: int) -> DataFrame:
         seen: dict[tuple[bytes, bytes], list] = {}
         held = 0
         for batch in batches:
-            data, starts = utf8(batch.column(2))
-            d, t = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wanted = batch.column(3)
+            data, starts = utf8(batch.column("_text"))
+            d, t = batch.column("_d").to_pylist(), batch.column("_t").to_pylist()
+            wanted = batch.column("grams")
             for i, j in _chunks(starts):
                 at, h = anchors(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], span)
                 at = at + starts[i]
@@ -286,7 +289,7 @@ def _runs(met: DataFrame, buckets: int, span: int) -> DataFrame:
             yield from _made(seen, buckets)
 
     schema = "bucket int, run binary, d array<long>, t array<long>, start array<long>, end array<long>"
-    return met.select("_d", "_t", "_text", "grams").mapInArrow(run, schema)
+    return met.mapInArrow(run, schema)  # all columns, so that the exchange of the texts is used twice
 
 
 _LONGS = pa.list_(pa.int64())
@@ -303,7 +306,7 @@ def _made(seen: dict, buckets: int) -> Iterator[pa.RecordBatch]:
         by.setdefault(bucket, []).append((key, left, d, t, p))
         if len(places) > 1:
             for d, t, p in places:
-                known.setdefault(t % buckets, []).append((d, t, p - len(left), p + len(key) - _HASH))
+                known.setdefault(d % buckets, []).append((d, t, p - len(left), p + len(key) - _HASH))
     rows = [(b, front_code(entries), [], [], [], []) for b, entries in by.items()]
     rows += [(b, None, *map(list, zip(*some, strict=True))) for b, some in known.items()]
     kinds = [pa.int32(), pa.binary(), _LONGS, _LONGS, _LONGS, _LONGS]
@@ -359,15 +362,15 @@ def _repeats(runs: list[bytes], span: int) -> list[tuple[int, int, int, int]]:
 
 
 def repeated(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """(_d, _t, spans): the repeated bytes of keyed texts as structs of start and end."""
+    """(_d, spans): the repeated bytes of keyed texts as structs of _t, start and end."""
     spark = texts.sparkSession
     grams = settle(_grams(texts, span))
-    often = grams.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram")
-    wanted = grams.join(often, "gram").groupBy("_d", "_t").agg(F.collect_set("gram").alias("grams"))
-    met = texts.join(wanted, ["_d", "_t"]).select("_d", "_t", "_text", "grams")
+    often = grams.groupBy("gram").agg(F.sum(F.col("n").cast("long")).alias("all")).where("all > 1").select("gram")
+    wanted = grams.join(often, "gram").groupBy("_d").agg(F.collect_set("gram").alias("grams"))
+    met = texts.join(wanted, "_d")
     buckets = parts(spark, 4)
     found = _merged(_runs(met, buckets, span), buckets, span)
-    return found.groupBy("_d", "_t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return found.groupBy("_d").agg(F.collect_set(F.struct("_t", "start", "end")).alias("spans"))
 
 
 def union_spans(spans: list[dict]) -> list[tuple[int, int]]:
@@ -384,7 +387,7 @@ def union_spans(spans: list[dict]) -> list[tuple[int, int]]:
 def _cut(docs: DataFrame, keep: list[str], span: int, row, fields: str) -> DataFrame:
     """Runs ``row`` (a text's bytes, what is left of them, removed runs) over every row of ``docs``."""
     texts = _keyed(docs, keep)
-    met = texts.join(repeated(texts, span), ["_d", "_t"], "left").drop("_d", "_t")
+    met = texts.join(repeated(texts, span), "_d", "left").drop("_d")
     types = [docs.schema[c].dataType.simpleString() for c in keep]
     schema = ", ".join([f"`_keep{i}` {t}" for i, t in enumerate(types)] + [fields])
     names = [f"_keep{i}" for i in range(len(keep))] + [f.split()[0] for f in fields.split(", ")]
@@ -395,9 +398,10 @@ def _cut(docs: DataFrame, keep: list[str], span: int, row, fields: str) -> DataF
         for batch in batches:
             data, starts = utf8(batch.column("_text"))
             rows = []
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
+            own = batch.column("_t").to_pylist()
+            for k, spans in enumerate(batch.column("spans")):
                 text = data[starts[k] : starts[k + 1]].tobytes()
-                gone = union_spans(spans or [])
+                gone = union_spans([x for x in spans.as_py() or [] if x["_t"] == own[k]])
                 if gone:
                     edges = [0, *(x for s in gone for x in s), len(text)]
                     left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
