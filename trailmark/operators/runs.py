@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 
@@ -59,7 +60,7 @@ def pack(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, most
     Where a pack begins depends on all before it, which no window can say; groups are tracks of one
     session.
     """
-    schema = df.schema.add("pack", "int")
+    schema = StructType([*df.schema, StructField("pack", IntegerType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(order), kind="stable")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.query import Operand, parse
@@ -16,6 +17,8 @@ WEIGHTS = {"session": 4.0, "message": 1.5, "pullRequest": 3.0, "toolCall": 1.0,
 #: Characters indexed of a text, and characters of a token that are not indexed.
 CAP, LONG_TOKEN = 32_768, 2_040
 
+_SEGMENT = StructType([StructField("text", StringType()), StructField("highlighted", BooleanType())])
+
 
 def cap(text: Column) -> Column:
     """What is indexed of a text: without over-long tokens, CAP characters, without a token cut at the end."""
@@ -121,7 +124,7 @@ def snippets(page_rows: DataFrame, text: str, query: str, words: int = 35) -> Da
     segments.  Meant for one page; at most 32 segments and 4,000 characters."""
     branches = parse(query)
     wanted = [(o.lexemes[0], o.prefix) for b in branches for o in b if not o.excluded]
-    schema = page_rows.schema.add("snippet", "array<struct<text:string,highlighted:boolean>>")
+    schema = StructType([*page_rows.schema, StructField("snippet", ArrayType(_SEGMENT))])
 
     def lit(word: str) -> bool:
         plain = "".join(c for c in word.lower() if c.isalnum())

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from .runs import number_runs
 
@@ -18,8 +18,8 @@ LOOP, CORRECTION = 3, 2
 #: Counts from which a signal becomes a lesson.
 REWORK, REPROMPTS, ABORTS, COMPACTIONS = 3, 2, 2, 2
 
-_SESSION = Window.partitionBy("session_id").orderBy("seq")
-_BEFORE = _SESSION.rowsBetween(Window.unboundedPreceding, -1)
+def _session() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("seq")
 
 
 def _is(kind: str) -> Column:
@@ -40,7 +40,7 @@ def error_loops(events: DataFrame, least: int = LOOP) -> DataFrame:
     failure or any other result ends a row; events of other kinds don't."""
     results = named_results(events)
     failed = F.coalesce(F.col("status") == "failure", F.lit(False))
-    prior = F.lag(F.when(failed, F.col("tool"))).over(_SESSION)
+    prior = F.lag(F.when(failed, F.col("tool"))).over(_session())
     runs = number_runs(results, ["session_id"], ["seq"], ~(failed & prior.eqNullSafe(F.col("tool"))))
     return (
         runs.where(failed)
@@ -57,9 +57,9 @@ def prompts(events: DataFrame) -> DataFrame:
     real = _is("userMessage") & ~F.coalesce("is_meta", F.lit(False))
     kept = events.where(real | ~_is("userMessage"))
     kept = kept.withColumns({
-        "_asked": F.sum(real.cast("int")).over(_BEFORE),
+        "_asked": F.sum(real.cast("int")).over(_session().rowsBetween(Window.unboundedPreceding, -1)),
         "_failed": (_is("toolResult") & (F.col("status") == "failure")).cast("int"),
-        "_previous": F.lag("kind").over(_SESSION),
+        "_previous": F.lag("kind").over(_session()),
     })
     since = Window.partitionBy("session_id", "_asked").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     kept = kept.withColumn("_failures", F.sum(F.coalesce("_failed", F.lit(0))).over(since))

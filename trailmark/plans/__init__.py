@@ -1 +1,8 @@
-"""Query catalogue over the driver tables."""
+"""Query catalogue over the driver tables: every query with its SQL, by topic."""
+
+from __future__ import annotations
+
+from . import learning, projects, review, sessions, text, windows, writes
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "learning", "projects", "review", "sessions", "text", "windows", "writes"]
