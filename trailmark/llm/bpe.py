@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import map_arrow, text_of
 
 #: Entries of one generation of remembered pieces; two generations are kept.
 REMEMBERED = 300_000
@@ -191,7 +191,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, row, fields: str, keep: li
                     [*(some.column(i) for i in range(len(keep))), *made], [*keep, *names]
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def encode_digest(docs: DataFrame, path: str, pattern: str, keep=("doc_id",)) -> DataFrame:

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 #: Fixed value: a word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of one Arrow batch, where a session leaves Spark's own 64 MB: a batch of whole texts exists in
+#: the JVM and in Python at once, in every task.
+BATCH = 8 << 20
+_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _ours: dict[str, list[str]] = {}
 
 
@@ -68,6 +73,14 @@ def parts(spark: SparkSession, factor: int = 1) -> int:
     return factor * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH bytes; a setting of the session's own is left alone."""
+    conf = df.sparkSession.conf
+    if conf.get(_SIZE, "64MB").lower() in ("64mb", "64m", "67108864b", "67108864"):
+        conf.set(_SIZE, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column, null taken as empty."""
     return F.coalesce(df[column], F.lit(""))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, settle, text_of
+from .common import map_arrow, parts, settle, text_of
 from .components import components
 
 #: Fixed value: the seed of the shingles' XXH64.
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int, sketch: bool = False) -> DataFrame
                 columns += [pa.array(anchors, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")), run, schema)
 
 
 def block_keys(fp: Column, radius: int) -> Column:
@@ -259,7 +259,7 @@ def links(rows: DataFrame, radius: int, least: float | None = None, piece: int =
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    return met.mapInArrow(run, "u long, v long")
+    return map_arrow(met, run, "u long, v long")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[pa.Table]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, settle, text_of
+from .common import map_arrow, parts, settle, text_of
 from .simhash import whole_groups
 from .toxicity import utf8
 
@@ -117,7 +117,7 @@ def _grams(texts: DataFrame, span: int) -> DataFrame:
                     ["_d", "gram", "n"],
                 )
 
-    return texts.select("_d", "_text").mapInArrow(run, "_d long, gram long, n int")
+    return map_arrow(texts.select("_d", "_text"), run, "_d long, gram long, n int")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -289,7 +289,7 @@ def _runs(met: DataFrame, buckets: int, span: int) -> DataFrame:
             yield from _made(seen, buckets)
 
     schema = "bucket int, run binary, d array<long>, t array<long>, start array<long>, end array<long>"
-    return met.mapInArrow(run, schema)  # all columns, so that the exchange of the texts is used twice
+    return map_arrow(met, run, schema)  # all columns, so that the exchange of the texts is used twice
 
 
 _LONGS = pa.list_(pa.int64())
@@ -337,7 +337,7 @@ def _merged(runs: DataFrame, buckets: int, span: int) -> DataFrame:
                     )
 
     dealt = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "_d long, _t long, start long, end long")
+    return map_arrow(dealt, run, "_d long, _t long, start long, end long")
 
 
 def _repeats(runs: list[bytes], span: int) -> list[tuple[int, int, int, int]]:
@@ -414,7 +414,7 @@ def _cut(docs: DataFrame, keep: list[str], span: int, row, fields: str) -> DataF
             kept = [batch.column(f"_keep{i}") for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, *made], names)
 
-    out = met.mapInArrow(run, schema)
+    out = map_arrow(met, run, schema)
     return out.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], *names[len(keep) :])
 
 

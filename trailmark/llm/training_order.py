@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, settle, text_of
+from .common import map_arrow, parts, settle, text_of
 from .simhash import whole_groups
 
 KEY = 20_250_101
@@ -82,7 +82,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = [np.array(coder.encode_ordinary(t.as_py()), "<u2").tobytes() for t in some.column(1)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], ["doc_id", "token_ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of(docs)).mapInArrow(run, "doc_id long, token_ids binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_of(docs)), run, "doc_id long, token_ids binary")
 
 
 def sequences(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -111,7 +111,8 @@ def sequences(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
                 )
                 place += n
 
-    return tokens.select("doc_id", "token_ids").mapInArrow(
+    return map_arrow(
+        tokens.select("doc_id", "token_ids"),
         run, "task int, place long, doc_id long, part int, ids binary"
     )
 
@@ -168,7 +169,8 @@ def shards(
                     ["shard", "first_slot", "n", "payload", "doc_ids", "parts"],
                 )
 
-    return dealt.mapInArrow(
+    return map_arrow(
+        dealt,
         run, "shard long, first_slot long, n long, payload binary, doc_ids array<long>, parts array<int>"
     )
 
