@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quotes, simhash, substrings, topk, toxicity, training_order, url_rules, vectors
+from . import bpe, mixing, quotes, simhash, sql, substrings, topk, toxicity, training_order, url_rules, vectors
 from .common import table
 
 
@@ -64,58 +64,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Shares by weight 5, 2, 1; the sources that stop at three times their size are the first by
-#: size / weight, so the share is the one of the shortest such list that leaves none above.
-MIXING_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, text, source,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
-  FROM documents),
-by_source AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
-         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
-  FROM sized GROUP BY source),
-ordered AS (
-  SELECT *, row_number() OVER (ORDER BY source_size * 3.0 / weight, source NULLS LAST) AS k
-  FROM by_source),
-shares AS (
-  SELECT k, source_size * 3 AS most, weight,
-         (sum(source_size) OVER ()
-          - coalesce(sum(source_size * 3) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-         )::DOUBLE / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS share
-  FROM ordered),
-final AS (SELECT share FROM shares WHERE share * weight <= most ORDER BY k LIMIT 1),
-targets AS (
-  SELECT source, source_size, CASE WHEN share * weight > source_size * 3
-         THEN (source_size * 3)::DOUBLE ELSE share * weight END AS target
-  FROM by_source, final),
-rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('mix-42|' || coalesce(s.doc_id::VARCHAR, s.text, '')), 1, 12))::BIGINT
-         / 281474976710656.0::DOUBLE AS draw
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rated
-"""
-
-
-TOP_K_SQL = """
-WITH ok AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
-         list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM ok q JOIN ok c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
-  FROM scored)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
-"""
-
-
 def queries() -> dict:
     own = (
         op1_embedding_near_dedup, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_top_k,
@@ -126,4 +74,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": TOP_K_SQL, "op10_mixing": MIXING_SQL}
+    return {
+        "op1_embedding_near_dedup": sql.VECTORS_SQL, "op3_suffix_array_dedup": sql.SUFFIX_SQL, "op4_exact_top_k": sql.TOP_K_SQL,
+        "op8_url_filter": sql.URLS_SQL, "op9_chat_quotation_linking": sql.QUOTES_SQL, "op10_mixing": sql.MIXING_SQL,
+    }
