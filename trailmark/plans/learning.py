@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from ..functions import decisions
-from ..operators import scheduling
+from ..operators import learning, scheduling
 from ..operators.read import in_domain_order
 from .registry import load, query
 
@@ -153,3 +153,56 @@ def not_one_off(spark, sf_dir):
         F.count_distinct("l_orderkey").alias("sessions"), F.max("l_quantity").alias("worst"), F.sum("l_linenumber").alias("evidence")
     )
     return by.where("sessions > 1 or worst >= 40 or evidence >= 3")
+
+
+@query("""
+WITH free AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS ids FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
+SELECT c_custkey AS group_id, CASE WHEN ids IS NULL THEN 'skipped' WHEN c_acctbal < 0 OR c_mktsegment = 'BUILDING' THEN 'linked'
+  WHEN c_mktsegment = 'FURNITURE' THEN 'dropped' WHEN c_nationkey = 0 THEN 'created' ELSE 'updated' END AS action,
+  coalesce(array_to_string(ids, ','), '') AS problem_ids
+FROM customer LEFT JOIN free ON o_custkey = c_custkey WHERE c_custkey IN (SELECT o_custkey FROM orders)
+""")
+def save_groups(spark, sf_dir):
+    """What saving each group of problems does; problems of finished orders are marked already."""
+    customer, orders = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
+    ids = orders.groupBy(F.col("o_custkey").alias("group_id")).agg(F.collect_set("o_orderkey").alias("problem_ids"))
+    segment = F.col("c_mktsegment")
+    groups = customer.select(
+        F.col("c_custkey").alias("group_id"), F.when(F.col("c_nationkey") != 0, F.col("c_custkey")).alias("learning_id"),
+        F.when((segment == "BUILDING") | (F.col("c_acctbal") < 0), "link").when(segment == "FURNITURE", "drop").otherwise("learning").alias("verdict"),
+    ).join(ids, "group_id")
+    problems = orders.select(F.col("o_orderkey").alias("problem_id"), F.when(F.col("o_orderstatus") == "F", F.lit(1)).alias("learning_run_id"))
+    known = customer.select(F.col("c_custkey").alias("learning_id"), F.when(F.col("c_acctbal") < 0, "rejected").otherwise("open").alias("decision"))
+    out = learning.save_groups(groups, problems, known)
+    return out.select("group_id", "action", F.array_join(F.transform("problem_ids", lambda x: x.cast("string")), ",").alias("problem_ids"))
+
+
+@query("""
+WITH own AS (SELECT o_custkey, bool_or(o_orderstatus = 'P') AS active, bool_or(o_orderstatus = 'F') AS done FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1),
+news AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
+SELECT c_custkey AS session_id, CASE WHEN coalesce(active, false) THEN 'skip' WHEN NOT coalesce(done, false) THEN 'full'
+  WHEN n.o_custkey IS NOT NULL THEN 'newPart' ELSE 'skip' END AS queue
+FROM customer LEFT JOIN own o ON o.o_custkey = c_custkey LEFT JOIN news n ON n.o_custkey = c_custkey
+""")
+def review_batch(spark, sf_dir):
+    """What asking for reviews does: a full one, one of the new part, or nothing."""
+    orders = load(spark, sf_dir, "orders").withColumn("session_id", F.col("o_custkey"))
+    status = F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "done").otherwise("failed")
+    runs = orders.select("session_id", status.alias("status"), F.when(F.col("o_orderpriority") == "5-LOW", "other").otherwise("own").alias("analyzer"))
+    news = orders.where("o_orderdate >= timestamp_ntz '1998-01-01'").select("session_id")
+    return learning.review_batch(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id")), runs, news, "own")
+
+
+@query("""
+SELECT c_custkey AS user_id, c_mktsegment AS slug, CASE WHEN c_nationkey % 2 = 0 THEN 'org' ELSE 'user' END AS owner_kind,
+  CASE WHEN c_nationkey % 2 = 0 THEN 'o' || c_nationkey ELSE c_custkey::VARCHAR END AS owner_id, NOT (c_nationkey % 4 = 0) AS created FROM customer
+""")
+def find_or_create_project(spark, sf_dir):
+    """The owner and project of each request: members of an even organisation ask for it, every second has one."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), "c_nationkey", F.col("c_mktsegment").alias("slug"))
+    name = F.concat(F.lit("Org"), "c_nationkey")
+    members = c.where("c_nationkey % 2 = 0").select("user_id", F.upper(name).alias("org_slug"), F.concat(F.lit("o"), "c_nationkey").alias("org_id"))
+    have = c.where("c_nationkey % 4 = 0").select("slug", F.lit("org").alias("owner_kind"), F.concat(F.lit("o"), "c_nationkey").alias("owner_id")).distinct()
+    asked = c.select("user_id", name.alias("org_slug"), "slug")
+    out = learning.find_or_create(asked, have.withColumn("project_id", F.concat_ws("/", "owner_id", "slug")), members)
+    return out.select(F.col("user_id").cast("long").alias("user_id"), "slug", "owner_kind", "owner_id", "created")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, runs, search
+from ..functions.content import artifact_kind
+from ..operators import filters, learning, read, runs, search
 from ..operators.read import session_details, session_rows
 from .registry import load, query
 
@@ -230,3 +231,59 @@ def evidence_range(spark, sf_dir):
     messages = load(spark, sf_dir, "conversations")
     cited = messages.where("role = 'assistant' and length(text) > 300")
     return runs.around(cited, messages.select("conv_id", "turn", "role"), ["conv_id"], "turn", 2)
+
+
+@query("""
+WITH results AS (SELECT l_orderkey, l_suppkey, arg_min(l_returnflag, l_linenumber * 10000000 + l_partkey) AS status,
+  arg_min(l_linestatus, l_linenumber * 10000000 + l_partkey) AS result FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
+SELECT DISTINCT l.l_orderkey AS session_id, l.l_suppkey AS tool_id, status, result FROM lineitem l
+LEFT JOIN results r ON r.l_orderkey = l.l_orderkey AND r.l_suppkey = l.l_suppkey
+""")
+def calls_with_results(spark, sf_dir):
+    """Calls with their first result; lines that say N are calls without one."""
+    lines = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("tool_id"), F.col("l_returnflag").alias("status"),
+        F.col("l_linestatus").alias("text"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("line"),
+    )
+    return read.calls_with_results(lines.select("session_id", "tool_id").distinct(), lines.where("status <> 'N'"))
+
+
+@query("""
+SELECT o_orderkey AS session_id, o_orderpriority AS branch, min(l_linenumber) FILTER (l_shipdate > o_orderdate) AS anchor
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
+""")
+def branch_anchors(spark, sf_dir):
+    """Where each branch of a session hangs on: the first message after its start."""
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("double")
+    records = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("pos"), seconds("l_shipdate").alias("at"))
+    branches = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderpriority").alias("branch"), seconds("o_orderdate").alias("start"))
+    return read.branch_anchors(records, branches).select("session_id", "branch", "anchor")
+
+
+@query("""
+SELECT l_orderkey AS session_id, coalesce(arg_max(l_partkey, (epoch_ms(l_shipdate) // 1000) * 100000000 + pos) FILTER (l_returnflag <> 'N'),
+  arg_max(l_partkey, pos) FILTER (l_linestatus = 'O')) AS message_id
+FROM (SELECT *, l_linenumber * 10000000 + l_partkey AS pos FROM lineitem) GROUP BY 1
+""")
+def last_message_read(spark, sf_dir):
+    """The latest message of each session by time, else the last line of its main track."""
+    rows = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("message_id"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_shipdate")).alias("ts"), F.when(F.col("l_linestatus") == "O", "main").otherwise("agent:1").alias("track_id"),
+        (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("pos"),
+    )
+    return learning.last_read(rows.withColumn("line", F.col("pos")))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*/([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, path, CASE WHEN starts_with(path, '/') OR list_contains(string_split(path, '/'), '..') THEN 'outside'
+  WHEN regexp_matches(path, '(^|/)(\.env[^/]*|id_rsa|[^/]*\.(pem|key|p12|pfx))$') OR len(list_filter(string_split(path, '/'), lambda x: x IN ('.ssh', '.aws', '.gnupg'))) > 0 THEN 'secret'
+  WHEN len(list_filter(string_split(path, '/'), lambda x: x IN ('node_modules', '.git', 'dist', '__pycache__'))) > 0 THEN 'noise' END AS reason,
+  CASE WHEN regexp_matches(lower(path), '\.(png|jpg|jpeg|gif|webp|svg|ico|pdf|mp3|mp4|mov|wav)$') THEN 'media'
+  WHEN regexp_matches(lower(path), '\.(md|mdx|txt|rst|adoc|html|htm)$') THEN 'docs' ELSE 'code' END AS kind FROM p
+""")
+def artifact_kinds(spark, sf_dir):
+    """What kind of file a path names, and why it must not be uploaded."""
+    pages = load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[^:]*://[^/]*/([^?#]*)", 1).alias("path"))
+    return pages.withColumns({"reason": filters.unsafe_path(F.col("path")), "kind": artifact_kind(F.col("path"), F.lit(False))})
