@@ -24,7 +24,7 @@ from .simhash import whole_groups
 from .toxicity import utf8
 
 SPAN, GRAM = 200, 32
-_HASH = 8  # a suffix's sort key starts with the hash of its gram, so that ranges come out even
+_HASH = 8  # a suffix's sort key starts with the spread hash of its gram, so that ranges come out even
 #: Suffixes of one sorted run at most, and bytes whose anchors are looked for at once.
 RUN, CHUNK = 12_000, 1 << 18
 
@@ -33,6 +33,13 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Gram hashes one to one over the whole range: anchors are the smallest of many, so theirs are small."""
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h * _BASE
+
+
 def _times(exponent: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), exponent, 2**64))
 
@@ -277,7 +284,7 @@ def _runs(met: DataFrame, buckets: int, span: int) -> DataFrame:
                     text = data[starts[k] : starts[k + 1]].tobytes()
                     flipped = text[::-1]
                     size = len(text)
-                    keys = h[a:b][some].astype(">u8").tobytes()
+                    keys = _spread(h[a:b][some]).astype(">u8").tobytes()
                     for x, p in enumerate((at[a:b][some] - starts[k]).tolist()):
                         key = keys[8 * x : 8 * x + 8] + text[p : p + span]
                         seen.setdefault((key, flipped[size - p : size - p + back]), []).append((d[k], t[k], p))
