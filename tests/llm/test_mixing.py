@@ -61,3 +61,9 @@ def test_nothing(spark):
     assert mixing.mix(docs).count() == 0
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], docs.schema)
     assert sorted(map(tuple, mixing.plan(docs).select("mix_size", "mix_target", "mix_copies").collect())) == [(0, 0.0, 0)] * 2
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 1, "y"), (2, None, None, 2, "z")], "doc_id long, text string, source string, mix_rate int, mix_source string")
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "text", "source"] and {r.doc_id for r in out.collect()} <= {1, 2}

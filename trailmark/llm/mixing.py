@@ -90,7 +90,7 @@ def plan(
     the seed and doc_id alone (on the text where doc_id is null), so reruns agree and repeated rows
     share a draw.  Columns of ``docs`` named ``mix_*`` are replaced.  An empty table stays empty.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.withColumn("mix_size", size)
     by = targets(sized.select("source", F.col("mix_size").alias("size")), weights, most)
