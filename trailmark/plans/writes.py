@@ -79,13 +79,13 @@ def tags_rebuild(spark, sf_dir):
 @query("""
 SELECT l_orderkey AS session_id, l_linestatus AS path, arg_min(l_returnflag, ord) AS base, arg_max(l_returnflag, ord) AS content,
   arg_min(l_suppkey, ord) AS change_kind, count(*) AS edit_count
-FROM (SELECT *, (l_linenumber * 10000000 + l_partkey)::BIGINT AS ord FROM lineitem) GROUP BY l_orderkey, l_linestatus
+FROM (SELECT *, ((l_linenumber * 10000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::BIGINT AS ord FROM lineitem) GROUP BY l_orderkey, l_linestatus
 """)
 def artifact_fold(spark, sf_dir):
     """Uploads of a file folded: first base and kind, last content, number of edits."""
     return upsert.fold_artifacts(load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("session_id"), F.col("l_linestatus").alias("path"), F.col("l_returnflag").alias("base"),
-        F.col("l_returnflag").alias("content"), F.col("l_suppkey").alias("change_kind"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("ord"),
+        F.col("l_returnflag").alias("content"), F.col("l_suppkey").alias("change_kind"), F.expr("((l_linenumber * 10000000L + l_partkey) * 10000L + l_suppkey) * 100L + cast(l_quantity as bigint)").alias("ord"),
     ))
 
 
