@@ -314,7 +314,7 @@ def _with_components(signed: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     by = linked.join(least, "component").select("fp", "least")
     ids = nodes.join(by, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return signed.join(ids, "fp")
+    return signed.join(settle(ids), "fp")  # a join by itself, which can split the copies of a hot fingerprint
 
 
 def near_copies(
@@ -337,7 +337,7 @@ def near_copies(
     rows = nodes.select(F.explode("anchors").alias("bucket"), "node", "fp", "sketch")
     found = components(links(rows, radius, least))
     ids = nodes.select("same", "fp", "node").join(found, "node", "left")
-    ids = ids.select("same", "fp", F.coalesce("component", "node").alias("component_id"))
+    ids = settle(ids.select("same", "fp", F.coalesce("component", "node").alias("component_id")))
     return signed.select("doc_id", "same", "fp").join(ids, ["same", "fp"]).select("doc_id", "component_id")
 
 
