@@ -54,7 +54,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, words: int, sketch: bool = False) -> DataFrame:
     """(doc_id, fp) of every whole text (null: empty), and for similarity also ``same``, a hash of
-    its set of shingles, ``sketch``, the smallest of them, and ``anchors``."""
+    its set of shingles, ``sketch``, the upper halves of the smallest of them, and ``anchors``."""
     schema = "doc_id long, fp long"
     if sketch:
         schema += ", same long, sketch binary, anchors array<long>"
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int, sketch: bool = False) -> DataFrame
                 if sketch:
                     own = np.unique(hashes)
                     same.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
-                    kept.append(own[:SKETCH].tobytes())
+                    kept.append(np.unique((own >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
                     anchors.append(own[:ANCHORS].view(np.int64))
             columns = [batch.column(0), pa.array(fp, pa.int64())]
             if sketch:
@@ -174,7 +174,7 @@ def similar(sketches: list[bytes], i: np.ndarray, j: np.ndarray, least: float) -
     """
     out = np.zeros(len(i), bool)
     for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        x, y = np.frombuffer(sketches[a], np.uint64), np.frombuffer(sketches[b], np.uint64)
+        x, y = np.frombuffer(sketches[a], np.uint32), np.frombuffer(sketches[b], np.uint32)
         union = np.sort(np.concatenate([x, y]))
         twice = union[1:] == union[:-1]
         whole = len(x) < SKETCH and len(y) < SKETCH
@@ -223,8 +223,13 @@ def compare(
     return rows[linked], rows[label[linked]]
 
 
-def links(rows: DataFrame, radius: int, least: float | None = None, piece: int = PIECE) -> DataFrame:
-    """(u, v) that connect all near nodes of (bucket, node, fp[, sketch]) rows, bucket by bucket.
+def links(
+    rows: DataFrame, radius: int, least: float | None = None, sketches: DataFrame | None = None, piece: int = PIECE
+) -> DataFrame:
+    """(u, v) that connect all near nodes of (bucket, node, fp[, same]) rows, bucket by bucket.
+
+    With ``least``, what is near must also be as similar by its sketch; ``sketches`` (node, same, fp, sketch)
+    are joined to the rows that share a bucket with others, the only ones that need theirs.
 
     Buckets of one row go.  A bucket of more than ``piece`` rows is cut by a hash of the node, and
     every two cuts are compared in a task of their own, so a hot bucket is spread out and a task
@@ -244,6 +249,8 @@ def links(rows: DataFrame, radius: int, least: float | None = None, piece: int =
         .withColumn("hi", F.greatest("own", "other"))
         .withColumn("side", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("own") == F.col("lo"), 1).otherwise(2))
     )
+    if sketches is not None:
+        met = met.join(sketches, ["node", "same", "fp"])
     keep = ["bucket", "lo", "hi", "side", "node", "fp"] + (["sketch"] if least is not None else [])
     met = met.select(*keep).repartition(parts(spark), "bucket", "lo", "hi")
     met = met.sortWithinPartitions("bucket", "lo", "hi", "node")
@@ -254,8 +261,8 @@ def links(rows: DataFrame, radius: int, least: float | None = None, piece: int =
             bucket, lo, hi, side, node, fp = (whole.column(k).to_numpy() for k in range(6))
             change = np.ones(len(bucket), bool)
             change[1:] = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            sketches = whole.column(6).to_pylist() if least is not None else None
-            u, v = compare(fp.view(np.uint64), np.cumsum(change), side, radius, sketches, least or 0.0)
+            own = whole.column(6).to_pylist() if least is not None else None
+            u, v = compare(fp.view(np.uint64), np.cumsum(change), side, radius, own, least or 0.0)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
@@ -324,18 +331,16 @@ def near_copies(
 
     Similarity is that of the sets of ``words``-word shingles (two empty sets are equal).  Texts that
     share one of their ANCHORS smallest shingle hashes meet in a bucket: two sets of similarity 0.8
-    miss each other there about once in 10,000 pairs.  Fingerprints within ``radius`` bits, which such
+    miss each other there in about 2 / 9^6 of cases.  Fingerprints within ``radius`` bits, which such
     sets hardly ever exceed, are compared by their sketches.  Rows with a null doc_id take no part.
     """
     signed = settle(fingerprints(docs.where("doc_id is not null"), words, sketch=True))
-    first = F.min_by(F.struct("sketch", "anchors"), "doc_id").alias("of")
     nodes = settle(
-        signed.groupBy("same", "fp")
-        .agg(F.min("doc_id").alias("node"), first)
-        .select("same", "fp", "node", "of.sketch", "of.anchors")
+        signed.groupBy("same", "fp").agg(F.min("doc_id").alias("node"), F.min_by("anchors", "doc_id").alias("anchors"))
     )
-    rows = nodes.select(F.explode("anchors").alias("bucket"), "node", "fp", "sketch")
-    found = components(links(rows, radius, least))
+    rows = nodes.select(F.explode("anchors").alias("bucket"), "node", "same", "fp")
+    sketches = signed.select(F.col("doc_id").alias("node"), "same", "fp", "sketch").dropDuplicates(["node", "same", "fp"])
+    found = components(links(rows, radius, least, sketches))
     ids = nodes.select("same", "fp", "node").join(found, "node", "left")
     ids = settle(ids.select("same", "fp", F.coalesce("component", "node").alias("component_id")))
     return signed.select("doc_id", "same", "fp").join(ids, ["same", "fp"]).select("doc_id", "component_id")
