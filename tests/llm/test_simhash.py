@@ -134,3 +134,44 @@ def test_keep_one(spark):
     docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
     got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr)
     assert got == sorted([(3, text + " more", "en"), (9, rows[3][1], "en"), (None, text, "en"), (4, None, "en")], key=repr)
+
+
+def edited(rng, words, edits):
+    changed = list(words)
+    for n, k in enumerate(rng.choice(len(words), edits, replace=False)):
+        changed[k] = f"edit{rng.integers(10**9)}x{n}"
+    return changed
+
+
+def near(rng, words, least, above):
+    """A text whose similarity to ``words`` is just above or just below ``least``."""
+    made, before = list(words), list(words)
+    while jaccard(" ".join(words), " ".join(made)) >= least:
+        before, made = made, edited(rng, made, 1)
+    return before if above else made
+
+
+def test_long_texts_just_above_and_below(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(24):
+        words = [f"w{i}" for i in rng.integers(0, 50000, (1000, 1500, 3000)[d % 3])]
+        other = near(rng, words, 0.8, above=d % 2 == 0)
+        rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(other))]
+    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    true = [jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, 48, 2)]
+    assert all(abs(x - 0.8) < 0.01 for x in true)
+    assert [got[2 * d + 1] == 2 * d for d in range(24)] == [x >= 0.8 for x in true]
+
+
+def test_cut_clusters(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CLUSTER", 2500)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in rng.integers(0, 50000, 400)]
+    texts = [words]
+    for _ in range(30):  # a chain: the ends are far apart
+        texts.append(edited(rng, texts[-1], 4))
+    texts.append(near(rng, texts[0], 0.7, above=True))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = dict(map(tuple, simhash.near_copies(docs).collect()))
+    assert all(got[i] == 0 for i in range(31)) and got[31] == 31

@@ -24,8 +24,10 @@ SEED = 42
 PIECE = 4096
 #: Shingle hashes kept of a text to estimate similarity (all of them in texts with fewer).
 SKETCH = 256
-#: Smallest shingle hashes of a text that bring it into buckets when similarity is asked for.
-ANCHORS = 6
+#: A sketch rejects a pair only if its estimate is lower than asked for by more than this (6 standard errors at 0.8).
+MARGIN = 0.15
+#: Shingles of the texts of one cut of a cluster, about.
+CLUSTER = 1 << 18
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -52,33 +54,15 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, sketch: bool = False) -> DataFrame:
-    """(doc_id, fp) of every whole text (null: empty), and for similarity also ``same``, a hash of
-    its set of shingles, ``sketch``, the upper halves of the smallest of them, and ``anchors``."""
-    schema = "doc_id long, fp long"
-    if sketch:
-        schema += ", same long, sketch binary, anchors array<long>"
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp) of every whole text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
-            fp, same, kept, anchors = [], [], [], []
-            for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), words)
-                fp.append(fingerprint(hashes))
-                if sketch:
-                    own = np.unique(hashes)
-                    same.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
-                    kept.append(np.unique((own >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
-                    anchors.append(own[:ANCHORS].view(np.int64))
-            columns = [batch.column(0), pa.array(fp, pa.int64())]
-            if sketch:
-                columns += [pa.array(same, pa.int64()), pa.array(kept, pa.binary())]
-                columns += [pa.array(anchors, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")), run, schema)
+            fp = [fingerprint(shingle_hashes(text.as_py(), words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")), run, "doc_id long, fp long")
 
 
 def block_keys(fp: Column, radius: int) -> Column:
@@ -226,9 +210,9 @@ def compare(
 def links(
     rows: DataFrame, radius: int, least: float | None = None, sketches: DataFrame | None = None, piece: int = PIECE
 ) -> DataFrame:
-    """(u, v) that connect all near nodes of (bucket, node, fp[, same]) rows, bucket by bucket.
+    """(u, v) that connect all near nodes of (bucket, node, fp) rows, bucket by bucket.
 
-    With ``least``, what is near must also be as similar by its sketch; ``sketches`` (node, same, fp, sketch)
+    With ``least``, what is near must also be as similar by its sketch; ``sketches`` (node, sketch)
     are joined to the rows that share a bucket with others, the only ones that need theirs.
 
     Buckets of one row go.  A bucket of more than ``piece`` rows is cut by a hash of the node, and
@@ -250,7 +234,7 @@ def links(
         .withColumn("side", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("own") == F.col("lo"), 1).otherwise(2))
     )
     if sketches is not None:
-        met = met.join(sketches, ["node", "same", "fp"])
+        met = met.join(sketches, "node")
     keep = ["bucket", "lo", "hi", "side", "node", "fp"] + (["sketch"] if least is not None else [])
     met = met.select(*keep).repartition(parts(spark), "bucket", "lo", "hi")
     met = met.sortWithinPartitions("bucket", "lo", "hi", "node")
@@ -324,26 +308,202 @@ def _with_components(signed: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
     return signed.join(settle(ids), "fp")  # a join by itself, which can split the copies of a hot fingerprint
 
 
-def near_copies(
-    docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 24
-) -> DataFrame:
+def size_steps(least: float, top: int) -> list[int]:
+    """Upper ends of size classes: of two sets of similarity ``least``, the larger is one class higher at most."""
+    ends = [1]
+    while ends[-1] < top:
+        ends.append(max(ends[-1] + 1, int(ends[-1] / least + 1e-9)))
+    return ends
+
+
+def signatures(own: np.ndarray, least: float) -> np.ndarray:
+    """Buckets of a set of sorted hashes: any two sets of similarity ``least`` or more share at least one.
+
+    If the smaller of two such sets is in the class of size r at most, they differ in r (1 - least) / least
+    hashes at most.  The hash space is cut in so many parts, one more, and some to spare; at most that many
+    parts differ, so one is equal, and a bucket is a part and what it holds.  A part empty in both tells
+    nothing: no more than the spare ones can be so, unless both sets have more empty parts, and such
+    sets have buckets for their empty parts too.  A set is in the buckets of its class and the class below.
+    """
+    n = len(own)
+    ends = size_steps(least, n)
+    out = []
+    for c in (len(ends) - 1, len(ends) - 2):
+        differ = int(ends[c] * (1 - least) / least + 1e-9) if c >= 0 else 0
+        if not n or not differ:  # equal sets only, which are one node
+            continue
+        low = ends[c - 1] + 1
+        empty = (differ + 1) * np.exp(-low / (differ + 1))
+        count = differ + 1 + int(np.ceil(empty + 4 * np.sqrt(empty)))
+        edges = np.searchsorted(own >> np.uint64(32), (np.arange(count + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(count))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(own))])
+        part = total[edges[1:]] - total[edges[:-1]]
+        key = _mixed(part + _mixed(np.arange(count, dtype=np.uint64) + np.uint64(c << 32)))
+        full = edges[1:] > edges[:-1]
+        out.append(key if count - int(full.sum()) > count - differ - 1 else key[full])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(doc_id, key, same, size, sketch, buckets) of every text: ``key`` a hash of the text, ``same`` of its
+    set of shingles, ``size`` of that set, ``sketch`` the upper halves of its smallest hashes."""
+    names = ["doc_id", "key", "same", "size", "sketch", "buckets"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            same, size, kept, buckets = [], [], [], []
+            for text in batch.column(2):
+                own = np.unique(shingle_hashes(text.as_py(), words))
+                same.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
+                size.append(len(own))
+                kept.append(np.unique((own >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
+                buckets.append(signatures(own, least).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(same, pa.int64()), pa.array(size, pa.int64())]
+            columns += [pa.array(kept, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, key long, same long, size long, sketch binary, buckets array<long>"
+    return map_arrow(_keyed(docs), run, schema)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = text_of(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The distinct (bucket, node) rows of buckets that hold more than one node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, 1, 1 << 16):
+            bucket, node = (whole.column(k).to_numpy() for k in range(2))
+            fresh = np.ones(len(bucket), bool)
+            fresh[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
+            bucket, node = bucket[fresh], node[fresh]
+            more = np.zeros(len(bucket), bool)
+            more[1:] = bucket[1:] == bucket[:-1]
+            more[:-1] |= more[1:]
+            if more.any():
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[more]), pa.array(node[more])], ["bucket", "node"])
+
+    rows = rows.repartition(parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
+    return map_arrow(rows, run, "bucket long, node long")
+
+
+def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all sets of similarity ``least`` or more: a forest, found by counting what is common."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(at, kind="stable")]
+    count = np.bincount(at)
+    start = np.cumsum(count) - count
+    waiting = np.ones(n, bool)
+    u, v = [], []
+    for seed in range(n):
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        queue = [seed]
+        while queue and waiting.any():
+            i = queue.pop()
+            own = at[first[i] : first[i + 1]]
+            many = count[own]
+            where = np.repeat(start[own] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            common = np.bincount(holders[where], minlength=n)
+            new = np.flatnonzero(waiting & (common >= least * (sizes + sizes[i] - common)))
+            waiting[new] = False
+            queue += new.tolist()
+            u += [i] * len(new)
+            v += new.tolist()
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _exact_links(rows: DataFrame, words: int, least: float) -> DataFrame:
+    """(u, v) that connect the nodes of each (cluster, lo, hi) whose (node, text) are alike."""
+    keys = ["cluster", "lo", "hi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, 3, 1):
+            cols = [whole.column(k).to_numpy() for k in range(4)]
+            change = np.zeros(len(cols[0]) - 1, bool)
+            for c in cols[:3]:
+                change |= c[1:] != c[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(cols[0])]
+            for a, b in zip(edges, edges[1:], strict=False):
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in whole.column(4).slice(a, b - a)]
+                u, v = alike(sets, least)
+                if len(u):
+                    node = cols[3][a:b]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
+
+    rows = rows.select(*keys, "node", "text").repartition(parts(rows.sparkSession), *keys)
+    return map_arrow(rows.sortWithinPartitions(*keys, "node"), run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) where texts are linked by a similarity of ``least`` or more.
 
-    Similarity is that of the sets of ``words``-word shingles (two empty sets are equal).  Texts that
-    share one of their ANCHORS smallest shingle hashes meet in a bucket: two sets of similarity 0.8
-    miss each other there in about 2 / 9^6 of cases.  Fingerprints within ``radius`` bits, which such
-    sets hardly ever exceed, are compared by their sketches.  Rows with a null doc_id take no part.
+    Similarity is that of the sets of ``words``-word shingles (two empty sets are equal); equal sets are one
+    node.  Sets that can be so similar share a bucket (:func:`signatures`).  Sketches only reject: pairs
+    estimated more than MARGIN below.  What is left makes clusters, in which whole sets are compared.
+    A cluster of more than CLUSTER shingles is cut; each cut is compared with the cluster's first
+    node, and only if that leaves the cluster in pieces are every two cuts compared.  Rows
+    with a null doc_id take no part.
     """
-    signed = settle(fingerprints(docs.where("doc_id is not null"), words, sketch=True))
-    nodes = settle(
-        signed.groupBy("same", "fp").agg(F.min("doc_id").alias("node"), F.min_by("anchors", "doc_id").alias("anchors"))
+    known = docs.where("doc_id is not null")
+    signed = settle(shingle_sets(known, words, least))
+    nodes = signed.groupBy("same").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("size").alias("size"))
+    nodes = settle(nodes.select("same", "first.doc_id", "first.key", "size"))
+    one = signed.join(nodes.select("same", "doc_id", "key"), ["same", "doc_id", "key"])
+    rows = settle(_shared(one.select(F.explode("buckets").alias("bucket"), F.col("same").alias("node"))))
+    rows = rows.withColumn("fp", F.lit(0).cast("long"))
+    sketches = one.select(F.col("same").alias("node"), "sketch").dropDuplicates(["node"])
+    clusters = components(links(rows, 64, least - MARGIN, sketches)).withColumnRenamed("component", "cluster")
+    found = components(_verified(known, nodes, clusters, words, least)).withColumnRenamed("node", "same")
+    linked = nodes.join(found, "same")
+    by = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    ids = linked.join(by, "component").select("same", "least")
+    ids = nodes.join(ids, "same", "left").select("same", F.coalesce("least", "doc_id").alias("component_id"))
+    return signed.select("doc_id", "same").join(settle(ids), "same").select("doc_id", "component_id")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, least: float) -> DataFrame:
+    """(u, v) that connect the nodes of each cluster that are alike by their whole sets."""
+    held = clusters.join(nodes.withColumnRenamed("same", "node"), "node")
+    cuts = held.groupBy("cluster").agg(F.ceil(F.sum("size") / CLUSTER).cast("int").alias("cuts"))
+    held = settle(held.join(cuts, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")))
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return _keyed(docs).join(rows, ["doc_id", "key"])
+
+    to = F.when(F.col("node") == F.col("cluster"), every).otherwise(F.array("own"))
+    near = held.withColumn("lo", F.explode(to)).withColumn("hi", F.col("lo"))
+    edges = settle(_exact_links(with_text(near), words, least))
+    large = held.where("cuts > 1")
+    if large.isEmpty():
+        return edges
+    so_far = components(edges).groupBy("node").agg(F.min("component").alias("component"))
+    large = large.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = large.groupBy("cluster").agg(F.count_distinct("component").alias("n")).where("n > 1").select("cluster")
+    far = (
+        large.join(open_, "cluster")
+        .withColumn("other", F.explode(every))
+        .where("other <> own")
+        .withColumn("lo", F.least("own", "other"))
+        .withColumn("hi", F.greatest("own", "other"))
     )
-    rows = nodes.select(F.explode("anchors").alias("bucket"), "node", "same", "fp")
-    sketches = signed.select(F.col("doc_id").alias("node"), "same", "fp", "sketch").dropDuplicates(["node", "same", "fp"])
-    found = components(links(rows, radius, least, sketches))
-    ids = nodes.select("same", "fp", "node").join(found, "node", "left")
-    ids = settle(ids.select("same", "fp", F.coalesce("component", "node").alias("component_id")))
-    return signed.select("doc_id", "same", "fp").join(ids, ["same", "fp"]).select("doc_id", "component_id")
+    return edges.unionByName(_exact_links(with_text(far), words, least))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
