@@ -175,3 +175,28 @@ def test_cut_clusters(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = dict(map(tuple, simhash.near_copies(docs).collect()))
     assert all(got[i] == 0 for i in range(31)) and got[31] == 31
+
+
+def test_sets_in_reach_share_a_bucket():
+    rng = np.random.default_rng(4)
+    for n in (*range(4, 40), 100, 333, 1000):
+        for _ in range(20):
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            lost = int(rng.integers(0, n // 5 + 1))  # of a; and as many new ones as similarity 0.8 lets in
+            new = int((n - lost) / 0.8 + 1e-9) - n
+            b = np.concatenate([a[lost:], rng.integers(0, 2**64, new, dtype=np.uint64)])
+            x, y = (simhash.signatures(np.sort(s), 0.8) for s in (a, b))
+            assert len(np.intersect1d(x, y)), (n, lost)
+
+
+def test_passages_repeated_unequally(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(20):
+        words = [f"w{i}" for i in rng.integers(0, 50000, 600)]
+        again = [f"p{i}" for i in rng.integers(0, 50000, 20)]
+        rows += [(3 * d, " ".join(words + again)), (3 * d + 1, " ".join(words + again * 60)),
+                 (3 * d + 2, " ".join(words + again * 2))]  # the last two have the same set
+    assert all(jaccard(rows[i][1], rows[i + 1][1]) > 0.9 for i in range(0, 60, 3))
+    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert all(got[i] == i - i % 3 for i in range(60))
