@@ -144,6 +144,7 @@ def test_git_facts(spark):
 @pytest.mark.parametrize("command,commits,creates", [
     ("git commit -m x", True, False), ("cd a && git -v commit", True, False), ("grep 'git commit' f", False, False),
     ("bash -lc 'git commit -m y'", True, False), ("gh pr create --title T", False, True), ("gh pr view 3", False, False), ("/bin/sh -c \"glab mr create\"", False, True),
+    ("zsh -l -c 'cd x;git -p commit'", True, False), ("sh --norc commit.sh", False, False), ("git log && echo commit", False, False), ("", False, False),
 ])
 def test_commands(spark, command, commits, creates):
     df = spark.createDataFrame([(command,)], "c string").select(git.is_commit(F.col("c")).alias("a"), git.creates_pull_request(F.col("c")).alias("b"))
@@ -157,8 +158,8 @@ def test_pull_request_flags(spark):
 
 
 def test_remote(spark):
-    df = spark.createDataFrame([("git@h.io:o/r.git",), ("https://h.io/o/r/s",), ("file:///x",)], "u string").select(git.remote(F.col("u")).alias("r"))
-    assert [r.r and tuple(r.r) for r in df.collect()] == [("h.io", "o", "r"), ("h.io", "o", "r/s"), None]
+    df = spark.createDataFrame([("git@h.io:o/r.git",), ("https://h.io/o/r/s",), ("file:///x",), ("https://h.io/o",), (None,)], "u string").select(git.remote(F.col("u")).alias("r"))
+    assert [r.r and tuple(r.r) for r in df.collect()] == [("h.io", "o", "r"), ("h.io", "o", "r/s"), None, None, None]
 
 
 def test_content(spark):
@@ -166,21 +167,23 @@ def test_content(spark):
     df = spark.createDataFrame([(raw,), ("nope",), (None,)], "j string")
     got = df.select(content.redact("j").alias("r"), content.json_text("j").alias("t")).collect()
     assert json.loads(got[0].r) == {"b": [1, "x", None, True], "API-Key": "[Redacted]", "a": {"Access_Token": "[Redacted]", "z": "ab"}}
+    hard = spark.createDataFrame([('{"x":"a\\\\u0000","y":"\\u0000\\u0000b"}',), ("[NaN]",)], "j string").select(content.redact("j").alias("r")).collect()
+    assert [r.r for r in hard] == ['{"x":"a\\\\u0000","y":"b"}', None]
     assert got[0].t == "k\n1\na\0b\n1\nx" and got[1].r is None and got[2].t is None
     nested = spark.createDataFrame([('{"z":["first",{"b":"last"}],"a":7}',)], "j string").select(content.json_text("j").alias("t"))
     assert nested.first().t == "7\nfirst\nlast"
 
 
 def test_references(spark):
-    html = '<img src="a%20b.png?x=1#y"> <a href="https://x.y">[t](docs/c+d.md) ![i](a%20b.png) <a data-src="no.js" HREF=\'#top\'>'
+    html = '<video poster = "p/v.jpg" width="3"> ](no.md) [x](mailto:me) [y](e(1).md "t") <img src="a%20b.png?x=1#y"> <a href="https://x.y">[t](docs/c+d.md) ![i](a%20b.png) <a data-src="no.js" HREF=\'#top\'>'
     df = spark.createDataFrame([(html,), (None,)], "h string").select(content.references(F.col("h")).alias("r"))
-    assert [r.r for r in df.collect()] == [["a b.png", "docs/c+d.md"], []]
+    assert [r.r for r in df.collect()] == [["p/v.jpg", "a b.png", "e(1).md", "docs/c+d.md"], []]
 
 
 def test_evidence(spark):
-    lines = ['msg-1 to msg-2 — "the "big" bug" — it fails', 'msg-3 - "x y" - why', "nothing"]
+    lines = ['msg-1 to msg-2 — "the "big" bug" — it fails', 'msg-3 - "x y" - why', "nothing", "msg-1 — msg-4 – “a — b” — c - d", 'msg-2 — "p" q" - r', "msg-1 msg-2 — x — y", None]
     df = spark.createDataFrame([(x,) for x in lines], "l string").select(content.evidence(F.col("l")).alias("e"))
-    assert [r.e and tuple(r.e) for r in df.collect()] == [("msg-1", "msg-2", 'the "big" bug', "it fails"), ("msg-3", "msg-3", "x y", "why"), None]
+    assert [r.e and tuple(r.e) for r in df.collect()] == [("msg-1", "msg-2", 'the "big" bug', "it fails"), ("msg-3", "msg-3", "x y", "why"), None, ("msg-1", "msg-4", "a — b", "c - d"), ("msg-2", "msg-2", 'p" q', "r"), None, None]
     records = spark.createDataFrame([(1, i, f"msg-{i}", t, None, None, None) for i, t in enumerate(["It  IS", "so\\nbroken", "ok"])], "session_id int, seq int, id string, text string, tool_name string, input string, output string")
     cited = [(1, 1, "msg-0", "msg-1", "is … so broken"), (1, 2, "msg-2", "msg-1", "ok"), (1, 3, "msg-0", "msg-9", "ok"), (1, 4, "msg-2", "msg-2", "“”"), (1, 5, "msg-2", "msg-2", "absent")]
     got = evidence.check(spark.createDataFrame(cited, "session_id int, item int, from string, to string, quote string"), records)
