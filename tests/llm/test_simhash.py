@@ -103,6 +103,65 @@ def jaccard(a, b):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
+def found(docs, **options):
+    return {r.doc_id: r.component_id for r in simhash.near_copies(docs, **options).collect()}
+
+
+def plain_copies(texts, least=0.8):
+    """Components of all pairs by the whole sets of shingles."""
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for t in texts]
+    holders = {}
+    for i, s in enumerate(sets):
+        for h in s:
+            holders.setdefault(h, []).append(i)
+    u, v = [], []
+    for i, s in enumerate(sets):
+        common = {}
+        for h in s:
+            for j in holders[h]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        near = [j for j, c in common.items() if c >= least * (len(s) + len(sets[j]) - c)]
+        u += [i] * len(near)
+        v += near
+    empty = [i for i, s in enumerate(sets) if not s]
+    u, v = u + empty[1:], v + empty[:-1]
+    return simhash.roots(len(texts), np.array(u, int), np.array(v, int))
+
+
+def test_driver_documents_lose_no_link(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    ids = [d for d, _ in rows]
+    want = {d: ids[k] for d, k in zip(ids, plain_copies([t for _, t in rows]), strict=True)}
+    assert found(docs) == want and len(set(want.values())) < len(ids)
+
+
+@pytest.mark.parametrize("piece", [1 << 12, 16])
+def test_large_family_of_short_and_long(spark, monkeypatch, piece):
+    """Families, passages that many share, small sets, and stragglers, in cuts of few rows."""
+    monkeypatch.setattr(simhash, "CLUSTER", 4000)
+    monkeypatch.setattr(simhash, "OFTEN", 1)
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 50000, n)]
+    base, passage = word(150), word(80)
+    texts = [" ".join(edited(rng, base, int(rng.integers(0, 5)))) for _ in range(120)]
+    texts += [" ".join(word(40) + passage) for _ in range(80)]
+    texts += [" ".join(word(3) + passage) for _ in range(40)]
+    short = word(12)
+    texts += [" ".join(short + word(k)) for k in (0, 1, 2, 3, 4, 5, 9)] + [" ".join(short[:k]) for k in range(0, 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_copies(texts)
+    got = found(docs, piece=piece)
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(50))), (1, " ".join(f"b{i}" for i in range(50))), (2, " ".join(f"b{i}" for i in range(51)))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted(rows[:2])
+
+
 def test_near_copies(spark):
     rng = np.random.default_rng(3)
     vocab = [f"w{i}" for i in range(3000)]
@@ -123,7 +182,7 @@ def test_near_copies(spark):
                 if jaccard(rows[i][1], rows[j][1]) >= 0.8:
                     low, high = sorted((label[i], label[j]))
                     label = [low if x == high else x for x in label]
-    got = dict(map(tuple, simhash.near_copies(docs).collect()))
+    got = found(docs)
     assert [got[i] for i in range(len(rows))] == label
 
 
@@ -158,7 +217,7 @@ def test_long_texts_just_above_and_below(spark):
         words = [f"w{i}" for i in rng.integers(0, 50000, (1000, 1500, 3000)[d % 3])]
         other = near(rng, words, 0.8, above=d % 2 == 0)
         rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(other))]
-    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
     true = [jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, 48, 2)]
     assert all(abs(x - 0.8) < 0.01 for x in true)
     assert [got[2 * d + 1] == 2 * d for d in range(24)] == [x >= 0.8 for x in true]
@@ -173,19 +232,22 @@ def test_cut_clusters(spark, monkeypatch):
         texts.append(edited(rng, texts[-1], 4))
     texts.append(near(rng, texts[0], 0.7, above=True))
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = dict(map(tuple, simhash.near_copies(docs).collect()))
+    got = found(docs)
     assert all(got[i] == 0 for i in range(31)) and got[31] == 31
 
 
 def test_sets_in_reach_share_a_bucket():
     rng = np.random.default_rng(4)
-    for n in (*range(4, 40), 100, 333, 1000):
+    for n in (*range(1, 40), 100, 333, 1000):
         for _ in range(20):
             a = rng.integers(0, 2**64, n, dtype=np.uint64)
             lost = int(rng.integers(0, n // 5 + 1))  # of a; and as many new ones as similarity 0.8 lets in
             new = int((n - lost) / 0.8 + 1e-9) - n
             b = np.concatenate([a[lost:], rng.integers(0, 2**64, new, dtype=np.uint64)])
-            x, y = (simhash.signatures(np.sort(s), 0.8) for s in (a, b))
+            count = {int(h): int(c) for h, c in zip(a, rng.integers(0, 4, n), strict=True)}
+            x, y = (
+                s[simhash.prefix(s, np.array([count.get(int(h), 0) for h in s]), 0.8)] for s in (np.sort(a), np.sort(b))
+            )
             assert len(np.intersect1d(x, y)), (n, lost)
 
 
@@ -198,5 +260,5 @@ def test_passages_repeated_unequally(spark):
         rows += [(3 * d, " ".join(words + again)), (3 * d + 1, " ".join(words + again * 60)),
                  (3 * d + 2, " ".join(words + again * 2))]  # the last two have the same set
     assert all(jaccard(rows[i][1], rows[i + 1][1]) > 0.9 for i in range(0, 60, 3))
-    got = dict(map(tuple, simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
     assert all(got[i] == i - i % 3 for i in range(60))

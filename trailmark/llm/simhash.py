@@ -22,12 +22,13 @@ from .components import components
 SEED = 42
 #: Rows of one bucket that are compared in one piece; larger buckets are cut, and the cuts paired.
 PIECE = 4096
-#: Shingle hashes kept of a text to estimate similarity (all of them in texts with fewer).
-SKETCH = 256
-#: A sketch rejects a pair only if its estimate is lower than asked for by more than this (6 standard errors at 0.8).
-MARGIN = 0.15
 #: Shingles of the texts of one cut of a cluster, about.
 CLUSTER = 1 << 18
+#: Fingerprints of sets of at least SMALL shingles that are alike to 0.8 differ in more than GATE bits once in 10^8
+#: pairs, and are compared by bits first; smaller sets are always compared as a whole.
+GATE, SMALL = 28, 16
+#: Shingles known to be frequent at most (the most frequent ones), shingles counted at once, and the least count there.
+FREQUENT, COUNTED, OFTEN = 1 << 17, 1 << 22, 3
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -150,76 +151,77 @@ def roots(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None)
             label = up
 
 
-def similar(sketches: list[bytes], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of sketches come from sets of an estimated Jaccard similarity of ``least`` or more.
-
-    Exact where both sets fit in a sketch; else the share of common hashes among the smallest
-    SKETCH of the union.
-    """
-    out = np.zeros(len(i), bool)
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        x, y = np.frombuffer(sketches[a], np.uint32), np.frombuffer(sketches[b], np.uint32)
-        union = np.sort(np.concatenate([x, y]))
-        twice = union[1:] == union[:-1]
-        whole = len(x) < SKETCH and len(y) < SKETCH
-        distinct = len(union) - int(twice.sum())
-        if whole or distinct <= SKETCH:
-            common = int(twice.sum())
-        else:
-            rank = np.cumsum(np.concatenate([[True], ~twice])) - 1
-            common, distinct = int((twice & (rank[1:] < SKETCH)).sum()), SKETCH
-        out[k] = distinct == 0 or common >= least * distinct
-    return out
-
-
 def compare(
-    fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, sketches=None, least=0.0
+    fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, sizes: np.ndarray | None = None, least: float = 0.0
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is near in each group of rows (which lie together): a forest.
 
-    ``side``: 0 compares the row with its whole group, 1 and 2 only with the other of them.
+    ``side``: 0 compares the row with its whole group, 1 and 2 only with the other of them.  With the
+    ``sizes`` of sets, those that cannot have a similarity of ``least`` are not near.
     """
     n = len(fps)
     first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [n]])
-    sizes = np.diff(first)
-    # larger groups come first, so that a larger shift looks at fewer rows
-    order = np.argsort(-sizes, kind="stable")
-    rows = np.concatenate([np.arange(first[g], first[g + 1]) for g in order]) if n else np.zeros(0, int)
-    left = np.concatenate([np.arange(s, 0, -1) for s in sizes[order]]) if n else rows
-    fps, side = fps[rows], side[rows]
+    counts = np.diff(first)
+    # groups of about one size are compared together, the larger ones first, so that a larger shift looks at
+    # fewer rows, and a large group that is linked up needs no more shifts
+    order = np.argsort(-counts, kind="stable")
+    order = order[counts[order] > 1]
+    u, v = [], []
+    at = 0
+    while at < len(order):
+        end = at + 1
+        held = int(counts[order[at]])
+        while end < len(order) and held < 1 << 16 and 2 * counts[order[end]] > counts[order[at]]:
+            held += int(counts[order[end]])
+            end += 1
+        some = order[at:end]
+        at = end
+        rows = np.repeat(first[some] - np.cumsum(counts[some]) + counts[some], counts[some]) + np.arange(held)
+        a, b = _compare(fps[rows], counts[some], side[rows], radius, sizes[rows] if sizes is not None else None, least)
+        u.append(rows[a])
+        v.append(rows[b])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(u or none), np.concatenate(v or none)
+
+
+def _compare(fps, counts, side, radius, sizes, least) -> tuple[np.ndarray, np.ndarray]:
+    """The links inside groups that lie together, ``counts`` rows each, the largest group first."""
+    n = len(fps)
+    left = np.concatenate([np.arange(c, 0, -1) for c in counts])
+    top = np.cumsum(counts)
     label = np.arange(n)
-    top = np.cumsum(sizes[order])
+    starts = top - counts
     planes = Planes(fps)
-    for shift in range(1, int(sizes.max(initial=1))):
-        reach = int(top[np.searchsorted(-sizes[order], -shift, "left") - 1])
+    fresh = False
+    for shift in range(1, int(counts[0])):
+        if fresh and bool((np.maximum.reduceat(label, starts) == np.minimum.reduceat(label, starts)).all()):
+            break
+        fresh = False
+        reach = int(top[np.searchsorted(-counts, -shift, "left") - 1])
         valid = left[:reach] > shift
         m = reach - shift
         valid[:m] &= (side[:m] == 0) | (side[:m] != side[shift:reach])
         # what is linked already needs no second link
         valid[:m] &= label[:m] != label[shift:reach]
         valid[m:] = False
+        if sizes is not None:
+            low, high = np.minimum(sizes[:m], sizes[shift:reach]), np.maximum(sizes[:m], sizes[shift:reach])
+            valid[:m] &= low >= least * high
         i = planes.near(shift, valid, radius)
-        if sketches is not None and len(i):
-            i = i[similar(sketches, rows[i], rows[i + shift], least)]
         if len(i):
             label = roots(n, i, i + shift, label)
+            fresh = True
     linked = np.flatnonzero(label != np.arange(n))
-    return rows[linked], rows[label[linked]]
+    return linked, label[linked]
 
 
-def links(
-    rows: DataFrame, radius: int, least: float | None = None, sketches: DataFrame | None = None, piece: int = PIECE
-) -> DataFrame:
+def links(rows: DataFrame, radius: int, piece: int = PIECE) -> DataFrame:
     """(u, v) that connect all near nodes of (bucket, node, fp) rows, bucket by bucket.
 
-    With ``least``, what is near must also be as similar by its sketch; ``sketches`` (node, sketch)
-    are joined to the rows that share a bucket with others, the only ones that need theirs.
-
     Buckets of one row go.  A bucket of more than ``piece`` rows is cut by a hash of the node, and
     every two cuts are compared in a task of their own, so a hot bucket is spread out and a task
     holds two cuts at most.  What comes out of a task is a forest, never all pairs.
     """
-    spark = rows.sparkSession
     many = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     cuts = F.ceil(F.col("n") / piece).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
@@ -233,20 +235,41 @@ def links(
         .withColumn("hi", F.greatest("own", "other"))
         .withColumn("side", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("own") == F.col("lo"), 1).otherwise(2))
     )
-    if sketches is not None:
-        met = met.join(sketches, "node")
-    keep = ["bucket", "lo", "hi", "side", "node", "fp"] + (["sketch"] if least is not None else [])
-    met = met.select(*keep).repartition(parts(spark), "bucket", "lo", "hi")
+    return compared(met, radius)
+
+
+def compared(met: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
+    """(u, v) that connect what is near in each (bucket, lo, hi) of rows with side, node and fp.
+
+    Rows with ``size`` and ``exact`` are of sets: those that are not ``exact`` are near by their bits, all of
+    them only if their sizes allow a similarity of ``least``.
+    """
+    sets = "size" in met.columns
+    met = met.select("bucket", "lo", "hi", "side", "node", "fp", *(["size", "exact"] if sets else []))
+    met = met.repartition(parts(met.sparkSession), "bucket", "lo", "hi")
     met = met.sortWithinPartitions("bucket", "lo", "hi", "node")
-    hold = (1 << 16) if least is None else (1 << 13)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_groups(batches, 3, hold):
+        for whole in whole_groups(batches, 3, 1 << 16):
             bucket, lo, hi, side, node, fp = (whole.column(k).to_numpy() for k in range(6))
             change = np.ones(len(bucket), bool)
             change[1:] = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            own = whole.column(6).to_pylist() if least is not None else None
-            u, v = compare(fp.view(np.uint64), np.cumsum(change), side, radius, own, least or 0.0)
+            group = np.cumsum(change)
+            if sets:
+                # one node is once in a group and side
+                new = change.copy()
+                new[1:] |= (node[1:] != node[:-1]) | (side[1:] != side[:-1])
+                size, exact = whole.column(6).to_numpy(), whole.column(7).to_numpy(zero_copy_only=False)
+                found = []
+                for which, bits in ((new & exact, 64), (new & ~exact, radius)):
+                    at = np.flatnonzero(which)
+                    if len(at) > 1:
+                        u, v = compare(fp[at].view(np.uint64), group[at], side[at], bits, size[at], least)
+                        found.append((at[u], at[v]))
+                u, v = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+                u, v = u[node[u] != node[v]], v[node[u] != node[v]]
+            else:
+                u, v = compare(fp.view(np.uint64), group, side, radius)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
@@ -308,94 +331,119 @@ def _with_components(signed: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
     return signed.join(settle(ids), "fp")  # a join by itself, which can split the copies of a hot fingerprint
 
 
-def size_steps(least: float, top: int) -> list[int]:
-    """Upper ends of size classes: of two sets of similarity ``least``, the larger is one class higher at most."""
-    ends = [1]
-    while ends[-1] < top:
-        ends.append(max(ends[-1] + 1, int(ends[-1] / least + 1e-9)))
-    return ends
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key, same, size, fp, own) of every text: ``key`` a hash of the text, ``own`` the sorted distinct
+    hashes of its shingles, ``size`` their number, ``same`` a hash of them all, ``fp`` their fingerprint."""
+    names = ["doc_id", "key", "same", "size", "fp", "own"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
 
-def signatures(own: np.ndarray, least: float) -> np.ndarray:
-    """Buckets of a set of sorted hashes: any two sets of similarity ``least`` or more share at least one.
-
-    If the smaller of two such sets is in the class of size r at most, they differ in r (1 - least) / least
-    hashes at most.  The hash space is cut in so many parts, one more, and some to spare; at most that many
-    parts differ, so one is equal, and a bucket is a part and what it holds.  A part empty in both tells
-    nothing: no more than the spare ones can be so, unless both sets have more empty parts, and such
-    sets have buckets for their empty parts too.  A set is in the buckets of its class and the class below.
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                some = batch.slice(start, 512)
+                same, size, fp, kept = [], [], [], []
+                for text in some.column(2):
+                    own = np.unique(shingle_hashes(text.as_py(), words))
+                    raw = own.tobytes()
+                    same.append(np.uint64(xxh64_intdigest(raw)).astype(np.int64))
+                    size.append(len(own))
+                    fp.append(fingerprint(own))
+                    kept.append(raw)
+                columns = [some.column(0), some.column(1), pa.array(same, pa.int64()), pa.array(size, pa.int64())]
+                columns += [pa.array(fp, pa.int64()), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return map_arrow(_keyed(docs), run, "doc_id long, key long, same long, size long, fp long, own binary")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all sets of a binary column, where each set starts)."""
+    raw = column.to_pylist()
+    starts = np.cumsum([0, *(len(x) // 8 for x in raw)])
+    return np.frombuffer(b"".join(raw), np.uint64), starts
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, counts): the FREQUENT shingles that most sets hold, sorted by hash.
+
+    Tasks count COUNTED shingles at a time, over all sets, and leave out what is there less than OFTEN times; so a
+    shingle that is not given has fewer sets than that for each such count, or is rarer than all that are given.
+    Counts only decide in which order shingles are looked at; no result depends on them.
     """
-    n = len(own)
-    ends = size_steps(least, n)
-    out = []
-    for c in (len(ends) - 1, len(ends) - 2):
-        differ = int(ends[c] * (1 - least) / least + 1e-9) if c >= 0 else 0
-        if not n or not differ:  # equal sets only, which are one node
-            continue
-        low = ends[c - 1] + 1
-        empty = (differ + 1) * np.exp(-low / (differ + 1))
-        count = differ + 1 + int(np.ceil(empty + 4 * np.sqrt(empty)))
-        edges = np.searchsorted(own >> np.uint64(32), (np.arange(count + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(count))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(own))])
-        part = total[edges[1:]] - total[edges[:-1]]
-        key = _mixed(part + _mixed(np.arange(count, dtype=np.uint64) + np.uint64(c << 32)))
-        full = edges[1:] > edges[:-1]
-        out.append(key if count - int(full.sum()) > count - differ - 1 else key[full])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(_flat(batch.column(0))[0])
+            if sum(map(len, held)) >= COUNTED:
+                yield _often(np.concatenate(held), OFTEN)
+                held = []
+        if held:
+            yield _often(np.concatenate(held), OFTEN)
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    counts = map_arrow(sets.select("own"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.col("n").desc(), "h").limit(FREQUENT).toPandas()
+    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], top["n"].to_numpy(np.int64)[order]
 
 
-def shingle_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(doc_id, key, same, size, sketch, buckets) of every text: ``key`` a hash of the text, ``same`` of its
-    set of shingles, ``size`` of that set, ``sketch`` the upper halves of its smallest hashes."""
-    names = ["doc_id", "key", "same", "size", "sketch", "buckets"]
+def _often(h: np.ndarray, least: int) -> pa.RecordBatch:
+    h, n = np.unique(h, return_counts=True)
+    many = n >= least
+    return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many])], ["h", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
 
-        for batch in batches:
-            same, size, kept, buckets = [], [], [], []
-            for text in batch.column(2):
-                own = np.unique(shingle_hashes(text.as_py(), words))
-                same.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
-                size.append(len(own))
-                kept.append(np.unique((own >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
-                buckets.append(signatures(own, least).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(same, pa.int64()), pa.array(size, pa.int64())]
-            columns += [pa.array(kept, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+def prefix(own: np.ndarray, count: np.ndarray, least: float) -> np.ndarray:
+    """Places in ``own`` of the first shingles of a set, the rarest first: any two sets of similarity ``least`` or
+    more have one of them in common, since the others are too few to make up for all of these."""
+    n = len(own)
+    k = n - int(np.ceil(least * n - 1e-9)) + 1
+    rare = np.flatnonzero(count == 0)
+    if len(rare) >= k:
+        return rare[:k]
+    rest = np.flatnonzero(count)
+    return np.concatenate([rare, rest[np.argsort(count[rest], kind="stable")][: k - len(rare)]])
 
-    schema = "doc_id long, key long, same long, size long, sketch binary, buckets array<long>"
-    return map_arrow(_keyed(docs), run, schema)
 
+def _buckets(sets: DataFrame, shared, least: float, piece: int) -> DataFrame:
+    """(bucket, cuts, node, fp, size, exact): every set in the buckets of its first shingles; ``cuts`` is more than 1
+    where more than ``piece`` sets may hold the shingle.  Small sets have buckets of their own, those near the
+    limit are in both."""
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = text_of(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = shared.value
+        for batch in batches:
+            own, starts = _flat(batch.column(3))
+            if not len(own):
+                continue
+            at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
+            count = np.where(h[at] == own, n[at], 0) if len(h) else np.zeros(len(own), np.int64)
+            size = np.diff(starts)
+            taken = [prefix(own[a:b], count[a:b], least) + a for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            row = np.repeat(np.arange(len(size)), [len(t) for t in taken])
+            taken = np.concatenate(taken)
+            for exact, here in ((True, size[row] * least < SMALL), (False, size[row] >= SMALL)):
+                r, t = row[here], taken[here]
+                bucket = own[t] if exact else _mixed(own[t])
+                columns = [pa.array(bucket.view(np.int64)), pa.array(np.maximum(1, -(-count[t] // piece)).astype(np.int32))]
+                columns += [batch.column(k).take(pa.array(r)) for k in (0, 1, 2)] + [pa.array(np.full(len(r), exact))]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "cuts", "node", "fp", "size", "exact"])
+
+    rows = sets.select("same", "fp", "size", "own")
+    return map_arrow(rows, run, "bucket long, cuts int, node long, fp long, size long, exact boolean")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The distinct (bucket, node) rows of buckets that hold more than one node."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_groups(batches, 1, 1 << 16):
-            bucket, node = (whole.column(k).to_numpy() for k in range(2))
-            fresh = np.ones(len(bucket), bool)
-            fresh[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
-            bucket, node = bucket[fresh], node[fresh]
-            more = np.zeros(len(bucket), bool)
-            more[1:] = bucket[1:] == bucket[:-1]
-            more[:-1] |= more[1:]
-            if more.any():
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[more]), pa.array(node[more])], ["bucket", "node"])
 
-    rows = rows.repartition(parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
-    return map_arrow(rows, run, "bucket long, node long")
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = text_of(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -428,8 +476,8 @@ def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
-def _exact_links(rows: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v) that connect the nodes of each (cluster, lo, hi) whose (node, text) are alike."""
+def _exact_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v) that connect the nodes of each (cluster, lo, hi) whose sets are alike."""
     keys = ["cluster", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,78 +488,130 @@ def _exact_links(rows: DataFrame, words: int, least: float) -> DataFrame:
                 change |= c[1:] != c[:-1]
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(cols[0])]
             for a, b in zip(edges, edges[1:], strict=False):
-                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in whole.column(4).slice(a, b - a)]
-                u, v = alike(sets, least)
+                own = [np.frombuffer(x, np.uint64) for x in whole.column(4).slice(a, b - a).to_pylist()]
+                u, v = alike(own, least)
                 if len(u):
                     node = cols[3][a:b]
                     yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    rows = rows.select(*keys, "node", "text").repartition(parts(rows.sparkSession), *keys)
-    return map_arrow(rows.sortWithinPartitions(*keys, "node"), run, "u long, v long")
+    met = rows.select(*keys, "node").distinct().join(sets.select(F.col("same").alias("node"), "own"), "node")
+    met = met.select(*keys, "node", "own").repartition(parts(rows.sparkSession), *keys)
+    return map_arrow(met.sortWithinPartitions(*keys, "node"), run, "u long, v long")
+
 
+def _cut(held: DataFrame, by: str, weight: Column, most: int, name: str) -> DataFrame:
+    """``held`` with ``name``, which of the cuts of its group ``by`` a node is in, and ``name``s, how many there are."""
+    cuts = held.groupBy(by).agg(F.ceil(F.sum(weight) / most).cast("int").alias(f"{name}s"))
+    return held.join(cuts, by).withColumn(name, F.pmod(F.xxhash64("node"), F.col(f"{name}s")).cast("int"))
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) where texts are linked by a similarity of ``least`` or more.
 
-    Similarity is that of the sets of ``words``-word shingles (two empty sets are equal); equal sets are one
-    node.  Sets that can be so similar share a bucket (:func:`signatures`).  Sketches only reject: pairs
-    estimated more than MARGIN below.  What is left makes clusters, in which whole sets are compared.
-    A cluster of more than CLUSTER shingles is cut; each cut is compared with the cluster's first
-    node, and only if that leaves the cluster in pieces are every two cuts compared.  Rows
-    with a null doc_id take no part.
+def _every(count: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+
+def _apart(held: DataFrame, by: str, labels: DataFrame, weight: Column, most: int) -> DataFrame:
+    """(by, lo, hi, side, node, ...): the stragglers of each group against all of it, in cuts.
+
+    A group's stragglers are the nodes that ``labels`` (node, component) do not join to its largest component.
+    A group all in one component has none and goes.
+    """
+    held = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    main = held.groupBy(by, "component").agg(F.sum(weight).alias("w")).groupBy(by).agg(
+        F.max_by("component", F.struct("w", "component")).alias("main"), F.count("*").alias("n")
+    ).where("n > 1")
+    held = held.join(main.drop("n"), by)
+    few = _cut(held.where("component <> main"), by, weight, most, "few")
+    many = _cut(held, by, weight, most, "many")
+    sides = few.select(by, "fews").distinct(), many.select(by, "manys").distinct()
+    one = few.join(sides[1], by).withColumn("hi", _every("manys")).withColumn("lo", F.col("few")).withColumn("side", F.lit(1))
+    two = many.join(sides[0], by).withColumn("lo", _every("fews")).withColumn("hi", F.col("many")).withColumn("side", F.lit(2))
+    return one.unionByName(two, allowMissingColumns=True)
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    return components(edges).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, gate: int = GATE, piece: int = PIECE) -> DataFrame:
+    """(doc_id, key, component_id, component_key) where texts are linked by a similarity of ``least`` or more.
+
+    Similarity is that of the sets of ``words``-word shingles (two empty sets are equal); ``key`` is a hash of
+    the text, and a component is named by its smallest (doc_id, key).  Equal sets are one node.  Sets that can
+    be so similar share a bucket (:func:`prefix`); there, fingerprints of the sets are compared bit-sliced, and
+    those more than ``gate`` bits apart are rejected (64 rejects none).  What is left makes clusters, in
+    which whole sets are compared.  Rows with a null doc_id take no part.
+
+    Of a bucket or cluster that is too large for a task, cuts are linked first, and then only what this did
+    not join to the largest component is compared with everything, so a large group of copies costs
+    little more than its size; what stays apart costs its number times the group's size.
     """
-    known = docs.where("doc_id is not null")
-    signed = settle(shingle_sets(known, words, least))
-    nodes = signed.groupBy("same").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("size").alias("size"))
-    nodes = settle(nodes.select("same", "first.doc_id", "first.key", "size"))
-    one = signed.join(nodes.select("same", "doc_id", "key"), ["same", "doc_id", "key"])
-    rows = settle(_shared(one.select(F.explode("buckets").alias("bucket"), F.col("same").alias("node"))))
-    rows = rows.withColumn("fp", F.lit(0).cast("long"))
-    sketches = one.select(F.col("same").alias("node"), "sketch").dropDuplicates(["node"])
-    clusters = components(links(rows, 64, least - MARGIN, sketches)).withColumnRenamed("component", "cluster")
-    found = components(_verified(known, nodes, clusters, words, least)).withColumnRenamed("node", "same")
+    spark = docs.sparkSession
+    signed = settle(shingle_sets(docs.where("doc_id is not null"), words))
+    nodes = settle(signed.groupBy("same").agg(
+        F.min(F.struct("doc_id", "key")).alias("first"), F.first("size").alias("size")
+    ).select("same", "first.doc_id", "first.key", "size"))
+    sets = signed.join(nodes.select("same", "doc_id", "key"), ["same", "doc_id", "key"]).where("size > 0")
+    sets = settle(sets.dropDuplicates(["same"]).select("same", "size", "fp", "own"))
+    known = frequent(sets)
+    shared = spark.sparkContext.broadcast(known)
+    rows = _buckets(sets, shared, least, piece)
+    cut = F.pmod(F.xxhash64("node", "bucket"), F.col("cuts")).cast("int")
+    near = compared(rows.withColumns({"lo": cut, "hi": cut, "side": F.lit(0)}), gate, least)
+    edges = _verified(_clusters(near, nodes), sets, least)
+    if len(known[1]) and int(known[1].max()) > piece:
+        edges = settle(edges)
+        labels = settle(_labels(edges))
+        large = settle(rows.where("cuts > 1").drop("cuts"))
+        near = compared(_apart(large, "bucket", labels, F.lit(1), piece), gate, least)
+        edges = edges.unionByName(_verified(_clusters(near, nodes), sets, least, labels))
+    found = _labels(edges).withColumnRenamed("node", "same")
     linked = nodes.join(found, "same")
-    by = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    by = linked.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"))
     ids = linked.join(by, "component").select("same", "least")
-    ids = nodes.join(ids, "same", "left").select("same", F.coalesce("least", "doc_id").alias("component_id"))
-    return signed.select("doc_id", "same").join(settle(ids), "same").select("doc_id", "component_id")
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v) that connect the nodes of each cluster that are alike by their whole sets."""
-    held = clusters.join(nodes.withColumnRenamed("same", "node"), "node")
-    cuts = held.groupBy("cluster").agg(F.ceil(F.sum("size") / CLUSTER).cast("int").alias("cuts"))
-    held = settle(held.join(cuts, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")))
-    every = F.sequence(F.lit(0), F.col("cuts") - 1)
-
-    def with_text(rows: DataFrame) -> DataFrame:
-        return _keyed(docs).join(rows, ["doc_id", "key"])
-
-    to = F.when(F.col("node") == F.col("cluster"), every).otherwise(F.array("own"))
-    near = held.withColumn("lo", F.explode(to)).withColumn("hi", F.col("lo"))
-    edges = settle(_exact_links(with_text(near), words, least))
-    large = held.where("cuts > 1")
-    if large.isEmpty():
-        return edges
-    so_far = components(edges).groupBy("node").agg(F.min("component").alias("component"))
-    large = large.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = large.groupBy("cluster").agg(F.count_distinct("component").alias("n")).where("n > 1").select("cluster")
-    far = (
-        large.join(open_, "cluster")
-        .withColumn("other", F.explode(every))
-        .where("other <> own")
-        .withColumn("lo", F.least("own", "other"))
-        .withColumn("hi", F.greatest("own", "other"))
+    own = F.coalesce("least", F.struct("doc_id", "key"))
+    ids = nodes.join(ids, "same", "left").select("same", own.alias("least"))
+    return signed.select("doc_id", "key", "same").join(settle(ids), "same").select(
+        "doc_id", "key", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("component_key")
     )
-    return edges.unionByName(_exact_links(with_text(far), words, least))
+
+
+def _clusters(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    found = _labels(near).withColumnRenamed("component", "cluster")
+    return found.join(nodes.select(F.col("same").alias("node"), "size"), "node")
+
+
+def _verified(held: DataFrame, sets: DataFrame, least: float, labels: DataFrame | None = None) -> DataFrame:
+    """(u, v) that connect the nodes of each cluster of (node, cluster, size) that are alike by their whole sets.
+
+    A cluster of more than CLUSTER shingles is cut, and stragglers are compared with all of it.  With
+    ``labels`` (node, component) known, only what these leave apart is compared.
+    """
+    held = settle(_cut(held, "cluster", F.col("size"), CLUSTER, "own"))
+    if labels is None:
+        within = held.withColumns({"lo": F.col("own"), "hi": F.lit(-1)})
+        edges = settle(_exact_links(within, sets, least))
+        large = held.where("owns > 1")
+        if large.isEmpty():
+            return edges
+        labels = settle(_labels(edges))
+    else:
+        edges, large = None, held
+    apart = _apart(large.select("cluster", "node", "size"), "cluster", labels, F.col("size"), CLUSTER)
+    more = _exact_links(apart, sets, least)
+    return more if edges is None else edges.unionByName(more)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of :func:`near_copies`: that of the smallest doc_id.
+    """``docs`` with one document of each group of :func:`near_copies`: that of the smallest doc_id and, where a
+    doc_id has several texts, the smallest hash of the text.
 
-    Rows that repeat a kept doc_id with the same or another text stay once.  Rows with a null doc_id
-    stay as they are.
+    Rows that repeat a kept doc_id and text stay once.  Rows with a null doc_id stay as they are.  An
+    empty table gives none.  Columns of any name stay.
     """
-    kept = near_copies(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = near_copies(docs, **options)
+    kept = found.where("doc_id = component_id and key = component_key").select(
+        F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")
+    ).distinct()
+    named = docs.withColumns({"_kept_id": F.col("doc_id").cast("long"), "_kept_key": F.xxhash64(text_of(docs))})
+    named = named.join(kept, ["_kept_id", "_kept_key"], "left_semi").dropDuplicates(["_kept_id", "_kept_key"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
