@@ -51,5 +51,38 @@ def test_edge_rows(spark):
         assert [r for r in got if r[0] == q] == [r for r in brute(rows) if r[0] == q], by
 
 
+def test_large_components(spark):
+    """Products beyond what a double or 2^53 holds exactly, and beyond a long."""
+    got = run(spark, [(0, [1e6, 0.0]), (1, [1e6, 0.0]), (2, [9e5, 0.0]), (3, [6e5, 0.0])])
+    assert got == [(0, 1, 1, 65536000000000000), (0, 2, 2, 58982400000000000), (0, 3, 3, 39321600000000000)]
+    rnd = random.Random(2)
+    for size in (1e5, 1e6, 3e6):
+        rows = [(i, [rnd.uniform(-size, size) for _ in range(3)]) for i in range(300)]
+        rows += [(300 + i, [v + rnd.choice([0.0, 0.25, 1.0]) for v in rows[i][1]]) for i in range(60)]
+        assert run(spark, rows, block=40) == brute(rows)
+    huge = run(spark, [(0, [1e30, 1.0]), (2, [1e30, 0.0]), (1, [1e38, 0.0]), (3, [-1e38, 0.0])])
+    assert huge == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1), (0, 3, 3, -(2**63))]
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(0)
+    for size in (1, 1e4, 1e12):
+        x, q = topk.whole(rng.normal(0, size, (500, 9))), topk.whole(rng.normal(0, size, (20, 9)))
+        edges, least, most = topk.fit_cells(x[:200], x.min(0), x.max(0))
+        cells = topk.cells_of(x, edges)
+        low, high = least[np.arange(9), cells], most[np.arange(9), cells]
+        assert (low <= x).all() and (x <= high).all()
+        a, b = topk.bounds(q, low, high)
+        for i in range(20):
+            s = topk.scores(x, np.broadcast_to(q[i], x.shape))
+            assert all(float(lo) <= int(v) <= float(hi) for lo, v, hi in zip(a[i], s, b[i], strict=True))
+
+
+def test_many_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.normal(0, 1, (1500, 6)).tolist())]
+    assert run(spark, rows, block=60, every=20) == brute(rows, 20)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
