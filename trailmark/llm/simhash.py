@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, settle, text_of
+from .common import forget, map_arrow, parts, settle, text_of
 from .components import components
 
 #: Fixed value: the seed of the shingles' XXH64.
@@ -332,8 +332,8 @@ def _with_components(signed: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, same, size, fp, own) of every text: ``key`` a hash of the text, ``own`` the sorted distinct
-    hashes of its shingles, ``size`` their number, ``same`` a hash of them all, ``fp`` their fingerprint."""
+    """(doc_id, key, same, size, fp, own) of every text: ``key`` a hash of the text, ``size`` the number of distinct
+    hashes of its shingles, ``same`` a hash of them all, ``fp`` their fingerprint, ``own`` their upper halves in order."""
     names = ["doc_id", "key", "same", "size", "fp", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,11 +345,10 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 same, size, fp, kept = [], [], [], []
                 for text in some.column(2):
                     own = np.unique(shingle_hashes(text.as_py(), words))
-                    raw = own.tobytes()
-                    same.append(np.uint64(xxh64_intdigest(raw)).astype(np.int64))
+                    same.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
                     size.append(len(own))
                     fp.append(fingerprint(own))
-                    kept.append(raw)
+                    kept.append((own >> np.uint64(32)).astype(np.uint32).tobytes())
                 columns = [some.column(0), some.column(1), pa.array(same, pa.int64()), pa.array(size, pa.int64())]
                 columns += [pa.array(fp, pa.int64()), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -360,8 +359,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all sets of a binary column, where each set starts)."""
     raw = column.to_pylist()
-    starts = np.cumsum([0, *(len(x) // 8 for x in raw)])
-    return np.frombuffer(b"".join(raw), np.uint64), starts
+    starts = np.cumsum([0, *(len(x) // 4 for x in raw)])
+    return np.frombuffer(b"".join(raw), np.uint32), starts
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +383,7 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     counts = map_arrow(sets.select("own"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "h").limit(FREQUENT).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    h = top["h"].to_numpy(np.int64).astype(np.uint32)
     order = np.argsort(h)
     return h[order], top["n"].to_numpy(np.int64)[order]
 
@@ -392,12 +391,15 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _often(h: np.ndarray, least: int) -> pa.RecordBatch:
     h, n = np.unique(h, return_counts=True)
     many = n >= least
-    return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many])], ["h", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(h[many].astype(np.int64)), pa.array(n[many])], ["h", "n"])
 
 
 def prefix(own: np.ndarray, count: np.ndarray, least: float) -> np.ndarray:
     """Places in ``own`` of the first shingles of a set, the rarest first: any two sets of similarity ``least`` or
-    more have one of them in common, since the others are too few to make up for all of these."""
+    more have one of them in common, since the others are too few to make up for all of these.
+
+    ``own`` may be parts of hashes, and repeat: the smallest value that two sets have in common is still there.
+    """
     n = len(own)
     k = n - int(np.ceil(least * n - 1e-9)) + 1
     rare = np.flatnonzero(count == 0)
@@ -426,8 +428,8 @@ def _buckets(sets: DataFrame, shared, least: float, piece: int) -> DataFrame:
             taken = np.concatenate(taken)
             for exact, here in ((True, size[row] * least < SMALL), (False, size[row] >= SMALL)):
                 r, t = row[here], taken[here]
-                bucket = own[t] if exact else _mixed(own[t])
-                columns = [pa.array(bucket.view(np.int64)), pa.array(np.maximum(1, -(-count[t] // piece)).astype(np.int32))]
+                bucket = 2 * own[t].astype(np.int64) + exact
+                columns = [pa.array(bucket), pa.array(np.maximum(1, -(-count[t] // piece)).astype(np.int32))]
                 columns += [batch.column(k).take(pa.array(r)) for k in (0, 1, 2)] + [pa.array(np.full(len(r), exact))]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "cuts", "node", "fp", "size", "exact"])
 
@@ -435,12 +437,6 @@ def _buckets(sets: DataFrame, shared, least: float, piece: int) -> DataFrame:
     return map_arrow(rows, run, "bucket long, cuts int, node long, fp long, size long, exact boolean")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     text = text_of(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -476,8 +472,11 @@ def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
-def _exact_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v) that connect the nodes of each (cluster, lo, hi) whose sets are alike."""
+def _exact_links(rows: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(u, v) that connect the nodes of each (cluster, lo, hi) whose whole sets are alike.
+
+    ``rows`` name a node's text by doc_id and key; of ``texts`` (doc_id, key, text) only these are read on.
+    """
     keys = ["cluster", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,14 +487,14 @@ def _exact_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 change |= c[1:] != c[:-1]
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(cols[0])]
             for a, b in zip(edges, edges[1:], strict=False):
-                own = [np.frombuffer(x, np.uint64) for x in whole.column(4).slice(a, b - a).to_pylist()]
-                u, v = alike(own, least)
+                node, first = np.unique(cols[3][a:b], return_index=True)
+                some = whole.column(4).slice(a, b - a)
+                u, v = alike([np.unique(shingle_hashes(some[int(i)].as_py(), words)) for i in first], least)
                 if len(u):
-                    node = cols[3][a:b]
                     yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    met = rows.select(*keys, "node").distinct().join(sets.select(F.col("same").alias("node"), "own"), "node")
-    met = met.select(*keys, "node", "own").repartition(parts(rows.sparkSession), *keys)
+    met = texts.join(rows.select(*keys, "node", "doc_id", "key").distinct(), ["doc_id", "key"])
+    met = met.select(*keys, "node", "text").repartition(parts(rows.sparkSession), *keys)
     return map_arrow(met.sortWithinPartitions(*keys, "node"), run, "u long, v long")
 
 
@@ -546,24 +545,28 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, gate: int =
     little more than its size; what stays apart costs its number times the group's size.
     """
     spark = docs.sparkSession
-    signed = settle(shingle_sets(docs.where("doc_id is not null"), words))
-    nodes = settle(signed.groupBy("same").agg(
-        F.min(F.struct("doc_id", "key")).alias("first"), F.first("size").alias("size")
-    ).select("same", "first.doc_id", "first.key", "size"))
-    sets = signed.join(nodes.select("same", "doc_id", "key"), ["same", "doc_id", "key"]).where("size > 0")
-    sets = settle(sets.dropDuplicates(["same"]).select("same", "size", "fp", "own"))
+    named = docs.where("doc_id is not null")
+    made = shingle_sets(named, words).withColumn("row", F.monotonically_increasing_id())
+    every = settle(made)
+    nodes = settle(every.groupBy("same").agg(
+        F.min(F.struct("doc_id", "key", "row")).alias("first"), F.first("size").alias("size")
+    ).select("same", "first.doc_id", "first.key", "first.row", "size"))
+    sets = settle(every.join(nodes.where("size > 0").select("same", "row"), ["same", "row"]).select("same", "size", "fp", "own"))
+    signed = settle(every.select("doc_id", "key", "same"))
+    forget(spark, every)
     known = frequent(sets)
     shared = spark.sparkContext.broadcast(known)
     rows = _buckets(sets, shared, least, piece)
+    texts = _keyed(named)
     cut = F.pmod(F.xxhash64("node", "bucket"), F.col("cuts")).cast("int")
     near = compared(rows.withColumns({"lo": cut, "hi": cut, "side": F.lit(0)}), gate, least)
-    edges = _verified(_clusters(near, nodes), sets, least)
+    edges = _verified(_clusters(near, nodes), texts, words, least)
     if len(known[1]) and int(known[1].max()) > piece:
         edges = settle(edges)
         labels = settle(_labels(edges))
         large = settle(rows.where("cuts > 1").drop("cuts"))
         near = compared(_apart(large, "bucket", labels, F.lit(1), piece), gate, least)
-        edges = edges.unionByName(_verified(_clusters(near, nodes), sets, least, labels))
+        edges = edges.unionByName(_verified(_clusters(near, nodes), texts, words, least, labels))
     found = _labels(edges).withColumnRenamed("node", "same")
     linked = nodes.join(found, "same")
     by = linked.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"))
@@ -577,11 +580,11 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, gate: int =
 
 def _clusters(near: DataFrame, nodes: DataFrame) -> DataFrame:
     found = _labels(near).withColumnRenamed("component", "cluster")
-    return found.join(nodes.select(F.col("same").alias("node"), "size"), "node")
+    return found.join(nodes.select(F.col("same").alias("node"), "size", "doc_id", "key"), "node")
 
 
-def _verified(held: DataFrame, sets: DataFrame, least: float, labels: DataFrame | None = None) -> DataFrame:
-    """(u, v) that connect the nodes of each cluster of (node, cluster, size) that are alike by their whole sets.
+def _verified(held: DataFrame, texts: DataFrame, words: int, least: float, labels: DataFrame | None = None) -> DataFrame:
+    """(u, v) that connect the nodes of each cluster of (node, cluster, size, doc_id, key) that are alike by their whole sets.
 
     A cluster of more than CLUSTER shingles is cut, and stragglers are compared with all of it.  With
     ``labels`` (node, component) known, only what these leave apart is compared.
@@ -589,15 +592,15 @@ def _verified(held: DataFrame, sets: DataFrame, least: float, labels: DataFrame
     held = settle(_cut(held, "cluster", F.col("size"), CLUSTER, "own"))
     if labels is None:
         within = held.withColumns({"lo": F.col("own"), "hi": F.lit(-1)})
-        edges = settle(_exact_links(within, sets, least))
+        edges = settle(_exact_links(within, texts, words, least))
         large = held.where("owns > 1")
         if large.isEmpty():
             return edges
         labels = settle(_labels(edges))
     else:
         edges, large = None, held
-    apart = _apart(large.select("cluster", "node", "size"), "cluster", labels, F.col("size"), CLUSTER)
-    more = _exact_links(apart, sets, least)
+    apart = _apart(large.select("cluster", "node", "size", "doc_id", "key"), "cluster", labels, F.col("size"), CLUSTER)
+    more = _exact_links(apart, texts, words, least)
     return more if edges is None else edges.unionByName(more)
 
 
