@@ -26,15 +26,19 @@ def plain(rows):
                 runs[-1][1].append(line)
             else:
                 runs.append((d, [line]))
-        found = [(d, normal("\n".join(x))) for d, x in runs if d]
-        said = set()
+        found = [(d, normal("\n".join(x)), tuple(y for y in map(normal, x) if y)) for d, x in runs if d]
+        said, kept = set(), ()
         if own:
             said = {normal(x) for x in [own, *re.split(r"\n\s*\n", own), *own.split("\n")]} - {""}
-        parsed.append((conv, turn, role, own, [f for f in found if f[1]], said))
+            kept = tuple(y for y in map(normal, own.split("\n")) if y)
+        parsed.append((conv, turn, role, own, [f for f in found if f[1]], (said, kept)))
     links = {}
     for conv, turn, _, _, found, _ in parsed:
-        for d, p in found if conv is not None and turn is not None else ():
-            sources = [t for c, t, _, _, _, said in parsed if c == conv and t is not None and t < turn and p in said]
+        for d, p, ls in found if conv is not None and turn is not None else ():
+            sources = [
+                t for c, t, _, _, _, (said, kept) in parsed if c == conv and t is not None and t < turn
+                and (p in said or len(ls) > 1 and any(kept[i : i + len(ls)] == ls for i in range(len(kept))))
+            ]
             links.setdefault((conv, turn), []).append((d, max(sources, default=None)))
     reply = {k: max((s for d, s in v if d == 1 and s is not None), default=None) for k, v in links.items()}
     out = []
@@ -83,6 +87,50 @@ def test_random_threads(spark):
     assert threads == sorted(threads)
 
 
+def test_lines_out_of_a_paragraph(spark):
+    """Quotes of some lines: out of one paragraph, over two, and around a quote that the original holds itself."""
+    text = "a one\nb two\nc three\n\nd four\n\ne five"
+    rows = [
+        (1, 0, "user", text), (1, 1, "assistant", "> a one\n> b two\nmine\n> nothing\nyours"),
+        (1, 2, "user", "> b two\n> c three\n>\n> d four\nok"), (1, 3, "user", "> mine\n> yours"),
+        (1, 4, "user", "> b two\n> a one\nwrong order"), (1, 5, "user", "> a one\n> c three\ngap"), (2, 0, "user", "> a one\n> b two"),
+    ]
+    got = {(r[0], r[3]): r for r in run(spark, rows)}
+    assert [got[1, t][8] for t in range(6)] == [None, 0, 0, 1, None, None] and got[2, 0][8] is None
+    assert sorted(run(spark, rows), key=repr) == plain(rows)
+
+
+def test_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    from trailmark.llm import sql
+
+    rnd = random.Random(5)
+    said = [f"line {i}" for i in range(9)]
+    rows = []
+    for conv in range(5):
+        for turn in range(10):
+            start = rnd.randrange(8)
+            mine = [rnd.choice(said) for _ in range(2)] + said[start : start + rnd.randrange(1, 4)]
+            theirs = [f"> {x}" for x in said[rnd.randrange(8) :][: rnd.randrange(4)]]
+            rows.append((conv, turn, "user", "\n".join(rnd.choice([theirs + mine, mine + theirs]))))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    want = duckdb.sql(sql.QUOTES_SQL.replace("FROM conversations", f"FROM '{tmp_path}/c/*.parquet'")).fetchall()
+    got = run(spark, rows)
+    assert sorted(got, key=repr) == sorted(want, key=repr) == plain(rows) and any(r[8] is not None for r in got)
+
+
+def test_long_blanks_are_linear(spark):
+    """A message of 1 MB of blanks: as fast as any other."""
+    import time
+
+    rows = [(1, 0, "user", "x" + " " * (1 << 20) + "y"), (1, 1, "user", "> x y\n" + "\n" * (1 << 18) + "z")]
+    run(spark, rows[1:])
+    began = time.perf_counter()
+    got = {r[3]: r for r in run(spark, rows)}
+    assert got[1][8] == 0 and got[1][5] == "z" and time.perf_counter() - began < 60
+
+
 def test_hot_line_makes_no_pairs(spark):
     rows = [(1, t, "user", "yes\n> yes") for t in range(400)]
     got = run(spark, rows)

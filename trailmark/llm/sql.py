@@ -98,11 +98,20 @@ lines AS (SELECT id, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls,
 levels AS (SELECT *, length(regexp_replace(regexp_extract(line, '^{_MARK}'), '[^>]', '', 'g')) AS level FROM lines),
 marked AS (SELECT *, (lag(level) OVER (PARTITION BY id ORDER BY pos) IS DISTINCT FROM level)::INT AS new FROM levels),
 runs AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS run FROM marked),
-passages AS (SELECT id, conv_id, turn, level, {_NORMAL.format("string_agg(line, chr(10) ORDER BY pos)")} AS said FROM runs WHERE level > 0 GROUP BY id, conv_id, turn, run, level),
+passages AS (SELECT id, conv_id, turn, run, level, {_NORMAL.format("string_agg(line, chr(10) ORDER BY pos)")} AS said FROM runs WHERE level > 0 GROUP BY id, conv_id, turn, run, level),
 pieces AS (SELECT conv_id, turn, unnest(list_concat([own_text], string_split_regex(own_text, '\n{_BLANK}*\n'), string_split(own_text, chr(10)))) AS piece
   FROM own WHERE own_text <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
 originals AS (SELECT DISTINCT conv_id, turn, {_NORMAL.format("piece")} AS said FROM pieces),
-linked AS (SELECT p.conv_id, p.turn, p.level, (SELECT max(o.turn) FROM originals o WHERE o.conv_id = p.conv_id AND o.said = p.said AND o.turn < p.turn) AS source_turn
+quoted_lines AS (SELECT id, conv_id, run, list({_NORMAL.format("line")} ORDER BY pos) AS every_line FROM runs WHERE level > 0 GROUP BY ALL),
+quoted AS (SELECT id, run, list_filter(every_line, lambda x: x <> '') AS kept FROM quoted_lines),
+lengths AS (SELECT DISTINCT conv_id, len(list_filter(every_line, lambda x: x <> '')) AS n FROM quoted_lines),
+own_lines AS (SELECT id, conv_id, turn, list_filter(list_transform(string_split(own_text, chr(10)), lambda x: {_NORMAL.format("x")}), lambda x: x <> '') AS kept
+  FROM own WHERE own_text <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+runs_said AS (SELECT DISTINCT conv_id, turn, kept[i + 1 : i + n] AS kept FROM (SELECT o.*, n, unnest(range(0, len(o.kept) - n + 1)) AS i
+  FROM own_lines o JOIN lengths USING (conv_id) WHERE n > 1)),
+linked AS (SELECT p.conv_id, p.turn, p.level, greatest(
+    (SELECT max(o.turn) FROM originals o WHERE o.conv_id = p.conv_id AND o.said = p.said AND o.turn < p.turn),
+    (SELECT max(o.turn) FROM runs_said o JOIN quoted q ON o.kept = q.kept WHERE q.id = p.id AND q.run = p.run AND o.conv_id = p.conv_id AND o.turn < p.turn)) AS source_turn
   FROM passages p WHERE p.said <> ''),
 by_message AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source_turn) AS n_linked, max(source_turn) FILTER (level = 1) AS reply_to FROM linked GROUP BY ALL),
 up AS (SELECT conv_id, turn, reply_to AS root_turn, 1 AS depth FROM by_message WHERE reply_to IS NOT NULL
