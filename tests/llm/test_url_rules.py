@@ -78,3 +78,25 @@ def test_edge_urls(spark):
 def test_nothing_labelled_or_empty(spark):
     assert run(spark, [(1, "a://b.com/x")]) == [(1, "b.com", "/x", None, "allow", None)]
     assert run(spark, []) == []
+
+
+def test_many_shared_tokens(spark):
+    """URLs that share 40 path segments: blocked ones alone, and as many of each kind, where none is a rule."""
+    path = "/".join(f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    blocked = [(i, f"http://a{i}.net/{path}/k") for i in range(60)]
+    got = run(spark, blocked + [(100, f"http://b.com/{path}"), (101, "http://c.com/x")])
+    assert {r[0]: r[4] for r in got if r[0] >= 100} == {100: "block", 101: "allow"}
+    both = blocked + [(100 + i, f"http://b{i}.com/{path}") for i in range(60)]
+    assert {r[4] for r in run(spark, both) if r[0] >= 100} == {"allow"}
+
+
+def test_twins_and_pairs(spark):
+    """Combinations of tokens that are no rules alone, some of them twins, against every combination."""
+    rows = []
+    for i in range(40):
+        rows.append((len(rows), f"http://x{i}.net/a/b/c"))  # blocked: a and b are twins, with c a rule
+        rows.append((len(rows), f"http://x{i}.com/a/b"))
+        rows.append((len(rows), f"http://x{i}.com/c/d"))
+    rows += [(len(rows) + i, f"http://y{i}.com/{p}") for i, p in enumerate(["a/b/c", "c/b/a/d", "a/b", "c", "d/a/b"])]
+    got = run(spark, rows)
+    assert got == plain(rows) and any(r[5] and " " in r[5] for r in got)

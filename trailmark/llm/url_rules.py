@@ -5,11 +5,17 @@ token combinations that go with the label block are mined, pruned by support and
 the URLs that no explicit rule fits.  URLs without a label count against a combination, so it must be
 blocked wherever it is seen, not only where somebody looked.  A mined rule is found through its rarest
 token.
+
+A rule that contains a smaller rule says nothing new, and one of two tokens that are always seen
+together says as much as both.  So tokens that are rules alone, tokens too rare to be in any rule and
+all but one of such twins are left out before mining, which keeps the number of combinations small.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -66,22 +72,55 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(*tagged))
 
 
+def _each_token(seen: DataFrame) -> DataFrame:
+    numbered = seen.withColumn("id", F.monotonically_increasing_id())  # before rows are multiplied
+    return numbered.select("id", "verdict", F.explode("tokens").alias("token"))
+
+
+def token_counts(seen: DataFrame) -> DataFrame:
+    """(token, n, blocked, twin): in how many URLs a token is, how many of these are blocked, and the smallest token
+    that is in exactly the same URLs."""
+    each = _each_token(seen)
+    wide = "decimal(38,0)"
+    counts = each.groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"),
+        F.sum(F.xxhash64("id").cast(wide)).alias("a"), F.sum(F.xxhash64("id", F.lit(1)).cast(wide)).alias("b"),
+    )
+    twins = counts.groupBy("n", "a", "b").agg(F.min("token").alias("twin"))
+    return counts.join(twins, ["n", "a", "b"]).select("token", "n", "blocked", "twin")
+
+
 def mine(seen: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(antecedent, confidence, support): token combinations that go with the verdict block.
+    """(antecedent, confidence, support): the smallest token combinations that go with the verdict block.
 
     ``seen`` has tokens and verdict, null where there is no label.  A rule that contains a smaller kept
-    rule says nothing new and goes.  No labelled row gives no rules.
+    rule says nothing new and goes; of rules that differ only in twins the one of the smallest tokens is
+    given.  No blocked row gives no rules.
     """
     spark = seen.sparkSession
-    if seen.where("verdict is not null").isEmpty():
+    total, blocked = seen.agg(F.count("*"), F.count_if(F.col("verdict") == "block")).first()
+    need = max(1, math.ceil(Fraction(str(support)) * total))
+    if blocked < need:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
-    says = F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit("verdict="), "verdict")))
-    baskets = seen.select(F.concat("tokens", F.coalesce(says, F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    counts = settle(token_counts(seen).where(F.col("blocked") >= need))
+    alone = F.col("blocked") / F.col("n") >= confidence
+    single = counts.where(alone).select(
+        F.array("token").alias("antecedent"), (F.col("blocked") / F.col("n")).alias("confidence"), (F.col("blocked") / total).alias("support")
+    )
+    # a token here has `need` blocked URLs, so there are at most 1 / support times the tokens of a URL
+    open_tokens = counts.where(~alone & (F.col("token") == F.col("twin"))).select("token")
+    each = _each_token(seen)
+    says = F.when(F.col("verdict") == "block", F.array(F.lit("verdict=block"))).otherwise(F.array().cast("array<string>"))
+    baskets = each.join(open_tokens, "token").groupBy("id").agg(F.collect_set("token").alias("tokens"), F.first("verdict").alias("verdict"))
+    baskets = settle(baskets.where("size(tokens) > 1").select(F.concat("tokens", says).alias("items")))
+    n = baskets.count()
+    if n < need:
+        return single
+    model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n, minConfidence=confidence).fit(baskets)
     kept = model.associationRules.where(
-        (F.col("consequent") == F.array(F.lit("verdict=block"))) & ~F.exists("antecedent", lambda x: x.startswith("verdict="))
+        (F.col("consequent") == F.array(F.lit("verdict=block"))) & (F.size("antecedent") > 1) & ~F.array_contains("antecedent", "verdict=block")
     )
-    rules = settle(kept.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
+    rules = settle(kept.select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * n / total).alias("support")))
     small = rules.select(F.col("antecedent").alias("small"), F.element_at("antecedent", 1).alias("token"))
     large = rules.withColumn("token", F.explode("antecedent"))
     hidden = (
@@ -90,7 +129,7 @@ def mine(seen: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
         .select("antecedent")
         .distinct()
     )
-    return rules.join(hidden, "antecedent", "left_anti")
+    return single.unionByName(rules.join(hidden, "antecedent", "left_anti").select(single.columns))
 
 
 def matches(urls: DataFrame, rules: DataFrame, seen: DataFrame) -> DataFrame:
