@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH = 8 << 20
 _SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Whether Spark removes the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _ours: dict[str, list[str]] = {}
 
 
@@ -28,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (a local test session) a folder of our own is taken.
+    Only where it is unset in a local session (as in tests) a folder of our own is taken; a cluster must name one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), f"trailmark-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -40,15 +45,27 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Lineage ends there and the files outlive any executor.  :func:`sweep` removes them.
+    Lineage ends there and the files outlive any executor, so what was shuffled to make them is removed as
+    soon as they are written.  :func:`sweep` removes them.
     """
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(to)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(to)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _ours.setdefault(spark.sparkContext.applicationId, []).append(to)
     return spark.read.schema(df.schema).parquet(to)
 
 
+def bounded(small: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """A settled table with the hint to broadcast it, if it has no more than ``most`` rows (of a few numbers); else as
+    it is, for a join by shuffling."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Remove the settled tables that ``df`` reads directly; call only when nothing needs it."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:

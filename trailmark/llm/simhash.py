@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_arrow, parts, settle, text_of
+from .common import bounded, forget, map_arrow, parts, settle, text_of
 from .components import components
 
 #: Fixed value: the seed of the shingles' XXH64.
@@ -493,7 +493,7 @@ def _exact_links(rows: DataFrame, texts: DataFrame, words: int, least: float) ->
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    met = texts.join(rows.select(*keys, "node", "doc_id", "key").distinct(), ["doc_id", "key"])
+    met = texts.join(bounded(settle(rows.select(*keys, "node", "doc_id", "key").distinct())), ["doc_id", "key"])
     met = met.select(*keys, "node", "text").repartition(parts(rows.sparkSession), *keys)
     return map_arrow(met.sortWithinPartitions(*keys, "node"), run, "u long, v long")
 
@@ -612,9 +612,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     empty table gives none.  Columns of any name stay.
     """
     found = near_copies(docs, **options)
-    kept = found.where("doc_id = component_id and key = component_key").select(
+    kept = settle(found.where("doc_id = component_id and key = component_key").groupBy(
         F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")
-    ).distinct()
+    ).agg(F.count("*").alias("_kept_rows")))
     named = docs.withColumns({"_kept_id": F.col("doc_id").cast("long"), "_kept_key": F.xxhash64(text_of(docs))})
-    named = named.join(kept, ["_kept_id", "_kept_key"], "left_semi").dropDuplicates(["_kept_id", "_kept_key"])
+    named = named.join(bounded(kept.drop("_kept_rows")), ["_kept_id", "_kept_key"], "left_semi")
+    if not kept.where("_kept_rows > 1").isEmpty():
+        named = named.dropDuplicates(["_kept_id", "_kept_key"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
