@@ -42,22 +42,38 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession, kind: str = "settled") -> str:
+    """Path of a folder that does not exist yet, in the shared folder; :func:`sweep` removes it."""
+    to = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _ours.setdefault(spark.sparkContext.applicationId, []).append(to)
+    return to
+
+
+def exists(spark: SparkSession, at: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Lineage ends there and the files outlive any executor, so what was shuffled to make them is removed as
     soon as they are written.  :func:`sweep` removes them.
     """
     spark = df.sparkSession
-    to = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    to = new_folder(spark)
+    write_clean(spark, lambda: df.write.option("compression", codec).parquet(to))
+    return spark.read.schema(df.schema).parquet(to)
+
+
+def write_clean(spark: SparkSession, write) -> None:
+    """Runs ``write`` and removes what it shuffled."""
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(to)
+        write()
     finally:
         spark.conf.set(_CLEAN, before)
-    _ours.setdefault(spark.sparkContext.applicationId, []).append(to)
-    return spark.read.schema(df.schema).parquet(to)
 
 
 def bounded(small: DataFrame, most: int = 1 << 18) -> DataFrame:

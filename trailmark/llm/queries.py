@@ -26,11 +26,7 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = training_order.tokenised(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
-    return training_order.shards(tokens).select(
-        "shard", "first_slot", "n", "doc_ids", "parts",
-        F.length("payload").alias("n_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-    )
+    return training_order.materialise(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

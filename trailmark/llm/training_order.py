@@ -1,9 +1,10 @@
 """Training-order materialisation: token sequences in shards of fixed stride, in a keyed random order.
 
-Every sequence gets a number from 0 to N-1; a keyed Feistel network on a slightly larger power of four,
-walked until it falls below N, permutes the numbers.  A sequence's image is its slot in the training
-order.  Shards hold a fixed number of records of a fixed size, so slot i is in shard i // per_shard at
-byte (i % per_shard) * stride, and a run resumes from any slot by reading on from there.
+Sequences are numbered 0 to N-1 by doc_id, text and part, whatever partitions they come in; a keyed Feistel
+network on a slightly larger power of four, walked until it falls below N, permutes the numbers.  A
+sequence's image is its slot in the training order.  Range partitions of the slots are written as raw
+files, one a shard, of records of one size: slot i is in shard i // per_shard at byte
+(i % per_shard) * stride, and a run resumes from any slot by reading on from there.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, settle, text_of
-from .simhash import whole_groups
+from .common import exists, map_arrow, new_folder, parts, settle, text_of, write_clean
 
 KEY = 20_250_101
-LENGTH, PER_SHARD = 1024, 256
+#: Tokens of a record, records of a shard, and the number that fills up a record.
+LENGTH, PER_SHARD, PAD = 512, 1 << 14, 0xFFFF
 
 
 class Feistel:
@@ -117,13 +118,36 @@ def sequences(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
+def arranged(rows: DataFrame, content: str) -> DataFrame:
+    """``rows`` in the order of doc_id and ``content``, nulls first, in ranges: all before or all behind one another.
+
+    The order does not depend on how ``rows`` were dealt.  Rows equal in both are alike, so a third key that
+    does depend on it, and only spreads a row that is repeated very often, changes nothing.
+    """
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64(content), F.monotonically_increasing_id()]
+    named = rows.withColumns({f"_by{i}": k for i, k in enumerate([F.col("doc_id"), *keys[1:]])})
+    by = [F.col("_by0").asc_nulls_first(), F.col("_by1"), F.col("_by2")]
+    return named.repartitionByRange(parts(rows.sparkSession), *by).sortWithinPartitions(*by).select(rows.columns)
+
+
 def ordered(tokens: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """(slot, doc_id, part, ids) of every sequence; slots are 0 .. N-1, each once.
+    """(slot, doc_id, part, ids) of every sequence of (doc_id, token_ids); slots are 0 .. N-1, each once.
 
-    The sequences are written to the shared folder once, so that their numbers stay as they are
-    whatever is lost.  A count for each task is all that the driver sees.
+    The same rows have the same slots however they are partitioned.
     """
-    made = settle(sequences(tokens, length))
+    return _slots(sequences(arranged(tokens.select("doc_id", "token_ids"), "token_ids"), length), key)
+
+
+def ordered_documents(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, key: int = KEY) -> DataFrame:
+    """:func:`ordered` of the tokens of whole texts, which are arranged before they are tokenised."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    return _slots(sequences(tokenised(arranged(rows, "text"), path, pattern), length), key)
+
+
+def _slots(made: DataFrame, key: int) -> DataFrame:
+    """Sequences that are written to the shared folder once, so that their numbers stay as they are whatever is
+    lost.  A count for each task is all that the driver sees."""
+    made = settle(made, "zstd")
     counts = sorted(map(tuple, made.groupBy("task").count().collect()))
     first = dict(zip([t for t, _ in counts], np.cumsum([0, *(n for _, n in counts)]).tolist(), strict=False))
     total = sum(n for _, n in counts)
@@ -137,58 +161,68 @@ def ordered(tokens: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFram
     return made.withColumn("slot", slot("task", "place")).select("slot", "doc_id", "part", "ids")
 
 
-def shards(
-    tokens: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, pad: int = 0xFFFF
-) -> DataFrame:
-    """(shard, first_slot, n, payload, doc_ids, parts): range partitions of slots as binary shards.
+def stride(length: int = LENGTH) -> int:
+    """Bytes of a record: 4 for its number of tokens, the largest first, 2 a token, the smaller first, and a line end."""
+    return 4 + 2 * length + 1
 
-    A record is the number of tokens (4 bytes) and ``length`` ids of 2 bytes, filled up with ``pad``;
-    all but the last shard hold ``per_shard`` records.  An empty table gives no shards; a null doc_id
-    stays null in ``doc_ids``; repeated rows are sequences of their own.
-    """
-    dealt = ordered(tokens, length, key).withColumn("shard", F.floor(F.col("slot") / per_shard))
-    dealt = dealt.select("shard", "slot", "doc_id", "part", "ids")
-    dealt = dealt.repartitionByRange(parts(tokens.sparkSession), "shard").sortWithinPartitions("shard", "slot")
-    fill = np.array([pad], "<u2").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, 1, 1):
-            shard = table.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                some = table.slice(a, b - a)
-                ids = some.column("ids").to_pylist()
-                payload = b"".join(
-                    x for i in ids for x in ((len(i) // 2).to_bytes(4, "little"), i, fill * (length - len(i) // 2))
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(shard[a])]), some.column("slot").slice(0, 1).combine_chunks().cast(pa.int64()),
-                     pa.array([b - a], pa.int64()), pa.array([payload], pa.binary()),
-                     pa.array([some.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                     pa.array([some.column("part").to_pylist()], pa.list_(pa.int32()))],
-                    ["shard", "first_slot", "n", "payload", "doc_ids", "parts"],
-                )
+def write_shards(made: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, pad: int = PAD) -> None:
+    """Writes ordered sequences to ``path``/shard=i/, a raw file of fixed-stride records each, in slot order.
 
-    return map_arrow(
-        dealt,
-        run, "shard long, first_slot long, n long, payload binary, doc_ids array<long>, parts array<int>"
+    Tasks cover ranges of shards.  Nothing is seen of a write that is not complete; one that is complete is
+    not done again.  No sequences make a folder without shards.
+    """
+    spark = made.sparkSession
+    if exists(spark, f"{path}/_SUCCESS"):
+        return
+    shards = -(-made.count() // per_shard)
+    ranges = max(1, min(shards, parts(spark, 4)))
+    fill = F.lit(bytes(np.array([pad], "<u2").tobytes()))
+    head = F.unhex(F.lpad(F.hex(F.octet_length("ids") / 2), 8, "0"))
+    record = F.concat(head, F.rpad("ids", 2 * length, fill))
+    dealt = made.withColumn("shard", F.floor(F.col("slot") / per_shard))
+    dealt = dealt.repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {max(1, shards)} as int)"))
+    rows = dealt.sortWithinPartitions("shard", "slot").select("shard", record.cast("string").alias("value"))
+    write_clean(spark, lambda: rows.write.mode("overwrite").partitionBy("shard").option("lineSep", "\n").text(path))
+
+
+def index(made: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
+    """(shard, first_slot, n, doc_ids, parts): what the records of each shard are, in order."""
+    entry = F.struct("slot", "doc_id", "part")
+    held = made.groupBy(F.floor(F.col("slot") / per_shard).alias("shard")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return held.select(
+        "shard", F.col("e")[0]["slot"].alias("first_slot"), F.size("e").cast("long").alias("n"),
+        F.col("e.doc_id").alias("doc_ids"), F.col("e.part").alias("parts"),
     )
 
 
-def write_shards(made: DataFrame, path: str) -> None:
-    """Writes shards in slot order: files cover ranges of shards that do not overlap."""
-    made.write.parquet(path)
+def read_shards(spark: SparkSession, path: str, slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
+    """(shard, content): the written shards that a run resumed at ``slot`` reads; of the first it skips
+    ``slot % per_shard`` records."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.where(F.col("shard") >= slot // per_shard).select(F.col("shard").cast("long").alias("shard"), "content")
 
 
-def read_from(made: DataFrame, slot: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """The shards that a run resumed at ``slot`` reads, in order; within the first it skips
-    ``slot % per_shard`` records."""
-    return made.where(F.col("shard") >= slot // per_shard).orderBy("shard")
+def materialise(docs: DataFrame, path: str, pattern: str, to: str | None = None) -> DataFrame:
+    """(shard, first_slot, n, doc_ids, parts, n_bytes, payload_sha256) of every shard of whole texts, written to ``to``
+    (else a new shared folder); sizes and digests are those of the files read back.
+
+    Null text has no tokens and no sequence; a null doc_id stays null; repeated rows are sequences of their
+    own.  An empty table gives no shards.  Other columns are left behind.
+    """
+    spark = docs.sparkSession
+    to = to or new_folder(spark, "shards")
+    made = ordered_documents(docs, path, pattern)
+    write_shards(made, to)
+    if made.isEmpty():
+        return spark.createDataFrame([], "shard long, first_slot long, n long, doc_ids array<long>, parts array<int>, n_bytes long, payload_sha256 string")
+    files = read_shards(spark, to).select(
+        "shard", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("payload_sha256")
+    )
+    return index(made).join(files, "shard")
 
 
-def records(payload: bytes, length: int = LENGTH) -> list[list[int]]:
+def records(content: bytes, length: int = LENGTH) -> list[list[int]]:
     """The token ids of every record of a shard."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, 4 + 2 * length)
-    return [
-        row[4 : 4 + 2 * int.from_bytes(row[:4].tobytes(), "little")].copy().view("<u2").tolist() for row in rows
-    ]
+    rows = np.frombuffer(content, np.uint8).reshape(-1, stride(length))
+    return [row[4 : 4 + 2 * int.from_bytes(row[:4].tobytes())].copy().view("<u2").tolist() for row in rows]
