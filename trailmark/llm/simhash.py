@@ -24,9 +24,9 @@ SEED = 42
 PIECE = 4096
 #: Shingles of the texts of one cut of a cluster, about.
 CLUSTER = 1 << 18
-#: Fingerprints of sets of at least SMALL shingles that are alike to 0.8 differ in more than GATE bits once in 10^8
-#: pairs, and are compared by bits first; smaller sets are always compared as a whole.
-GATE, SMALL = 28, 16
+#: Sets of at least SMALL shingles that are alike to 0.8 differ in more than GATE bits of 64, or WIDE_GATE of 64 x WORDS,
+#: once in 10^8 pairs, and are compared by bits first; smaller sets are always compared as a whole.
+WORDS, GATE, WIDE_GATE, SMALL = 4, 28, 74, 16
 #: Shingles known to be frequent at most (the most frequent ones), shingles counted at once, and the least count there.
 FREQUENT, COUNTED, OFTEN = 1 << 17, 1 << 22, 3
 
@@ -87,13 +87,13 @@ def block_keys(fp: Column, radius: int) -> Column:
 
 
 class Planes:
-    """Bit planes of 64-bit fingerprints, in eight copies that are moved by 0 to 7 rows."""
+    """Bit planes of fingerprints of one or several 64-bit words, in eight copies that are moved by 0 to 7 rows."""
 
     def __init__(self, fps: np.ndarray):
         n = self.n = len(fps)
-        bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).T
+        bits = np.unpackbits(fps.reshape(n, -1).astype(">u8").view(np.uint8), axis=1).T
         self.bytes = -(-n // 64) * 8
-        self.copies = np.zeros((8, 64, 2 * self.bytes), np.uint8)
+        self.copies = np.zeros((8, len(bits), 2 * self.bytes), np.uint8)
         for moved in range(8):
             packed = np.packbits(bits[:, moved:], axis=1)
             self.copies[moved, :, : packed.shape[1]] = packed
@@ -109,7 +109,7 @@ class Planes:
         held = [np.full(len(words), 2**64 - 1 if start >> k & 1 else 0, np.uint64) for k in range(count)]
         here, there = self.copies[0], self.copies[shift % 8]
         byte = shift // 8
-        for plane in range(64):
+        for plane in range(len(here)):
             a = here[plane, : self.bytes].view(np.uint64)[words]
             b = there[plane, byte : byte + self.bytes].copy().view(np.uint64)[words]
             carry = a ^ b
@@ -238,42 +238,81 @@ def links(rows: DataFrame, radius: int, piece: int = PIECE) -> DataFrame:
     return compared(met, radius)
 
 
-def compared(met: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
-    """(u, v) that connect what is near in each (bucket, lo, hi) of rows with side, node and fp.
+def compared(met: DataFrame, radius: int) -> DataFrame:
+    """(u, v) that connect what is near in each (bucket, lo, hi) of rows with side, node and fp."""
 
-    Rows with ``size`` and ``exact`` are of sets: those that are not ``exact`` are near by their bits, all of
-    them only if their sizes allow a similarity of ``least``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, group in _grouped(batches):
+            side, node, fp = (whole.column(k).to_numpy() for k in (3, 4, 5))
+            u, v = compare(fp.view(np.uint64), group, side, radius)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
+
+    return map_arrow(_dealt(met, "fp"), run, "u long, v long")
+
+
+def _dealt(met: DataFrame, *more: str) -> DataFrame:
+    keys = ["bucket", "lo", "hi"]
+    met = met.select(*keys, "side", "node", *more).repartition(parts(met.sparkSession), *keys)
+    return met.sortWithinPartitions(*keys, "node")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups by (bucket, lo, hi), and the group of each row."""
+    for whole in whole_groups(batches, 3, least):
+        bucket, lo, hi = (whole.column(k).to_numpy() for k in range(3))
+        change = np.ones(len(bucket), bool)
+        change[1:] = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        yield whole, np.cumsum(change)
+
+
+def _near_sets(whole: pa.Table, group: np.ndarray, fps: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are linked by their bits, or by being small (``exact``), if their sizes allow them to be alike."""
+    side, node, size = (whole.column(k).to_numpy() for k in (3, 4, 5))
+    exact = whole.column(6).to_numpy()
+    new = np.ones(len(node), bool)  # one node is once in a group and side
+    new[1:] = (group[1:] != group[:-1]) | (node[1:] != node[:-1]) | (side[1:] != side[:-1])
+    u, v = [], []
+    for which, bits in ((new & exact, 64 * WORDS), (new & ~exact, radius)):
+        at = np.flatnonzero(which)
+        if len(at) > 1:
+            a, b = compare(fps[at], group[at], side[at], bits, size[at], least)
+            u.append(at[a])
+            v.append(at[b])
+    if not u:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    u, v = np.concatenate(u), np.concatenate(v)
+    other = node[u] != node[v]
+    return u[other], v[other]
+
+
+def near_sets(met: DataFrame, prints: DataFrame, gate: int, wide_gate: int, least: float) -> DataFrame:
+    """(u, v) that connect the sets that are near in each (bucket, lo, hi) of rows with side, node, fp, size and exact.
+
+    Rows are compared by the 64 bits of ``fp`` first; only those left with a partner get their ``wide`` fingerprint
+    of ``prints`` (node, wide) and are compared by it.
     """
-    sets = "size" in met.columns
-    met = met.select("bucket", "lo", "hi", "side", "node", "fp", *(["size", "exact"] if sets else []))
-    met = met.repartition(parts(met.sparkSession), "bucket", "lo", "hi")
-    met = met.sortWithinPartitions("bucket", "lo", "hi", "node")
+    keys = ["bucket", "lo", "hi", "side", "node", "size", "exact"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_groups(batches, 3, 1 << 16):
-            bucket, lo, hi, side, node, fp = (whole.column(k).to_numpy() for k in range(6))
-            change = np.ones(len(bucket), bool)
-            change[1:] = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            group = np.cumsum(change)
-            if sets:
-                # one node is once in a group and side
-                new = change.copy()
-                new[1:] |= (node[1:] != node[:-1]) | (side[1:] != side[:-1])
-                size, exact = whole.column(6).to_numpy(), whole.column(7).to_numpy(zero_copy_only=False)
-                found = []
-                for which, bits in ((new & exact, 64), (new & ~exact, radius)):
-                    at = np.flatnonzero(which)
-                    if len(at) > 1:
-                        u, v = compare(fp[at].view(np.uint64), group[at], side[at], bits, size[at], least)
-                        found.append((at[u], at[v]))
-                u, v = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
-                u, v = u[node[u] != node[v]], v[node[u] != node[v]]
-            else:
-                u, v = compare(fp.view(np.uint64), group, side, radius)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, group in _grouped(batches):
+            u, v = _near_sets(whole, group, whole.column("fp").to_numpy().view(np.uint64), gate, least)
+            if len(u):
+                at = np.unique(np.concatenate([u, v]))
+                yield whole.select(keys).take(pa.array(at)).combine_chunks().to_batches()[0]
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, group in _grouped(batches, 1 << 14):
+            fps = np.frombuffer(b"".join(whole.column("wide").to_pylist()), np.uint64).reshape(-1, WORDS)
+            u, v = _near_sets(whole, group, fps, wide_gate, least)
+            node = whole.column(4).to_numpy()
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    return map_arrow(met, run, "u long, v long")
+    kinds = "bucket long, lo int, hi int, side int, node long, size long, exact boolean"
+    left = map_arrow(_dealt(met, "size", "exact", "fp"), first, kinds)
+    left = left.join(bounded(prints), "node")
+    return map_arrow(_dealt(left.select(*keys, "wide"), "size", "exact", "wide"), second, "u long, v long")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[pa.Table]:
@@ -331,10 +370,22 @@ def _with_components(signed: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
     return signed.join(settle(ids), "fp")  # a join by itself, which can split the copies of a hot fingerprint
 
 
+_WIDEN = np.array([1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set in WORDS words; the first is :func:`fingerprint`."""
+    out = []
+    for k in range(WORDS):
+        h = hashes * _WIDEN[k]
+        out.append(fingerprint(h ^ (h >> np.uint64(32)) if k else h))
+    return np.array(out, np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, same, size, fp, own) of every text: ``key`` a hash of the text, ``size`` the number of distinct
-    hashes of its shingles, ``same`` a hash of them all, ``fp`` their fingerprint, ``own`` their upper halves in order."""
-    names = ["doc_id", "key", "same", "size", "fp", "own"]
+    """(doc_id, key, same, size, wide, own) of every text: ``key`` a hash of the text, ``size`` the number of distinct
+    hashes of its shingles, ``same`` a hash of them all, ``wide`` their fingerprint, ``own`` their upper halves in order."""
+    names = ["doc_id", "key", "same", "size", "wide", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -347,13 +398,13 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                     own = np.unique(shingle_hashes(text.as_py(), words))
                     same.append(np.uint64(xxh64_intdigest(own.tobytes())).astype(np.int64))
                     size.append(len(own))
-                    fp.append(fingerprint(own))
+                    fp.append(wide_print(own).tobytes())
                     kept.append((own >> np.uint64(32)).astype(np.uint32).tobytes())
                 columns = [some.column(0), some.column(1), pa.array(same, pa.int64()), pa.array(size, pa.int64())]
-                columns += [pa.array(fp, pa.int64()), pa.array(kept, pa.binary())]
+                columns += [pa.array(fp, pa.binary()), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_arrow(_keyed(docs), run, "doc_id long, key long, same long, size long, fp long, own binary")
+    return map_arrow(_keyed(docs), run, "doc_id long, key long, same long, size long, wide binary, own binary")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -423,6 +474,7 @@ def _buckets(sets: DataFrame, shared, least: float, piece: int) -> DataFrame:
             at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
             count = np.where(h[at] == own, n[at], 0) if len(h) else np.zeros(len(own), np.int64)
             size = np.diff(starts)
+            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, WORDS)[:, 0]
             taken = [prefix(own[a:b], count[a:b], least) + a for a, b in zip(starts[:-1], starts[1:], strict=True)]
             row = np.repeat(np.arange(len(size)), [len(t) for t in taken])
             taken = np.concatenate(taken)
@@ -430,10 +482,10 @@ def _buckets(sets: DataFrame, shared, least: float, piece: int) -> DataFrame:
                 r, t = row[here], taken[here]
                 bucket = 2 * own[t].astype(np.int64) + exact
                 columns = [pa.array(bucket), pa.array(np.maximum(1, -(-count[t] // piece)).astype(np.int32))]
-                columns += [batch.column(k).take(pa.array(r)) for k in (0, 1, 2)] + [pa.array(np.full(len(r), exact))]
+                columns += [batch.column(0).take(pa.array(r)), pa.array(fp[r]), batch.column(2).take(pa.array(r)), pa.array(np.full(len(r), exact))]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "cuts", "node", "fp", "size", "exact"])
 
-    rows = sets.select("same", "fp", "size", "own")
+    rows = sets.select("same", "wide", "size", "own")
     return map_arrow(rows, run, "bucket long, cuts int, node long, fp long, size long, exact boolean")
 
 
@@ -531,13 +583,16 @@ def _labels(edges: DataFrame) -> DataFrame:
     return components(edges).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, gate: int = GATE, piece: int = PIECE) -> DataFrame:
+def near_copies(
+    docs: DataFrame, words: int = 5, least: float = 0.8, gate: int = GATE, wide_gate: int = WIDE_GATE, piece: int = PIECE
+) -> DataFrame:
     """(doc_id, key, component_id, component_key) where texts are linked by a similarity of ``least`` or more.
 
     Similarity is that of the sets of ``words``-word shingles (two empty sets are equal); ``key`` is a hash of
     the text, and a component is named by its smallest (doc_id, key).  Equal sets are one node.  Sets that can
     be so similar share a bucket (:func:`prefix`); there, fingerprints of the sets are compared bit-sliced, and
-    those more than ``gate`` bits apart are rejected (64 rejects none).  What is left makes clusters, in
+    those more than ``gate`` bits apart of 64, or ``wide_gate`` of the wider ones, are rejected (64 and 256
+    reject none).  What is left makes clusters, in
     which whole sets are compared.  Rows with a null doc_id take no part.
 
     Of a bucket or cluster that is too large for a task, cuts are linked first, and then only what this did
@@ -551,7 +606,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, gate: int =
     nodes = settle(every.groupBy("same").agg(
         F.min(F.struct("doc_id", "key", "row")).alias("first"), F.first("size").alias("size")
     ).select("same", "first.doc_id", "first.key", "first.row", "size"))
-    sets = settle(every.join(nodes.where("size > 0").select("same", "row"), ["same", "row"]).select("same", "size", "fp", "own"))
+    sets = settle(every.join(nodes.where("size > 0").select("same", "row"), ["same", "row"]).select("same", "size", "wide", "own"))
     signed = settle(every.select("doc_id", "key", "same"))
     forget(spark, every)
     known = frequent(sets)
@@ -559,13 +614,14 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, gate: int =
     rows = _buckets(sets, shared, least, piece)
     texts = _keyed(named)
     cut = F.pmod(F.xxhash64("node", "bucket"), F.col("cuts")).cast("int")
-    near = compared(rows.withColumns({"lo": cut, "hi": cut, "side": F.lit(0)}), gate, least)
+    prints = settle(sets.select(F.col("same").alias("node"), "wide"))
+    near = near_sets(rows.withColumns({"lo": cut, "hi": cut, "side": F.lit(0)}), prints, gate, wide_gate, least)
     edges = _verified(_clusters(near, nodes), texts, words, least)
     if len(known[1]) and int(known[1].max()) > piece:
         edges = settle(edges)
         labels = settle(_labels(edges))
         large = settle(rows.where("cuts > 1").drop("cuts"))
-        near = compared(_apart(large, "bucket", labels, F.lit(1), piece), gate, least)
+        near = near_sets(_apart(large, "bucket", labels, F.lit(1), piece), prints, gate, wide_gate, least)
         edges = edges.unionByName(_verified(_clusters(near, nodes), texts, words, least, labels))
     found = _labels(edges).withColumnRenamed("node", "same")
     linked = nodes.join(found, "same")
