@@ -88,6 +88,46 @@ def test_runs(spark):
     assert rows(runs.around(cited, df, ["k"], "n", 1, most=2), "n", "truncated") == [(1, True), (2, True)]
 
 
+def test_ancestry_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(200)], "k int, p int")
+    got = runs.ancestry(chain, "k", "p")
+    assert got.count() == 199 * 200 // 2 and rows(got.where("k = 199 and depth in (1, 64, 199)")) == [(199, 0, 199), (199, 135, 64), (199, 198, 1)]
+    assert runs.ancestry(chain.limit(0), "k", "p").count() == 0
+
+
+def test_parameters():
+    good = filters.parameters(project="0A0B0C0D-0000-1111-2222-333344445555", tags=" B,a,b", pr="2147483647", commit="ABCDEF1", since="2024-02-29", limit="100", zone="Europe/Berlin")
+    assert good["project"].startswith("0a0b") and good["tags"] == ["b", "a"] and good["pr"] == 2**31 - 1 and good["commit"] == "abcdef1" and good["limit"] == 100
+    bad = {"project": "0a0b", "tags": "a,,b", "pr": "2147483648", "commit": "xyz1234", "since": "2023-02-29", "limit": "101", "page": "0", "zone": "Mars/One", "branch": " ", "other": "x"}
+    for name, text in bad.items():
+        with pytest.raises(ValueError, match=name):
+            filters.parameters(**{name: text})
+
+
+def test_named_commits(spark):
+    commits = spark.createDataFrame([("abcdef1000", 1), ("abcdef1", 2), ("bbbbbbb1", 3), ("bbbbbbb2", 4)], "sha string, n int")
+    named = lambda p: rows(filters.commits_named(commits, p), "n")
+    assert named("ABCDEF1") == [(2,)] and named("abcdef10") == [(1,)] and named("fff0000") == []
+    with pytest.raises(Exception, match="more than one commit"):
+        named("bbbbbbb")
+
+
+def test_reassign_and_blocks(spark):
+    s = spark.createDataFrame([(1, 7, "me"), (2, 7, "you"), (3, 8, "me"), (4, None, "me")], "id int, project_id int, user_id string")
+    assert rows(upsert.reparent(s, 7, 9), "id", "project_id") == [(1, 9), (2, 9), (3, 8), (4, None)]
+    assert rows(upsert.reparent(s, 7, 9, "me"), "id", "project_id") == [(1, 9), (2, 7), (3, 8), (4, None)]
+    at = lambda x: None if x is None else datetime(2024, 1, 1, 0, 0, x)
+    records = [(1, i, r, k, at(t)) for i, (r, k, t) in enumerate([("user", "message", 1), ("assistant", "message", 2), ("assistant", "toolCall", 5), ("user", "message", 6), ("assistant", None, None), ("assistant", "toolCall", 9)])]
+    df = spark.createDataFrame(records, "s int, n int, role string, kind string, at timestamp")
+    assert rows(runs.blocks(df, ["s"], "n"), "block", "first", "messages", "tool_calls", "duration_ms") == [(1, 1, 1, 1, 3000), (2, 4, 1, 1, None)]
+
+
+def test_problems_are_replaced(spark):
+    old = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "d")], "review_id int, position int, title string")
+    again = spark.createDataFrame([(1, [("x",)]), (3, [])], "review_id int, problems array<struct<title:string>>")
+    assert rows(upsert.replace_problems(old, again)) == [(1, 0, "x"), (2, 0, "c")]
+
+
 def test_upserts(spark):
     schema = "k int, a string, t int, o string"
     old = spark.createDataFrame([(1, "x", 5, "first"), (2, "y", 7, "first")], schema)
@@ -195,7 +235,7 @@ def test_evidence(spark):
 def test_contained(spark):
     texts = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "xy"), (3, "beta gammas"), (4, "")], "d int, said string")
     quotes = spark.createDataFrame([(1, "pha beta gamma delta epsilon ze"), (2, "a beta g"), (3, "xy"), (4, "beta gamma"), (5, "no such words are in here")], "q int, quote string")
-    assert rows(evidence.contained(quotes, "quote", texts, "said"), "q", "d") == [(1, 1), (2, 1), (3, 2), (4, 1), (4, 3)]
+    assert rows(evidence.contained(quotes, "quote", texts, "said", ["d"]), "q", "d") == [(1, 1), (2, 1), (3, 2), (4, 1), (4, 3)]
 
 
 M_ = "session_id string, pos long, track_id string, line int, ts timestamp, msg_type string, sub_type string, role string, content_type string, text string, call_id string, tool_name string, input string, output string, status string, command string, write_path string, tokens struct<input:long,output:long,cached:long,thinking:long>"

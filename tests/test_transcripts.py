@@ -106,3 +106,15 @@ def test_follow(spark, tmp_path):
     schema = spark.read.parquet(str(tmp_path / "store/messages/batch=0")).schema
     found = store.read("messages", schema).groupBy("session_id").count().collect()
     assert {r.session_id: r["count"] for r in found} == {"s1": 16, "s2": 16}
+
+
+def test_sidecars(spark):
+    from trailmark.sources import transcripts
+
+    paths = spark.createDataFrame([("s/agent-a1.jsonl",), ("s/main.jsonl",), ("s\\agent-b.jsonl",), ("s/agent-c.jsonl",), ("s/agent-.jsonl",)], "path string")
+    metadata = spark.createDataFrame([
+        ("s/agent-a1.meta.json", '{"agentType":"explore","description":"","spawnDepth":2,"toolUseId":"t1","spawnToolUseId":"t0"}'),
+        ("s\\agent-b.meta.json", '{"agentType":7,"spawnDepth":-1,"spawnToolUseId":"t2"}'), ("s/agent-c.meta.json", "[broken"),
+    ], "path string, raw string")
+    got = sorted(map(tuple, transcripts.sidecars(paths, metadata).drop("path").collect()))
+    assert got == [("a1", "explore", "", 2, "t1"), ("b", None, None, None, "t2"), ("c", None, None, None, None)]

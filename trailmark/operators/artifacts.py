@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.content import references
+from ..tables import settled
 
 #: Messages of one request, characters and keys of a call's summary, attempts of an upload.
 CHUNK, SUMMARY, ATTEMPTS = 500, 200, 5
 SUMMARY_KEYS = ("command", "file_path", "path", "query", "pattern", "prompt", "description")
-#: Levels of references that are followed at most.
-LEVELS = 32
 
 
 def writes(events: DataFrame) -> DataFrame:
@@ -54,15 +53,14 @@ def settle_uploads(queue: DataFrame, done: DataFrame, failed: DataFrame) -> Data
 def closure(start: DataFrame, files: DataFrame) -> DataFrame:
     """(path): the files (path, content) that ``start`` (path) leads to by references, itself included.
 
-    Level by level, only new files go on; paths are compared as written, relative to the root.
+    Level by level until no new file is met; only new files go on.  Paths are compared as written, relative to
+    the root.
     """
-    links = files.select("path", F.explode(references(F.col("content"))).alias("to")).join(files.select(F.col("path").alias("to")), "to", "left_semi")
-    seen = level = start.select("path").distinct()
-    for _ in range(LEVELS):
-        level = links.join(level, "path", "left_semi").select(F.col("to").alias("path")).distinct().join(seen, "path", "left_anti")
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
+    links = settled(files.select("path", F.explode(references(F.col("content"))).alias("to")).join(files.select(F.col("path").alias("to")), "to", "left_semi"))
+    seen = level = settled(start.select("path").distinct())
+    while not level.isEmpty():
+        level = settled(links.join(level, "path", "left_semi").select(F.col("to").alias("path")).distinct().join(seen, "path", "left_anti"))
+        seen = settled(seen.unionByName(level))
     return seen
 
 

@@ -11,32 +11,41 @@ from ..functions.content import QUOTE_MIN, RANGE_MAX, quote_pieces, squash
 KEY = 4
 
 
-def contained(quotes: DataFrame, quote: str, texts: DataFrame, text: str, key: int = KEY) -> DataFrame:
+def contained(quotes: DataFrame, quote: str, texts: DataFrame, text: str, by: list[str], key: int = KEY) -> DataFrame:
     """Rows of ``quotes`` joined to the rows of ``texts`` that contain them; both squashed before.
 
     A quote's first words but its very first (which may begin inside a word) are its key.  Texts are cut
     in runs of as many words, only runs that are a key stay, and what meets is compared in full.  Quotes too
     short for a key, few words each, are looked for by their longest inner word, else by their characters.
+    Runs travel with ``by`` (columns of ``texts`` that name a row) alone, and texts join what was met.
     """
     words = F.split(quote, " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     keyed = quotes.withColumn("_inner", inner)
-    long = keyed.where(F.size("_inner") >= key).withColumn("_key", F.xxhash64(F.array_join(F.slice("_inner", 1, key), " ")))
-    short = keyed.where(F.size("_inner") < key)
-    wanted = long.select("_key").distinct()
-    w = F.split(text, " ")
-    runs = F.when(F.size(w) >= key, F.transform(F.sequence(F.lit(1), F.size(w) - key + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, key), " "))))
-    spread = texts.withColumn("_w", w)
-    met = spread.select("*", F.explode(F.array_distinct(runs)).alias("_key")).join(wanted, "_key", "left_semi")
-    out = met.join(long, "_key").where(F.contains(F.col(text), F.col(quote)))
-    columns = [*quotes.columns, *texts.columns]
-    # one exact pass for quotes of a few words: the longest inner word must be a word of the text
-    lone = short.where(F.size("_inner") > 0).withColumn("_one", F.array_max(F.transform("_inner", lambda x: F.struct(F.length(x), x.alias("x"))))["x"])
-    by_word = spread.select("*", F.explode(F.array_distinct("_w")).alias("_one")).join(lone, "_one").where(F.contains(F.col(text), F.col(quote)))
-    tiny = short.where(F.size("_inner") == 0).withColumn("_three", F.substring(quote, 1, QUOTE_MIN))
+    many = F.size("_inner")
+    kinds = keyed.agg(F.count_if(many >= key), F.count_if((many > 0) & (many < key)), F.count_if(many == 0)).first()
+    w = F.col("_w")
+    runs = F.transform(F.sequence(F.lit(1), F.size(w) - key + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, key), " ")))
+    runs = F.when(F.size(w) >= key, runs)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - QUOTE_MIN + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(QUOTE_MIN)))
-    by_gram = texts.select("*", F.explode(F.array_distinct(grams)).alias("_three")).join(tiny, "_three").where(F.contains(F.col(text), F.col(quote)))
-    return out.select(columns).unionByName(by_word.select(columns)).unionByName(by_gram.select(columns))
+    # the longest inner word of a quote of a few words must be a word of the text
+    longest = F.array_max(F.transform("_inner", lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+    ways = (
+        (kinds[0], many >= key, F.xxhash64(F.array_join(F.slice("_inner", 1, key), " ")), runs),
+        (kinds[1], (many > 0) & (many < key), longest, w),
+        (kinds[2], many == 0, F.substring(quote, 1, QUOTE_MIN), grams),
+    )
+    columns = [*quotes.columns, *texts.columns]
+    out = None
+    for count, which, of_quote, of_text in ways:
+        if not count and out is not None:
+            continue
+        asked = keyed.where(which).withColumn("_key", of_quote).drop("_inner")
+        rows = texts.withColumn("_w", F.split(text, " ")).select(*by, F.explode(F.array_distinct(of_text)).alias("_key"))
+        met = rows.join(asked, "_key").drop("_key").distinct()
+        found = met.join(texts, by).where(F.contains(F.col(text), F.col(quote))).select(columns)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def record_text() -> Column:

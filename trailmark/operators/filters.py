@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from uuid import UUID
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
@@ -77,8 +78,20 @@ class Ambiguous(ValueError):
     """A prefix that names more than one commit."""
 
 
+def commits_named(commits: DataFrame, prefix: str, column: str = "sha") -> DataFrame:
+    """The rows of the one visible commit that a prefix means: an exact one wins, none gives no rows, and several
+    fail the query that reads them."""
+    low = prefix.lower()
+    found = commits.where(F.col(column).startswith(low)).agg(
+        F.bool_or(F.col(column) == low).alias("exact"), F.min(column).alias("least"), F.max(column).alias("most")
+    )  # one row
+    several = F.raise_error(F.lit(f"{prefix} names more than one commit"))
+    one = F.when(F.col("exact"), F.lit(low)).when(F.col("least") == F.col("most"), F.col("least")).when(F.col("least").isNotNull(), several)
+    return commits.join(F.broadcast(found.select(one.alias(column))), column, "left_semi")
+
+
 def commit_by_prefix(commits: DataFrame, prefix: str, column: str = "sha") -> str | None:
-    """The one visible commit that a prefix means: an exact one wins, none gives None, several raise."""
+    """The one visible commit that a prefix means, looked up at once: several raise :class:`Ambiguous`."""
     found = [r[0] for r in commits.where(F.col(column).startswith(prefix.lower())).select(column).distinct().orderBy(column).limit(2).collect()]
     if prefix.lower() in found:
         return prefix.lower()
@@ -87,6 +100,81 @@ def commit_by_prefix(commits: DataFrame, prefix: str, column: str = "sha") -> st
     return found[0] if found else None
 
 
+def on_branch(sessions: DataFrame, key: str, messages: DataFrame, commits: DataFrame, pulls: DataFrame, branch: str) -> DataFrame:
+    """Sessions that a branch shows up in: of a message, of a commit, or as base or head of a pull request."""
+    here = F.lit(branch)
+    paths = [
+        messages.where(F.col("branch") == here), commits.where(F.col("branch") == here),
+        pulls.where((F.col("base_branch") == here) | (F.col("head_branch") == here)),
+    ]
+    return visible(sessions, key, [p.select("session_id") for p in paths])
+
+
+def of_pull_request(sessions: DataFrame, key: str, pulls: DataFrame, number: int) -> DataFrame:
+    """Sessions linked to a pull request of that number, in any repository."""
+    return visible(sessions, key, [pulls.where(F.col("number") == number).select("session_id")])
+
+
+def holding(rows: DataFrame, user: str = "", project: str = "") -> DataFrame:
+    """Rows whose user and project names hold what was typed, in any case; nothing typed does not limit."""
+    for column, typed in (("user_name", user), ("project_name", project)):
+        if typed.strip():
+            rows = rows.where(F.contains(F.lower(column), F.lit(typed.strip().lower())))
+    return rows
+
+
+#: The domains of a list's parameters.
+MOST_PULL, MOST_TAGS, MOST_TAG, MOST_BRANCH, MOST_PAGE, MOST_LIMIT = 2**31 - 1, 50, 32, 255, 100_000, 100
+
+
+def parameters(**given: str) -> dict:
+    """The parameters of a session list in their types: project, branch, tags, pr, commit, since, until, page, limit
+    and zone.  What is outside its domain raises ``ValueError`` with the parameter's name."""
+    def whole(text: str, least: int, most: int) -> int:
+        if not (text.isascii() and text.isdigit() and least <= int(text) <= most):
+            raise ValueError
+        return int(text)
+
+    def hexadecimal(text: str) -> str:
+        if not 7 <= len(text) <= 40:
+            raise ValueError
+        int("0x" + text if text.isalnum() else "-", 16)
+        return text.lower()
+
+    def tag_list(text: str) -> list[str]:
+        tags = list(dict.fromkeys(t.strip().lower() for t in text.split(",")))
+        if len(text.split(",")) > MOST_TAGS or not all(0 < len(t) <= MOST_TAG and len(t.split()) == 1 for t in tags):
+            raise ValueError
+        return tags
+
+    def identifier(text: str) -> str:
+        text = text.strip()
+        if [len(x) for x in text.split("-")] != [8, 4, 4, 4, 12]:
+            raise ValueError
+        return str(UUID(text))
+
+    def branch_name(text: str) -> str:
+        if not text.strip() or len(text) > MOST_BRANCH:
+            raise ValueError
+        return text
+
+    def zone_name(text: str) -> str:
+        return ZoneInfo(text.strip()).key
+
+    domain = {
+        "project": identifier, "branch": branch_name, "tags": tag_list, "pr": lambda x: whole(x, 1, MOST_PULL), "commit": hexadecimal,
+        "since": lambda x: datetime.strptime(x, "%Y-%m-%d").date(), "until": lambda x: datetime.strptime(x, "%Y-%m-%d").date(),
+        "page": lambda x: whole(x, 1, MOST_PAGE), "limit": lambda x: whole(x, 1, MOST_LIMIT), "zone": zone_name,
+    }
+    out = {}
+    for name, text in given.items():
+        try:
+            out[name] = domain[name](text)
+        except (ValueError, KeyError, OSError) as e:
+            raise ValueError(f"{name}: {text!r}") from e
+    return out
+
+
 def shown_runs(runs: DataFrame) -> DataFrame:
     """Finished runs that no newer finished full run of the session and analyzer replaces."""
     w = Window.partitionBy("session_id", "analyzer")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
+from ..tables import settled
+
 
 def ordered(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -92,21 +94,45 @@ def dominant(df: DataFrame, by: Sequence[str], value: str, line: str) -> DataFra
     return counted.withColumn("_r", best).where("_r = 1").select(*by, value, "n")
 
 
-def ancestry(nodes: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
-    """(key, ancestor, depth) for every ancestor of every node; rings end where they close.
+def ancestry(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, ancestor, depth) for every ancestor of every node, one parent a node; rings end where they close.
 
-    Level by level with a join each, at most ``most`` levels; the nodes already met are carried along.
+    Reaches twice as far each round: who is 2^r levels up brings along its own ancestors up to 2^r levels.
+    Rounds end when none adds an ancestor, and each is written down, so nothing is computed twice.
     """
-    up = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_p")).where("_p is not null")
-    level = up.select(F.col("_k").alias(key), F.col("_p").alias("ancestor"), F.array("_k").alias("met"))
-    level = level.where(~F.array_contains("met", F.col("ancestor")))
-    found = None
-    for depth in range(1, most + 1):
-        now = level.select(key, "ancestor", F.lit(depth).alias("depth"))
-        found = now if found is None else found.unionByName(now)
-        level = level.join(up, level["ancestor"] == up["_k"]).select(
-            key, F.col("_p").alias("ancestor"), F.concat("met", F.array("_k")).alias("met")
-        ).where(~F.array_contains("met", F.col("ancestor")))
-        if level.isEmpty():
+    near = nodes.select(F.col(key).alias("_k"), F.col(parent).alias("_a"), F.lit(1).alias("depth"))
+    near = settled(near.where("_k is not null and _a is not null"))
+    jump = near.select("_k", F.col("_a").alias("_j"))
+    pairs, count = near.where("_k <> _a"), None
+    reach = 1
+    while True:
+        far = jump.join(pairs.select(F.col("_k").alias("_j"), "_a", (F.col("depth") + reach).alias("depth")), "_j")
+        both = pairs.unionByName(far.select("_k", "_a", "depth")).where("_k <> _a")
+        pairs = settled(both.groupBy("_k", "_a").agg(F.min("depth").alias("depth")))
+        before, count = count, pairs.count()
+        if count == before:
             break
-    return found
+        step = jump.select(F.col("_k").alias("_j"), F.col("_j").alias("_n"))
+        jump = settled(jump.join(step, "_j").select("_k", F.col("_n").alias("_j")))
+        reach *= 2
+    return pairs.select(F.col("_k").alias(key), F.col("_a").alias("ancestor"), "depth")
+
+
+def blocks(records: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """(by..., block, first, messages, tool_calls, duration_ms): statistics of each run of records of an assistant.
+
+    Records have role, kind and at (a timestamp).  A duration is null where a time is missing or the last
+    record is before the first.
+    """
+    ours = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    in_order = Window.partitionBy(*by).orderBy(order)
+    starts = ours & ~F.coalesce(F.lag(ours).over(in_order), F.lit(False))
+    marked = records.withColumns({"_ours": ours, "_starts": starts.cast("int")})
+    marked = marked.withColumn("block", F.sum("_starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    call = F.col("kind") == "toolCall"
+    found = marked.where("_ours").groupBy(*by, "block").agg(
+        F.min(order).alias("first"), F.count_if(~F.coalesce(call, F.lit(False))).alias("messages"), F.count_if(call).alias("tool_calls"),
+        F.min_by(F.struct("at"), order).alias("_head"), F.max_by(F.struct("at"), order).alias("_tail"),
+    )
+    span = F.unix_millis("_tail.at") - F.unix_millis("_head.at")
+    return found.withColumn("duration_ms", F.when(span >= 0, span)).drop("_head", "_tail")

@@ -28,6 +28,23 @@ def cap(text: Column) -> Column:
     return F.when(broken, F.regexp_replace(cut, r"\S+$", "")).otherwise(cut)
 
 
+#: What is searched of each kind of row, in this order, with a space between.
+SEARCHED = {
+    "session": ("name", "description", "title", "id"), "message": ("id", "content", "details"), "pullRequest": ("title",),
+    "toolCall": ("tool_id", "tool_input"), "toolResult": ("tool_id", "result"),
+}
+
+
+def search_text(kind: str, have: dict[str, Column]) -> Column:
+    """What is indexed of a row of a kind: its columns in order, null as empty, capped.  JSON columns come as text."""
+    return cap(F.array_join(F.array(*[F.coalesce(have[c].cast("string"), F.lit("")) for c in SEARCHED[kind]]), " "))
+
+
+def token_table(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with ``w``, the tokens of a capped ``text``: computed once, written, and searched ever after."""
+    return rows.withColumn("w", tokens(text))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words in order: runs of letters, marks and decimal digits."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{Nd}]+"), F.lit(0))
@@ -119,6 +136,16 @@ def page(df: DataFrame, order: list[Column], number: int = 1, limit: int = 50) -
     return df.orderBy(*order).offset((max(number, 1) - 1) * limit).limit(limit)
 
 
+def counted_page(df: DataFrame, order: list[Column], number: int = 1, limit: int = 50) -> DataFrame:
+    """A page's rows with ``total`` rows and ``total_pages`` of the whole list; a page behind the last has no rows.
+
+    The total is an aggregate of its own, combined before the shuffle, not a window over all rows in one task.
+    """
+    limit = max(1, min(limit, 100))
+    total = df.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / limit).cast("int"))
+    return page(df, order, number, limit).crossJoin(F.broadcast(total))  # one row
+
+
 def snippets(page_rows: DataFrame, text: str, query: str, words: int = 35) -> DataFrame:
     """``page_rows`` with ``snippet``: up to two fragments of at most ``words`` words as (text, highlighted)
     segments.  Meant for one page; at most 32 segments and 4,000 characters."""

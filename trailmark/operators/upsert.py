@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row for each key: the first by ``order``."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or keys)))
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
@@ -63,6 +63,39 @@ def last_write(target: DataFrame, batch: DataFrame, keys: Sequence[str], *order:
     return replace_set(target, first_by(batch, keys, *order), keys)
 
 
+def reparent(sessions: DataFrame, source: int | str, to: int | str, owner: int | str | None = None) -> DataFrame:
+    """``sessions`` with those of project ``source`` moved to ``to``: the ``owner``'s own, or everybody's."""
+    moves = F.col("project_id") == source
+    if owner is not None:
+        moves &= F.col("user_id") == owner
+    return sessions.withColumn("project_id", F.when(moves, F.lit(to)).otherwise(F.col("project_id")))
+
+
+def replace_problems(target: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``target`` (review_id, position, title, ...) with the problems of ``reviews`` (review_id, problems: an array of
+    structs) in place of those their reviews had; a position is the place in the array, and no problems leave none."""
+    rest = target.join(reviews.select("review_id"), "review_id", "left_anti")
+    fresh = reviews.select("review_id", F.posexplode("problems").alias("position", "p")).select("review_id", "position", "p.*")
+    return rest.select(target.columns).unionByName(fresh.select(target.columns))
+
+
+def observe_commits(target: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`insert_ignore` of commits by repository and hash: the first observation stays."""
+    return insert_ignore(target, batch, ["repo_id", "sha"], F.col("observed_at"))
+
+
+def insert_opened(pulls: DataFrame, links: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pull requests, links) after a batch of sightings: requests by repository and number are enriched with what is
+    not null, first observations keep their time, and a session is linked to a request once."""
+    key = ["repo_id", "number"]
+    told = [c for c in pulls.columns if c not in key]
+    latest = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("observed_at", "session_id"))).alias(c) for c in told}
+    folded = batch.groupBy(*key).agg(*[F.min(c).alias(c) if c == "observed_at" else latest[c] for c in told])
+    merged = coalesce_upsert(pulls, folded.select(pulls.columns), key, earliest=[c for c in told if c == "observed_at"])
+    fresh, _ = insert_ignore(links, batch.select(*links.columns), links.columns)
+    return merged, links.unionByName(fresh)
+
+
 def first_last_seen(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """Keys with first and last sighting."""
     return df.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))

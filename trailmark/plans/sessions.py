@@ -175,8 +175,7 @@ def repo_any_source(spark, sf_dir):
 def commit_prefix(spark, sf_dir):
     """The rows of the one commit that a prefix of its hash names."""
     commits = load(spark, sf_dir, "events").select("event_id", F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("sha"))
-    found = filters.commit_by_prefix(commits, "6B86B27")
-    return commits.where(F.col("sha") == F.lit(found))
+    return filters.commits_named(commits, "6B86B27")
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -287,3 +286,63 @@ def artifact_kinds(spark, sf_dir):
     """What kind of file a path names, and why it must not be uploaded."""
     pages = load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[^:]*://[^/]*/([^?#]*)", 1).alias("path"))
     return pages.withColumns({"reason": filters.unsafe_path(F.col("path")), "kind": artifact_kind(F.col("path"), F.lit(False))})
+
+
+@query("""
+SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'P')
+OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'P') OR o_orderpriority = 'P' OR o_orderstatus = 'P'
+OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount = 0.1)
+""")
+def branch_filter(spark, sf_dir):
+    """Sessions that a branch (a letter of a status) shows up in: by a message, a commit, or a pull request's base or head."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    lines = load(spark, sf_dir, "lineitem")
+    messages = lines.select(F.col("l_orderkey").alias("session_id"), F.col("l_returnflag").alias("branch"))
+    commits = lines.select(F.col("l_orderkey").alias("session_id"), F.when(F.col("l_discount") == 0.1, "P").otherwise(F.col("l_linestatus")).alias("branch"))
+    pulls = orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_orderpriority").alias("base_branch"), F.col("o_orderstatus").alias("head_branch"))
+    return filters.on_branch(orders, "o_orderkey", messages, commits, pulls, "P").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 7)")
+def pull_request_filter(spark, sf_dir):
+    """Sessions linked to the pull requests (suppliers) of a number."""
+    pulls = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("number"))
+    return filters.of_pull_request(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", pulls, 7)
+
+
+@query(f"""
+SELECT *, (SELECT count(*) FROM ({_SESSIONS})) AS total, ceil((SELECT count(*) FROM ({_SESSIONS})) / 7.0)::INT AS total_pages
+FROM ({_SESSIONS}) ORDER BY last_active_at DESC, id LIMIT 7 OFFSET 7
+""")
+def session_page_counted(spark, sf_dir):
+    """The second page of seven with the number of sessions and of pages."""
+    return search.counted_page(_sessions(spark, sf_dir), search.sort_keys("recent", False), number=2, limit=7)
+
+
+@query("""
+SELECT c_name AS user_name, n_name AS project_name FROM customer JOIN nation ON n_nationkey = c_nationkey
+WHERE contains(lower(c_name), '1') AND contains(lower(n_name), '_2')
+""")
+def sync_table_filter(spark, sf_dir):
+    """Rows of the sync table whose user and project hold what was typed, in any case."""
+    users = load(spark, sf_dir, "customer").select(F.col("c_name").alias("user_name"), F.col("c_nationkey").alias("n_nationkey"))
+    projects = load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("project_name"))
+    return filters.holding(users.join(projects, "n_nationkey").drop("n_nationkey"), "1", " _2 ")
+
+
+@query("""
+WITH lines AS (SELECT *, l_linenumber * 1000000000000 + l_partkey * 10000000 + l_suppkey * 100 + l_quantity::BIGINT AS pos FROM lineitem),
+marked AS (SELECT *, (l_returnflag <> 'N' AND NOT coalesce(lag(l_returnflag <> 'N') OVER w, false))::INT AS starts FROM lines
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY pos)),
+placed AS (SELECT *, sum(starts) OVER (PARTITION BY l_orderkey ORDER BY pos) AS block FROM marked),
+found AS (SELECT l_orderkey, block, min(pos) AS first, count(*) FILTER (l_linestatus = 'O') AS messages, count(*) FILTER (l_linestatus <> 'O') AS tool_calls,
+  epoch_ms(arg_max(l_shipdate, pos)) - epoch_ms(arg_min(l_shipdate, pos)) AS span FROM placed WHERE l_returnflag <> 'N' GROUP BY ALL)
+SELECT l_orderkey, block::BIGINT AS block, first, messages, tool_calls, CASE WHEN span >= 0 THEN span END AS duration_ms FROM found
+""")
+def block_statistics(spark, sf_dir):
+    """Duration, messages and calls of every run of an assistant's records."""
+    records = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.expr("l_linenumber * 1000000000000L + l_partkey * 10000000L + l_suppkey * 100L + cast(l_quantity as long)").alias("pos"), F.when(F.col("l_returnflag") != "N", "assistant").otherwise("user").alias("role"),
+        F.when(F.col("l_linestatus") == "O", "message").otherwise("toolCall").alias("kind"), F.col("l_shipdate").cast("timestamp").alias("at"),
+    )
+    return runs.blocks(records, ["l_orderkey"], "pos")

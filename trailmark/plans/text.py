@@ -94,6 +94,20 @@ def search_cap(spark, sf_dir):
     return docs.select("doc_id", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
+@query(rf"""
+WITH said AS (SELECT conv_id, turn, conv_id || ' ' || coalesce(text, '') || ' ' || role AS t FROM conversations),
+short AS (SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+'), lambda x: length(x) < 2040 OR regexp_matches(x, '^{_BLANK}')), '') AS t FROM said),
+cut AS (SELECT conv_id, turn, CASE WHEN length(t) > 32768 AND NOT regexp_matches(substr(t, 32768, 2), '{_BLANK}')
+  THEN regexp_replace(left(t, 32768), '[^ \t\n\x0B\f\r]+$', '') ELSE left(t, 32768) END AS t FROM short)
+SELECT conv_id, turn, len(w)::INT AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT conv_id, turn, {_WORDS.format('t')} AS w FROM cut)
+""")
+def search_tokens(spark, sf_dir):
+    """What is indexed of each message: the tokens of its id, content and details, capped."""
+    rows = load(spark, sf_dir, "conversations")
+    text = search.search_text("message", {"id": F.col("conv_id"), "content": F.col("text"), "details": F.col("role")})
+    return search.token_table(rows, text).select("conv_id", "turn", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
+
+
 _SQUASH = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({}, ''), '\\[nrt]', ' ', 'g'), '\\(["\\/])', '\1', 'g'), '["“”]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')))"""
 
 
@@ -105,7 +119,7 @@ def quote_check(spark, sf_dir):
     """Which passages are really in which documents."""
     quotes = load(spark, sf_dir, "benchmark").select("item_id", content.squash(F.col("text")).alias("quote")).where(F.length("quote") >= content.QUOTE_MIN)
     said = load(spark, sf_dir, "documents").select("doc_id", content.squash(F.col("text")).alias("said"))
-    return contained(quotes, "quote", said, "said").select("item_id", "doc_id")
+    return contained(quotes, "quote", said, "said", ["doc_id"]).select("item_id", "doc_id")
 
 
 @query(r"""

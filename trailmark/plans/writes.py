@@ -119,3 +119,60 @@ def one_active(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     asked = orders.where("o_orderstatus = 'O'")
     return upsert.one_active(orders, asked, ["o_custkey"], F.col("o_orderstatus") == "P", F.col("o_orderdate"), F.col("o_orderkey")).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 5 = 1 AND o_orderpriority = '2-HIGH' THEN 99 ELSE o_custkey % 5 END AS project_id FROM orders")
+def reparent_own(spark, sf_dir):
+    """Sessions of one owner moved from a project to another."""
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("project_id"), F.col("o_orderpriority").alias("user_id"))
+    return upsert.reparent(rows, 1, 99, owner="2-HIGH").drop("user_id")
+
+
+@query("""
+SELECT l_orderkey AS review_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INT AS position, 'part ' || l_partkey AS title
+FROM lineitem WHERE l_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, 0, o_orderpriority FROM orders WHERE o_orderkey % 2 <> 0
+""")
+def replace_problems(spark, sf_dir):
+    """The problems of reviews that ran again in place of those they had, numbered by their place."""
+    old = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id"), F.lit(0).alias("position"), F.col("o_orderpriority").alias("title"))
+    line = F.struct("l_linenumber", "l_partkey", F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"))
+    again = load(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("review_id")).agg(F.array_sort(F.collect_list(line)).alias("problems"))
+    without = load(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("review_id"))
+    return upsert.replace_problems(old, without.join(again, "review_id", "left"))
+
+
+@query("""
+SELECT l_suppkey AS repo_id, l_partkey AS sha, min(l_orderkey * 10 + l_linenumber) AS observed_at FROM lineitem GROUP BY ALL
+""")
+def observe_commits(spark, sf_dir):
+    """Commits (supplier and part) seen in two batches: the first observation stays."""
+    seen = load(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("repo_id"), F.col("l_partkey").alias("sha"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("observed_at")
+    )
+    middle = seen.agg(F.expr("percentile_approx(observed_at, 0.5)").alias("m"))
+    marked = seen.crossJoin(F.broadcast(middle))  # one row
+    known, _ = upsert.observe_commits(seen.limit(0), marked.where("observed_at < m").drop("m"))
+    fresh, _ = upsert.observe_commits(known, marked.where("observed_at >= m").drop("m"))
+    return known.unionByName(fresh)
+
+
+@query("""
+WITH seen AS (SELECT l_suppkey AS repo_id, l_partkey AS number, CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag END AS title, l_orderkey * 10 + l_linenumber AS seen_at,
+  l_orderkey FROM lineitem)
+SELECT repo_id, number, arg_max(title, seen_at) FILTER (title IS NOT NULL) AS title, min(seen_at) AS observed_at, count(DISTINCT l_orderkey) AS sessions
+FROM (SELECT repo_id, number, seen_at, l_orderkey, min(title) AS title FROM seen GROUP BY ALL) GROUP BY ALL
+""")
+def pull_request_upsert(spark, sf_dir):
+    """Pull requests seen by many sessions: enriched by what is not null, and linked to each session once."""
+    rows = load(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("repo_id"), F.col("l_partkey").alias("number"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag")).alias("title"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("observed_at"), F.col("l_orderkey").alias("session_id"),
+    ).groupBy("repo_id", "number", "observed_at", "session_id").agg(F.min("title").alias("title"))
+    rows = rows.select("repo_id", "number", "title", "observed_at", "session_id")
+    pulls, links = rows.limit(0).drop("session_id"), rows.limit(0).select("repo_id", "number", "session_id")
+    # sessions come in order of time, so the later batch is the one to win
+    for batch in (rows.where("session_id < 100"), rows.where("session_id >= 100")):
+        pulls, links = upsert.insert_opened(pulls, links, batch)
+    count = links.groupBy("repo_id", "number").agg(F.count("*").alias("sessions"))
+    return pulls.join(count, ["repo_id", "number"])

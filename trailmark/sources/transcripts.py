@@ -286,3 +286,32 @@ def coverage(lines: DataFrame, records: DataFrame, messages: DataFrame) -> DataF
     n = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
     out = n(lines, "lines").join(n(records, "records"), key, "left").join(n(messages, "messages"), key, "left")
     return out.fillna(0, ["records", "messages"])
+
+
+def sidecars(transcripts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(path, agent_id, agent_type, description, spawn_depth, spawn_tool_use_id) of every helper's transcript.
+
+    ``transcripts`` has path, ``metadata`` path and raw, the JSON beside it.  Without a sidecar, or with one
+    that is no JSON object, only the id is known; values of another type than told count as absent.
+    """
+    name = F.element_at(F.split(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), "/"), -1)
+    helper = name.startswith("agent-") & name.endswith(".jsonl") & (F.length(name) > len("agent-.jsonl"))
+    mine = transcripts.where(helper).select(
+        "path", F.substring(name, F.lit(7), F.length(name) - 12).alias("agent_id"),
+        F.concat(F.left("path", F.length("path") - len(".jsonl")), F.lit(".meta.json")).alias("_meta"),
+    )
+    beside = metadata.select(F.col("path").alias("_meta"), F.try_parse_json("raw").alias("v"))
+    met = mine.join(beside, "_meta", "left")
+
+    def told(field: str, kind: str) -> Column:
+        value = F.try_variant_get("v", f"$.{field}", "variant")
+        typed = F.schema_of_variant(value).rlike(kind)
+        return F.when(typed, F.try_variant_get("v", f"$.{field}", "string"))
+
+    text = lambda field: F.nullif(told(field, "^STRING$"), F.lit(""))
+    depth = told("spawnDepth", "^(BIGINT|DECIMAL|DOUBLE)").try_cast("double")
+    return met.select(
+        "path", "agent_id", text("agentType").alias("agent_type"), told("description", "^STRING$").alias("description"),
+        F.when((depth >= 0) & (depth == F.floor(depth)), depth.cast("int")).alias("spawn_depth"),
+        F.coalesce(text("toolUseId"), text("spawnToolUseId")).alias("spawn_tool_use_id"),
+    )
