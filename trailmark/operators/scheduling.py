@@ -52,7 +52,9 @@ def nightly_pick(
     )
     done = own.where("status = 'done'").groupBy("session_id").agg(F.max_by("run_id", "created_at").alias("based_on"))
     base = sessions.join(last, "session_id", "left").join(done, "session_id", "left")
-    news = messages.join(last, "session_id").groupBy("session_id").agg(
+    # only the candidates' messages are read on
+    asked = last.join(sessions.select("session_id"), "session_id", "left_semi")
+    news = messages.join(asked, "session_id").groupBy("session_id").agg(
         F.count_if((F.col("role") == "user") & (F.col("msg_type") == "message") & (F.col("ts") > F.col("_read"))).alias("_typed"),
         F.count_if(~F.col("msg_type").isin(*SILENT) & (F.col("created_at") > F.col("_at"))).alias("_stored"),
     )

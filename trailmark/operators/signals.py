@@ -31,8 +31,9 @@ def named_results(events: DataFrame) -> DataFrame:
     calls = Window.partitionBy("session_id", "call_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     called = F.last(F.when(_is("toolCall"), F.col("name")), ignorenulls=True).over(calls)
     tool = F.coalesce("name", F.when(F.col("call_id").isNotNull(), called), F.lit("unknown tool"))
-    both = events.where(F.col("kind").isin("toolCall", "toolResult")).withColumn("tool", tool)
-    return both.where(_is("toolResult"))
+    # dealt by session, which also serves the windows over calls and whatever follows by session
+    both = events.where(F.col("kind").isin("toolCall", "toolResult")).repartition("session_id")
+    return both.withColumn("tool", tool).where(_is("toolResult"))
 
 
 def error_loops(events: DataFrame, least: int = LOOP) -> DataFrame:
