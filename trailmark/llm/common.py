@@ -89,10 +89,19 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             _delete(spark, f)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove every table that :func:`settle` wrote in this application."""
-    for at in _ours.pop(spark.sparkContext.applicationId, []):
+def sweep(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Remove the tables that :func:`settle` wrote in this application: all, or those after the first ``since`` and
+    before the last ``but``.  Call only when nothing reads them any more."""
+    ours = _ours.get(spark.sparkContext.applicationId, [])
+    gone = ours[since : len(ours) - but]
+    for at in gone:
         _delete(spark, at)
+    ours[since : len(ours) - but] = []
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables :func:`settle` has written and nothing has swept."""
+    return len(_ours.get(spark.sparkContext.applicationId, []))
 
 
 def _delete(spark: SparkSession, at: str) -> None:

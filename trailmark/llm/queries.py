@@ -10,30 +10,37 @@ from .common import table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; nulls, ties, repeats: see :func:`vectors.near_vectors`."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; edge cases: see :func:`simhash.near_groups`."""
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated bytes of all documents; edge cases: see :func:`substrings.dedup_digest`."""
     return substrings.dedup_digest(table(spark, sf_dir, "documents"))
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every asked vector; edge cases: see :func:`topk.top_k`."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents in training order, written and read back; edge cases: see :func:`training_order.materialise`."""
     return training_order.materialise(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents; edge cases: see :func:`bpe.encode_digest`."""
     return bpe.encode_digest(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a classifier that never saw the held-out ones; edge cases: see :func:`toxicity.classify`."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.classify(docs, model).withColumn(
@@ -42,14 +49,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; edge cases: see :func:`url_rules.judge`."""
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
 def op9_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads of all conversations; edge cases: see :func:`quotes.conversations`."""
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and words taken of all documents; edge cases: see :func:`mixing.plan`."""
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select(
         "doc_id",
