@@ -31,7 +31,7 @@ def test_pipeline_stages(spark):
         assert kept[-1].columns == columns
     clean, unique, cut, mixed = kept[1:]
     assert {r.doc_id for r in clean.collect()} <= {r.doc_id for r in docs.collect()}
-    groups = dict(map(tuple, simhash.near_copies(clean).collect()))
+    groups = {r.doc_id: r.component_id for r in simhash.near_copies(clean).collect()}
     assert sorted(r.doc_id for r in unique.collect()) == sorted(set(groups.values()))
     removed = {r.doc_id: r.n_removed for r in substrings.dedup_digest(unique).collect()}
     texts = {r.doc_id: r.text for r in unique.collect()}
