@@ -41,7 +41,8 @@ def contained(quotes: DataFrame, quote: str, texts: DataFrame, text: str, by: li
         if not count and out is not None:
             continue
         asked = keyed.where(which).withColumn("_key", of_quote).drop("_inner")
-        rows = texts.withColumn("_w", F.split(text, " ")).select(*by, F.explode(F.array_distinct(of_text)).alias("_key"))
+        # explode_outer, since explode would compute the runs again to filter empty ones
+        rows = texts.withColumn("_w", F.split(text, " ")).select(*by, F.explode_outer(F.array_distinct(of_text)).alias("_key"))
         met = rows.join(asked, "_key").drop("_key").distinct()
         found = met.join(texts, by).where(F.contains(F.col(text), F.col(quote))).select(columns)
         out = found if out is None else out.unionByName(found)
