@@ -49,3 +49,18 @@ def test_pipeline_stages(spark):
 def test_run_is_all_stages(spark):
     made = corpus_pipeline.run(spark, SF)
     assert made.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and made.count() > 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No documents, no labels, nulls in every column, empty texts, repeated rows and a column of a clashing name."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key long"
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, "one two three four five six", "en", "a", 27, 1), (1, "one two three four five six", "en", "a", 27, 1), (2, None, None, None, None, None),
+            (3, "", "de", "b", 0, 2), (None, "a text without a name", "fr", "c", 21, 3), (4, long, "en", None, len(long), 4), (5, long + " more", "en", "a", 9, 5)]
+    for name, some in (("none", []), ("odd", rows)):
+        at = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    made = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in made} <= {None, 1, 2, 4} and {r.doc_id for r in made} >= {1, 4}
