@@ -54,15 +54,15 @@ def exists(spark: SparkSession, at: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
+def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Lineage ends there and the files outlive any executor, so what was shuffled to make them is removed as
-    soon as they are written.  :func:`sweep` removes them.
+    soon as they are written.  :func:`sweep` removes them.  ``options`` are the Parquet writer's.
     """
     spark = df.sparkSession
     to = new_folder(spark)
-    write_clean(spark, lambda: df.write.option("compression", codec).parquet(to))
+    write_clean(spark, lambda: df.write.options(**options).parquet(to))
     return spark.read.schema(df.schema).parquet(to)
 
 

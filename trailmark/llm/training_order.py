@@ -21,6 +21,8 @@ from .common import exists, map_arrow, new_folder, parts, settle, text_of, write
 KEY = 20_250_101
 #: Tokens of a record, records of a shard, and the number that fills up a record.
 LENGTH, PER_SHARD, PAD = 512, 1 << 14, 0xFFFF
+#: How sequences are packed while they wait for their slots: token ids shrink by half.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 
 class Feistel:
@@ -147,7 +149,7 @@ def ordered_documents(docs: DataFrame, path: str, pattern: str, length: int = LE
 def _slots(made: DataFrame, key: int) -> DataFrame:
     """Sequences that are written to the shared folder once, so that their numbers stay as they are whatever is
     lost.  A count for each task is all that the driver sees."""
-    made = settle(made, "zstd")
+    made = settle(made, **PACKED)
     counts = sorted(map(tuple, made.groupBy("task").count().collect()))
     first = dict(zip([t for t, _ in counts], np.cumsum([0, *(n for _, n in counts)]).tolist(), strict=False))
     total = sum(n for _, n in counts)
