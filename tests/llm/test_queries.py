@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     made = queries.queries()[name](spark, SF)
     want = con.execute(queries.oracle_sql()[name])
@@ -19,7 +19,7 @@ def test_sql(spark, name):
 
 
 def test_one_query_an_operator():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 13)]
 
 
 def test_pipeline_stages(spark):

@@ -86,7 +86,7 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
     """Remove the settled tables that ``df`` reads directly; call only when nothing needs it."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         if "/settled-" in f:
-            _delete(spark, f)
+            delete(spark, f)
 
 
 def sweep(spark: SparkSession, since: int = 0, but: int = 0) -> None:
@@ -95,7 +95,7 @@ def sweep(spark: SparkSession, since: int = 0, but: int = 0) -> None:
     ours = _ours.get(spark.sparkContext.applicationId, [])
     gone = ours[since : len(ours) - but]
     for at in gone:
-        _delete(spark, at)
+        delete(spark, at)
     ours[since : len(ours) - but] = []
 
 
@@ -104,7 +104,8 @@ def written(spark: SparkSession) -> int:
     return len(_ours.get(spark.sparkContext.applicationId, []))
 
 
-def _delete(spark: SparkSession, at: str) -> None:
+def delete(spark: SparkSession, at: str) -> None:
+    """Remove a folder of the shared store."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quotes, simhash, sql, substrings, topk, toxicity, training_order, url_rules, vectors
+from . import bpe, mixing, quotes, resampling, simhash, sql, substrings, topk, toxicity, training_order, url_rules, vectors, warc
 from .common import table
 
 
@@ -70,11 +70,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, normalised, indexed and read back; edge cases: see :func:`warc.payload_digest`."""
+    return warc.payload_digest(table(spark, sf_dir, "pages"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark, and those drawn; edge cases: see :func:`resampling.resampled`."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     own = (
         op1_embedding_near_dedup, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_top_k,
         op5_training_order, op6_byte_level_bpe, op7_toxicity, op8_url_filter,
-        op9_chat_quotation_linking, op10_mixing,
+        op9_chat_quotation_linking, op10_mixing, op11_warc, op12_importance_resampling,
     )
     return {f.__name__: f for f in own}
 
@@ -83,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": sql.VECTORS_SQL, "op3_suffix_array_dedup": sql.SUFFIX_SQL, "op4_exact_top_k": sql.TOP_K_SQL,
         "op8_url_filter": sql.URLS_SQL, "op9_chat_quotation_linking": sql.QUOTES_SQL, "op10_mixing": sql.MIXING_SQL,
+        "op11_warc": sql.WARC_SQL, "op12_importance_resampling": sql.RESAMPLING_SQL,
     }

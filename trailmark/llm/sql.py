@@ -144,3 +144,34 @@ mined AS (SELECT r, min(name) AS mined_rule FROM tokens JOIN minimal ON list_has
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN mined_rule IS NULL THEN 'allow' ELSE 'block' END) AS verdict, mined_rule
 FROM judged LEFT JOIN mined USING (r)
 """
+
+WARC_SQL = """
+WITH seen AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+sized AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM seen),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest),
+said AS (SELECT sized.*, first IS NOT NULL AND first IS DISTINCT FROM page_id AS again, first FROM sized LEFT JOIN firsts USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM said
+"""
+
+#: CRC-32 of a word byte by byte, its table from the polynomial.
+RESAMPLING_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+said AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+listed AS (SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM said),
+held AS (SELECT side, r, unnest(words) AS word FROM listed),
+known AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM held)),
+hashed AS (SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM known, crc),
+placed AS (SELECT side, r, bucket FROM held JOIN hashed USING (word)),
+sums AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM placed GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)::DOUBLE)))::BIGINT AS gain FROM sums),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (SELECT r, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM listed LEFT JOIN weights USING (r) WHERE side = 'd'),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END::BIGINT AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
