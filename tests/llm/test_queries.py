@@ -19,7 +19,7 @@ def test_sql(spark, name):
 
 
 def test_one_query_an_operator():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 13)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_pipeline_stages(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quotes, resampling, simhash, sql, substrings, topk, toxicity, training_order, url_rules, vectors, warc
+from . import alignment, bpe, mixing, quotes, resampling, simhash, sql, substrings, topk, toxicity, training_order, url_rules, vectors, warc
 from .common import table
 
 
@@ -80,11 +80,16 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of all documents between two tokenizers; edge cases: see :func:`alignment.aligned`."""
+    return alignment.aligned(table(spark, sf_dir, "documents"), *alignment.public_tokenizers_paths())
+
+
 def queries() -> dict:
     own = (
         op1_embedding_near_dedup, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_exact_top_k,
         op5_training_order, op6_byte_level_bpe, op7_toxicity, op8_url_filter,
-        op9_chat_quotation_linking, op10_mixing, op11_warc, op12_importance_resampling,
+        op9_chat_quotation_linking, op10_mixing, op11_warc, op12_importance_resampling, op13_cross_tokenizer_alignment,
     )
     return {f.__name__: f for f in own}
 
