@@ -36,8 +36,6 @@ def test_search(spark):
     words = search.tokens(F.col("text"))
     hit = lambda q: [r[0] for r in rows(df.where(search.matches(words, q)), "id")]
     assert hit("bro") == [1, 2] and hit('"quick brown"') == [1] and hit("quick -fox") == [2] and hit("zebra OR fo") == [1]
-    near = rows(df.where("id < 3").select("id", search.rank(words, "quick brown").alias("r")))
-    assert all(0 < r < 1 for _, r in near)
 
 
 def test_cap(spark):

@@ -1,13 +1,12 @@
-"""Search over documents of several kinds: tokens, Boolean match, rank, best source, snippets."""
+"""Search over documents of several kinds: what is indexed, Boolean match of token arrays, best source, order and pages.
 
-from __future__ import annotations
+Stored documents are searched through :mod:`postings`.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.query import Operand, parse
@@ -17,8 +16,6 @@ WEIGHTS = {"session": 4.0, "message": 1.5, "pullRequest": 3.0, "toolCall": 1.0,
 #: Characters indexed of a text, and characters of a token that are not indexed.
 CAP, LONG_TOKEN = 32_768, 2_040
 
-_SEGMENT = StructType([StructField("text", StringType()), StructField("highlighted", BooleanType())])
-
 
 def cap(text: Column) -> Column:
     """What is indexed of a text: without over-long tokens, CAP characters, without a token cut at the end."""
@@ -40,11 +37,6 @@ def search_text(kind: str, have: dict[str, Column]) -> Column:
     return cap(F.array_join(F.array(*[F.coalesce(have[c].cast("string"), F.lit("")) for c in SEARCHED[kind]]), " "))
 
 
-def token_table(rows: DataFrame, text: Column) -> DataFrame:
-    """``rows`` with ``w``, the tokens of a capped ``text``: computed once, written, and searched ever after."""
-    return rows.withColumn("w", tokens(text))
-
-
 def tokens(text: Column) -> Column:
     """Lower-case words in order: runs of letters, marks and decimal digits."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{Nd}]+"), F.lit(0))
@@ -78,31 +70,6 @@ def matches(words: Column, query: str | list[list[Operand]]) -> Column:
     return out
 
 
-def rank(words: Column, query: str | list[list[Operand]]) -> Column:
-    """r / (1 + r), r the sum over positive operands of 1 / distance between neighbouring hits.
-
-    The order follows how often and how near together the operands are; the numbers themselves are
-    ours.
-    """
-    branches = parse(query) if isinstance(query, str) else query
-    wanted = {(o.lexemes[0], o.prefix) for b in branches for o in b if not o.excluded}
-    test = None
-    def hit(w: Column) -> Column:
-        any_of = F.lit(False)
-        for lexeme, prefix in sorted(wanted):
-            any_of = any_of | (w.startswith(lexeme) if prefix else w == lexeme)
-        return any_of
-
-    places = F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
-    state = F.struct(F.lit(0.0).alias("r"), F.lit(None).cast("int").alias("last"))
-    test = F.aggregate(
-        places, state,
-        lambda s, i: F.struct((s["r"] + F.when(s["last"].isNull(), 0.1).otherwise(F.lit(0.1) + F.lit(1.0) / (i - s["last"]))).alias("r"), i.cast("int").alias("last")),
-        lambda s: s["r"] / (s["r"] + 1),
-    )
-    return test
-
-
 def best_source(hits: DataFrame, by: str = "id") -> DataFrame:
     """One row for each session: its best hit, and in how many rows it was found.
 
@@ -144,43 +111,3 @@ def counted_page(df: DataFrame, order: list[Column], number: int = 1, limit: int
     limit = max(1, min(limit, 100))
     total = df.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / limit).cast("int"))
     return page(df, order, number, limit).crossJoin(F.broadcast(total))  # one row
-
-
-def snippets(page_rows: DataFrame, text: str, query: str, words: int = 35) -> DataFrame:
-    """``page_rows`` with ``snippet``: up to two fragments of at most ``words`` words as (text, highlighted)
-    segments.  Meant for one page; at most 32 segments and 4,000 characters."""
-    branches = parse(query)
-    wanted = [(o.lexemes[0], o.prefix) for b in branches for o in b if not o.excluded]
-    schema = StructType([*page_rows.schema, StructField("snippet", ArrayType(_SEGMENT))])
-
-    def lit(word: str) -> bool:
-        plain = "".join(c for c in word.lower() if c.isalnum())
-        return any(plain.startswith(x) if p else plain == x for x, p in wanted)
-
-    def one(value: str | None) -> list[dict]:
-        found = (value or "").split()
-        hits = [i for i, w in enumerate(found) if lit(w)]
-        out: list[dict] = []
-        end = -1
-        for hit in (hits or [0])[:64]:
-            if hit < end or len(out) > 30:
-                continue
-            start, end = max(hit - 5, end, 0), min(len(found), hit + words - 5)
-            for word in found[start:end]:
-                on = lit(word)
-                if out and out[-1]["highlighted"] == on:
-                    out[-1]["text"] += " " + word
-                else:
-                    out.append({"text": word, "highlighted": on})
-            if sum(len(s["text"]) for s in out) > words * 14:
-                break
-        joined = " ".join(s["text"] for s in out)
-        if len(out) > 32 or len(joined) > 4_000:
-            return [{"text": joined[:4_000], "highlighted": False}]
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows.assign(snippet=[one(v) for v in rows[text]])
-
-    return page_rows.mapInPandas(run, schema)

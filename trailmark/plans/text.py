@@ -5,12 +5,38 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import content, git
-from ..operators import search
+from ..operators import postings, search
 from ..operators.evidence import contained
+from ..tables import kept, settled, write
 from .registry import load, query
 
-_WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{M}}\p{{Nd}}]+')"
-_TOKENS = f"tokens AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)"
+_BLANK = r"[ \t\n\x0B\f\r]"
+#: What is indexed of a text: over-long tokens out, then 32,768 characters without a token cut at the end.
+_SHORT = rf"array_to_string(list_filter(regexp_extract_all({{}}, '[^ \t\n\x0B\f\r]+|{_BLANK}+'), lambda x: length(x) < 2040 OR regexp_matches(x, '^{_BLANK}')), '')"
+_CUT = rf"CASE WHEN length(t) > 32768 AND NOT regexp_matches(substr(t, 32768, 2), '{_BLANK}') THEN regexp_replace(left(t, 32768), '[^ \t\n\x0B\f\r]+$', '') ELSE left(t, 32768) END"
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{Nd}}]+')"
+_TOKENS = f"tokens AS (SELECT doc_id, {_WORDS.format(_CUT)} AS w FROM (SELECT doc_id, {_SHORT.format("coalesce(text, '')")} AS t FROM documents))"
+_EVERY = f"""
+said AS (SELECT 'session' AS source_kind, doc_id AS id, 0::BIGINT AS source_row, text FROM documents
+  UNION ALL SELECT 'message', conv_id, turn, text FROM conversations UNION ALL SELECT 'toolResult', page_id, 1, html FROM pages),
+capped AS (SELECT source_kind, id, source_row, {_CUT} AS t FROM (SELECT * EXCLUDE text, {_SHORT.format("coalesce(text, '')")} AS t FROM said)),
+every AS (SELECT source_kind, id, source_row, {_WORDS.format('t')} AS w FROM capped),
+placed AS (SELECT source_kind, id, source_row, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM every)"""
+
+
+def _documents(spark, sf_dir):
+    """Every searched row: documents, messages and pages."""
+    docs = load(spark, sf_dir, "documents").select(F.lit("session").alias("source_kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("source_row"), "text")
+    said = load(spark, sf_dir, "conversations").select(F.lit("message").alias("source_kind"), F.col("conv_id").alias("id"), F.col("turn").alias("source_row"), "text")
+    pages = load(spark, sf_dir, "pages").select(F.lit("toolResult").alias("source_kind"), F.col("page_id").alias("id"), F.lit(1).cast("long").alias("source_row"), F.col("html").alias("text"))
+    return docs.unionByName(said).unionByName(pages)
+
+
+def _index(spark, sf_dir):
+    """The posting lists of the tables as they are, made where they do not exist yet."""
+    sources = [f"{sf_dir}/{t}.parquet" for t in ("documents", "conversations", "pages")]
+    at = kept(spark, "postings", sources, lambda to: write(postings.build(_documents(spark, sf_dir)), to, ["source_kind"]))
+    return postings.stored(spark, at)
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id FROM tokens WHERE list_bool_or(list_transform(w, lambda x: starts_with(x, 'und'))) AND NOT list_contains(w, 'die')")
@@ -33,53 +59,137 @@ def search_phrase(spark, sf_dir):
 
 
 def _matching(spark, sf_dir, text):
-    docs = load(spark, sf_dir, "documents").select("doc_id", search.tokens(F.col("text")).alias("w"))
-    return docs.where(search.matches(F.col("w"), text)).select("doc_id")
+    docs = _index(spark, sf_dir).where("source_kind = 'session'")
+    return postings.match(docs, text).select(F.col("id").alias("doc_id"))
 
 
-_RANKED = f"""
-every AS (SELECT 'session' AS source_kind, doc_id AS id, 0::BIGINT AS source_row, {_WORDS.format('text')} AS w FROM documents
-  UNION ALL SELECT 'message', conv_id, turn, {_WORDS.format('text')} FROM conversations
-  UNION ALL SELECT 'toolResult', page_id, 1, {_WORDS.format('html')} FROM pages),
-hits AS (SELECT source_kind, id, source_row, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM every),
-found AS (SELECT *, pos - lag(pos) OVER (PARTITION BY source_kind, id, source_row ORDER BY pos) AS far FROM hits WHERE starts_with(word, 'the')),
-summed AS (SELECT source_kind, id, source_row, sum(0.1::DOUBLE + coalesce(1.0::DOUBLE / far, 0)) AS r FROM found GROUP BY ALL),
-scored AS (SELECT source_kind, id, source_row, round(r / (r + 1) * CASE source_kind WHEN 'session' THEN 4 WHEN 'message' THEN 1.5 ELSE 0.75 END::DOUBLE, 9) AS score FROM summed)
-"""
+@query(rf"""
+WITH {_EVERY}
+SELECT source_kind, id, source_row, word AS token, count(*)::INT AS n, min(pos)::INT AS first, max(pos)::INT AS last, sum(pos)::BIGINT AS total FROM placed GROUP BY ALL
+""")
+def search_postings(spark, sf_dir):
+    """Every posting list of the index, by size, ends and sum."""
+    lists = _index(spark, sf_dir)
+    return lists.select(
+        *postings.KEY, "token", F.size("positions").alias("n"), F.array_min("positions").alias("first"), F.array_max("positions").alias("last"),
+        F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"),
+    )
 
 
-@query(f"""
-WITH {_RANKED},
+#: Covers of "that the" die OR with ha* -und: every operand's last place up to a row, the branch's first of these.
+_COVERS = rf"""{_EVERY},
+marked AS (SELECT source_kind, id, source_row, pos, word = 'die' AS die, word = 'with' AS with_, starts_with(word, 'ha') AS ha, word = 'that' AS that, word = 'the' AS the,
+  word = 'und' AS und FROM placed WHERE word IN ('die', 'with', 'that', 'the', 'und') OR starts_with(word, 'ha')),
+numbered AS (SELECT *, sum((die OR with_ OR ha OR that OR the)::INT) OVER w AS n, bool_or(und) OVER (PARTITION BY source_kind, id, source_row) AS bad,
+  CASE WHEN the AND lag(that) OVER w AND lag(pos) OVER w = pos - 1 THEN pos - 1 END AS phrase
+  FROM marked WINDOW w AS (PARTITION BY source_kind, id, source_row ORDER BY pos)),
+latest AS (SELECT *, max(phrase) OVER w AS l_phrase, max(pos) FILTER (die) OVER w AS l_die, max(pos) FILTER (with_) OVER w AS l_with, max(pos) FILTER (ha) OVER w AS l_ha
+  FROM numbered WINDOW w AS (PARTITION BY source_kind, id, source_row ORDER BY pos)),
+begun AS (SELECT *, greatest(CASE WHEN l_phrase IS NOT NULL AND l_die IS NOT NULL THEN least(l_phrase, l_die) END,
+  CASE WHEN l_with IS NOT NULL AND l_ha IS NOT NULL AND NOT bad THEN least(l_with, l_ha) END) AS first FROM latest),
+fresh AS (SELECT *, lag(first) OVER (PARTITION BY source_kind, id, source_row ORDER BY pos) AS before FROM begun),
+covers AS (SELECT f.source_kind, f.id, f.source_row, f.first::INT AS first, f.pos::INT AS last, (f.pos - f.first - (f.n - b.n))::INT AS gaps FROM fresh f
+  JOIN numbered b ON b.source_kind = f.source_kind AND b.id = f.id AND b.source_row = f.source_row AND b.pos = f.first
+  WHERE f.first IS NOT NULL AND (f.before IS NULL OR f.first > f.before))"""
+_COVERED = '"that the" die OR with ha -und'
+
+
+@query(f"WITH {_COVERS} SELECT * FROM covers")
+def search_covers(spark, sf_dir):
+    """The shortest stretches that hold a phrase and a word, or two words where another is nowhere."""
+    # the last word of a branch is a prefix: here it is a whole word with its other forms
+    branches = [[search.Operand("that the", phrase=True), search.Operand("die")], [search.Operand("with"), search.Operand("ha", prefix=True), search.Operand("und", excluded=True)]]
+    return postings.covers(_index(spark, sf_dir), branches)
+
+
+_SCORED = """
+summed AS (SELECT source_kind, id, source_row, list(n * 0.1::DOUBLE / (gaps + 1)::DOUBLE ORDER BY gaps) AS terms FROM
+  (SELECT source_kind, id, source_row, gaps, count(*) AS n FROM covers GROUP BY ALL) GROUP BY ALL),
+scored AS (SELECT source_kind, id, source_row, round(r / (r + 1) * CASE source_kind WHEN 'session' THEN 4 WHEN 'message' THEN 1.5 ELSE 0.75 END::DOUBLE, 9) AS score
+  FROM (SELECT *, list_reduce(list_concat([0.0::DOUBLE], terms), lambda a, b: a + b) AS r FROM summed))"""
+
+
+@query(f"WITH {_COVERS}, {_SCORED} SELECT source_kind, id, source_row, round(score, 6) AS score FROM scored")
+def search_ranked(spark, sf_dir):
+    """Documents by how many stretches hold the words asked for, and how close."""
+    branches = [[search.Operand("that the", phrase=True), search.Operand("die")], [search.Operand("with"), search.Operand("ha", prefix=True), search.Operand("und", excluded=True)]]
+    return postings.ranked(_index(spark, sf_dir), branches).withColumn("score", F.round(F.round("score", 9), 6))
+
+
+_ONE = f"""{_EVERY},
+covers AS (SELECT source_kind, id, source_row, pos AS first, pos AS last, 0 AS gaps FROM placed WHERE starts_with(word, 'the'))"""
+_BEST = f"""{_SCORED},
 best AS (SELECT *, count(*) OVER (PARTITION BY id) AS matched_rows, row_number() OVER (PARTITION BY id
-  ORDER BY score DESC, list_position(['session', 'message', 'pullRequest', 'toolCall', 'toolResult'], source_kind), source_row) AS r FROM scored)
-SELECT id, source_kind, source_row, round(score, 6) AS score, matched_rows FROM best WHERE r = 1
-""")
+  ORDER BY score DESC, list_position(['session', 'message', 'pullRequest', 'toolCall', 'toolResult'], source_kind), source_row) AS r FROM scored)"""
+
+
+@query(f"WITH {_ONE}, {_BEST} SELECT id, source_kind, source_row, round(score, 6) AS score, matched_rows FROM best WHERE r = 1")
 def search_best_source(spark, sf_dir):
     """For each id found in documents, messages or pages: its best hit and the number of hits."""
     return search.best_source(_hits(spark, sf_dir, "the")).withColumn("score", F.round("score", 6))
 
 
 def _hits(spark, sf_dir, text):
-    docs = load(spark, sf_dir, "documents").select(F.lit("session").alias("source_kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("source_row"), "text")
-    said = load(spark, sf_dir, "conversations").select(F.lit("message").alias("source_kind"), F.col("conv_id").alias("id"), F.col("turn").alias("source_row"), "text")
-    pages = load(spark, sf_dir, "pages").select(F.lit("toolResult").alias("source_kind"), F.col("page_id").alias("id"), F.lit(1).cast("long").alias("source_row"), F.col("html").alias("text"))
-    every = docs.unionByName(said).unionByName(pages).withColumn("w", search.tokens(F.col("text")))
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in search.WEIGHTS.items() for x in kv]), F.col("source_kind"))
-    found = every.where(search.matches(F.col("w"), text))
-    return found.select("source_kind", "id", "source_row", F.round(search.rank(F.col("w"), text) * weight, 9).alias("score"))
+    return postings.ranked(_index(spark, sf_dir), text).withColumn("score", F.round("score", 9))
+
+
+#: The best cover of a page's rows is shown in 35 words, then the next best beyond these.
+_SHOWN = r"""
+active AS (SELECT conv_id AS id, max(turn) AS last_active_at FROM conversations GROUP BY conv_id),
+page AS (SELECT id, source_kind, source_row, score, matched_rows, last_active_at FROM best LEFT JOIN active USING (id) WHERE r = 1
+  ORDER BY score DESC, matched_rows DESC, last_active_at DESC NULLS FIRST, id LIMIT 50),
+led AS (SELECT c.*, first_value(first) OVER w AS f1, first_value(last) OVER w AS l1 FROM covers c SEMI JOIN page USING (source_kind, id, source_row)
+  WINDOW w AS (PARTITION BY source_kind, id, source_row ORDER BY gaps, first, last)),
+edged AS (SELECT *, greatest(0, f1 - greatest(0, (35 - (l1 - f1 + 1)) // 2)) AS lo FROM led),
+others AS (SELECT source_kind, id, source_row, lo, min({'g': gaps, 'f': first, 'l': last}) FILTER (first > lo + 34 OR last < lo) AS o FROM edged GROUP BY ALL),
+wide AS (SELECT *, greatest(0, o.f - greatest(0, (35 - (o.l - o.f + 1)) // 2)) AS olo FROM others),
+spans AS (SELECT source_kind, id, source_row, list_sort(list_filter([{'lo': lo, 'hi': lo + 34},
+  CASE WHEN o IS NULL THEN NULL WHEN o.f > lo + 34 THEN {'lo': greatest(olo, lo + 35), 'hi': olo + 34} ELSE {'lo': olo, 'hi': least(olo + 34, lo - 1)} END], lambda s: s IS NOT NULL)) AS spans FROM wide),
+pieces AS (SELECT source_kind, id, source_row, regexp_extract_all(t, '[\p{L}\p{M}\p{Nd}]+[^\p{L}\p{M}\p{Nd}]*') AS p FROM capped SEMI JOIN page USING (source_kind, id, source_row)),
+words AS (SELECT source_kind, id, source_row, flatten(list_transform(spans, lambda s: p[s.lo + 1 : s.hi + 1])) AS shown FROM spans JOIN pieces USING (source_kind, id, source_row)),
+split AS (SELECT *, list_transform(shown, lambda x: {'w': regexp_extract(x, '^[\p{L}\p{M}\p{Nd}]+'), 'rest': regexp_replace(x, '^[\p{L}\p{M}\p{Nd}]+', '')}) AS parts FROM words),
+lit AS (SELECT *, list_transform(parts, lambda x: {'on': (LIT), 'w': x.w, 'rest': x.rest}) AS marked FROM split),
+told AS (SELECT source_kind, id, source_row, len(list_filter(marked, lambda x: x.on)) AS n_on, array_to_string(shown, '') AS plain,
+  array_to_string(list_transform(marked, lambda x: CASE WHEN x.on THEN '[[' || x.w || ']]' ELSE x.w END || x.rest), '') AS bright,
+  2 * len(list_filter(marked, lambda x: x.on)) + 1 - (marked[1].on)::INT - (marked[-1].on AND marked[-1].rest = '')::INT AS segments FROM lit)
+SELECT id, source_kind, source_row, round(score, 6) AS score, matched_rows, last_active_at,
+  CASE WHEN segments > 32 OR length(plain) > 4000 THEN left(plain, 4000) ELSE bright END AS snippet FROM page LEFT JOIN told USING (source_kind, id, source_row)"""
+
+
+def _page(spark, sf_dir, text):
+    best = search.best_source(_hits(spark, sf_dir, text))
+    active = load(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("last_active_at"))
+    listed = search.page(best.join(active, "id", "left"), search.sort_keys("relevance", True))
+    listed = settled(listed)  # a page
+    spans = postings.fragments(_index(spark, sf_dir), listed, text)
+    texts = _documents(spark, sf_dir).join(F.broadcast(listed.select(*postings.KEY)), postings.KEY, "left_semi")  # a page at most
+    shown = listed.join(spans, postings.KEY, "left").join(texts, postings.KEY, "left")
+    segments = postings.snippet(F.col("text"), F.col("spans"), text)
+    marked = F.transform(segments, lambda s: F.when(s["highlighted"], F.concat(F.lit("[["), s["text"], F.lit("]]"))).otherwise(s["text"]))
+    return shown.select("id", "source_kind", "source_row", F.round("score", 6).alias("score"), "matched_rows", "last_active_at", F.array_join(marked, "").alias("snippet"))
 
 
-@query()
+@query(f"WITH {_ONE}, {_BEST}, {_SHOWN.replace('(LIT)', "starts_with(lower(x.w), 'the')")}")
 def search_page(spark, sf_dir):
     """The first page of a search by relevance, with highlighted snippets (made for the page alone)."""
-    best = search.best_source(_hits(spark, sf_dir, "the"))
-    active = load(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("last_active_at"))
-    listed = search.page(best.join(active, "id", "left"), search.sort_keys("relevance", True))
-    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.snippets(listed.join(texts, "id", "left"), "text", "the").drop("text")
+    return _page(spark, sf_dir, "the")
 
 
-_BLANK = r"[ \t\n\x0B\f\r]"
+_BOTH = f"""{_EVERY},
+marked2 AS (SELECT source_kind, id, source_row, pos, word = 'that' AS a, starts_with(word, 'was') AS b FROM placed WHERE word = 'that' OR starts_with(word, 'was')),
+latest2 AS (SELECT *, row_number() OVER w AS n, max(pos) FILTER (a) OVER w AS la, max(pos) FILTER (b) OVER w AS lb FROM marked2
+  WINDOW w AS (PARTITION BY source_kind, id, source_row ORDER BY pos)),
+fresh2 AS (SELECT *, CASE WHEN la IS NOT NULL AND lb IS NOT NULL THEN least(la, lb) END AS first FROM latest2),
+begun2 AS (SELECT *, lag(first) OVER (PARTITION BY source_kind, id, source_row ORDER BY pos) AS before FROM fresh2),
+covers AS (SELECT f.source_kind, f.id, f.source_row, f.first, f.pos AS last, f.pos - f.first - (f.n - b.n) AS gaps FROM begun2 f
+  JOIN latest2 b ON b.source_kind = f.source_kind AND b.id = f.id AND b.source_row = f.source_row AND b.pos = f.first
+  WHERE f.first IS NOT NULL AND (f.before IS NULL OR f.first > f.before))"""
+
+
+@query(f"WITH {_BOTH}, {_BEST}, {_SHOWN.replace('(LIT)', "lower(x.w) = 'that' OR starts_with(lower(x.w), 'was')")}")
+def search_page_of_two(spark, sf_dir):
+    """A page for two words: fragments show where they stand nearest to one another."""
+    return _page(spark, sf_dir, "that was")
 
 
 @query(rf"""
@@ -105,7 +215,8 @@ def search_tokens(spark, sf_dir):
     """What is indexed of each message: the tokens of its id, content and details, capped."""
     rows = load(spark, sf_dir, "conversations")
     text = search.search_text("message", {"id": F.col("conv_id"), "content": F.col("text"), "details": F.col("role")})
-    return search.token_table(rows, text).select("conv_id", "turn", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
+    words = rows.select("conv_id", "turn", search.tokens(text).alias("w"))
+    return words.select("conv_id", "turn", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
 
 
 _SQUASH = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({}, ''), '\\[nrt]', ' ', 'g'), '\\(["\\/])', '\1', 'g'), '["“”]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')))"""
