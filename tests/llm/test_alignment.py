@@ -100,8 +100,8 @@ def test_cuts_change_nothing(made, monkeypatch):
 
 
 def test_chunks(made):
-    assert made.chunks("a b  c") == ["a", "b  c"] and made.chunks(" x y ") == [" x", "y "] and made.chunks("  ") == ["  "]
-    assert made.chunks("a - b\n c d") == ["a", "-", "b\n c", "d"]
+    texts = ["a b  c", " x y ", "  ", "a - b\n c d", "a\n", "x a\n y"]
+    assert made.chunks(texts) == [["a", "b  c"], [" x", "y "], ["  "], ["a", "-", "b\n c", "d"], ["a\n"], ["x", "a\n y"]]
 
 
 def test_nothing(spark):

@@ -34,8 +34,8 @@ HELD = 1 << 20
 SALT = 16
 #: Chunks that a task remembers at most; it then starts anew.
 REMEMBERED = 400_000
-#: Pairs expanded at once.
-EXPANDED = 1 << 22
+#: Pairs expanded at once; links of a block's documents, after which it ends.
+EXPANDED, BLOCK = 1 << 22, 1 << 20
 #: Characters whose chunks are counted at once; a longer text is cut at a safe space behind so many.
 AT_ONCE = 1 << 20
 
@@ -87,11 +87,13 @@ class Pair:
         self.starts = regex.compile(r"[\p{L}\p{N}!-~]").match
         self.ends = regex.compile(r"[\p{L}\p{N}\p{M}!-~]").match
         self.safe = regex.compile(r"(?<=[\p{L}\p{N}\p{M}!-~]) (?=[\p{L}\p{N}!-~])").search
+        #: An id as text with what follows it in a list of groups.
+        self.said = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"] + [f"{i}{mark}" for i in range(self.width) for mark in (",", ";", "")]
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}  # of a chunk, its place in all that follows; its last places hold nothing yet
-        self.solid: dict[str, bool] = {}
+        self.loose: set[str] = set()  # words that must not stand alone
         self.texts: list[str | None] = []  # groups of a chunk, None where the bytes differ
         self.numbers = np.empty((1024, 4), np.int64)  # n_a, n_b, n_groups, n_links
         self.upto = np.zeros(1025, np.int64)  # where a chunk's links end, by its place + 1
@@ -105,30 +107,35 @@ class Pair:
             start = cut.end()
         yield text[start:] if start else text
 
-    def chunks(self, text: str) -> list[str]:
-        """``text`` cut at its safe spaces, which go; each chunk stands for itself with a space before it."""
+    def chunks(self, texts: list[str]) -> list[list[str]]:
+        """Each text cut at its safe spaces, which go; a chunk stands for itself with a space before it."""
         if not self.apart:
-            return [text]
-        words, known = text.split(" "), self.solid
-        for w in set(words).difference(known):
-            known[w] = bool(w) and self.starts(w) is not None and self.ends(w[-1]) is not None
-        if all(map(known.__getitem__, words)):
-            return words
+            return [[t] for t in texts]
+        cut = [t.split(" ") for t in texts]
+        index, loose = self.index, self.loose
+        loose.update(w for w in set().union(*cut).difference(index) if not (self._starts(w) and self._ends(w)))
+        return [words if loose.isdisjoint(words) else self._joined(words) for words in cut]
+
+    def _starts(self, word: str) -> bool:
+        return "!" <= word[:1] <= "~" or self.starts(word) is not None
+
+    def _ends(self, word: str) -> bool:
+        return "!" <= word[-1:] <= "~" or self.ends(word[-1:]) is not None
+
+    def _joined(self, words: list[str]) -> list[str]:
         out: list[list[str]] = []
         closed = False  # whether a chunk may begin here
         for w in words:
-            if closed and w and self.starts(w) is not None:
+            if not out or (closed and self._starts(w)):
                 out.append([w])
-            elif out:
-                out[-1].append(w)
             else:
-                out.append([w])
-            closed = bool(w) and self.ends(w[-1]) is not None
+                out[-1].append(w)
+            closed = self._ends(w)
         return [" ".join(x) for x in out]
 
     def learn(self, chunks: set[str]) -> None:
         """Tokenises and aligns the chunks that are not remembered, AT_ONCE characters together."""
-        left = [c for c in chunks if c not in self.index]
+        left = list(chunks.difference(self.index))
         start = held = 0
         for i, c in enumerate(left):
             if held > AT_ONCE:
@@ -140,50 +147,67 @@ class Pair:
     def _learn(self, chunks: list[str]) -> None:
         if not chunks:
             return
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
+        sizes = np.array([len(c.encode()) + 1 for c in chunks], np.int64)
+        solid = self.apart and all(self._starts(c) and self._ends(c) for c in chunks)
+        made = None
         ids_b = self.b.encode(chunks, num_threads=1)
-        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        same = []
-        for c, x, y in zip(chunks, ids_a, ids_b, strict=True):
-            want = b" " + c.encode()
-            same.append(b"".join(map(bytes_a, x)) == want and b"".join(map(bytes_b, y)) == want)
-        numbers, texts, sizes, links, times = self._aligned(
-            [x if ok else [] for x, ok in zip(ids_a, same, strict=True)], [y if ok else [] for y, ok in zip(ids_b, same, strict=True)]
-        )
-        start, n = len(self.texts), len(chunks)
-        at = int(self.upto[start])
-        self.numbers, self.upto = _room(self.numbers, start + n), _room(self.upto, start + n + 1)
+        if solid:  # many as one text: where they meet nothing reaches across
+            rows = [" " + " ".join(chunks[i : i + 256]) for i in range(0, len(chunks), 256)]
+            a = [i for e in self.a.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids]
+            b = [i for ids in ids_b for i in ids]
+            want = "".join(rows).encode()
+            if b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want:
+                made = self._aligned(np.array(a, np.int64), np.array(b, np.int64), np.cumsum(sizes)), [True] * len(chunks)
+        if made is None:  # one by one, and those whose bytes differ have no tokens
+            ids_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
+            same = []
+            for c, x, y in zip(chunks, ids_a, ids_b, strict=True):
+                want = b" " + c.encode()
+                same.append(b"".join(map(self.bytes_a.__getitem__, x)) == want and b"".join(map(self.bytes_b.__getitem__, y)) == want)
+            kept = [[i for ids, ok in zip(all_ids, same, strict=True) if ok for i in ids] for all_ids in (ids_a, ids_b)]
+            made = self._aligned(*(np.array(x, np.int64) for x in kept), np.cumsum(np.where(same, sizes, 0))), same
+        (numbers, texts, n, links, times), same = made
+        start = len(self.texts)
+        end, at = start + len(chunks), int(self.upto[start])
+        self.numbers, self.upto = _room(self.numbers, end), _room(self.upto, end + 1)
         self.links, self.times = _room(self.links, at + len(links)), _room(self.times, at + len(links))
-        self.numbers[start : start + n] = numbers
-        self.upto[start + 1 : start + n + 1] = at + np.cumsum(sizes)
+        self.numbers[start:end] = numbers
+        self.upto[start + 1 : end + 1] = at + np.cumsum(n)
         self.links[at : at + len(links)], self.times[at : at + len(links)] = links, times
         self.texts += [t if ok else None for t, ok in zip(texts, same, strict=True)]
-        self.index.update(zip(chunks, range(start, start + n), strict=True))
+        self.index.update(zip(chunks, range(start, end), strict=True))
 
-    def _aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple:
-        """Numbers, groups text, number of links, and links with their times, of each chunk.
+    def _aligned(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple:
+        """Numbers, groups text, number of links, and links with their times, of each chunk; ``ends`` are the chunks' last
+        bytes.
 
         All chunks are one sequence: where a chunk ends both end, so groups never cross chunks.
         """
-        n_a, n_b = (np.array([len(i) for i in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for ids in all_ids for i in ids], np.int64) for all_ids in (ids_a, ids_b))
         end_a, end_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         in_a, in_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-        many_b = np.bincount(in_b, minlength=len(cuts))
-        whose = np.repeat(np.arange(len(n_a)), n_a)  # the chunk of each A token
-        upto_a = np.cumsum(n_a)
-        # groups up to a chunk's end: those that its last A token closes
-        upto_g = np.concatenate([[0], in_a + 1])[upto_a]
-        n_groups = np.diff(upto_g, prepend=0)
-        n_links = np.bincount(whose, many_b[in_a], len(n_a)).astype(np.int64)
+        many_a, many_b = np.bincount(in_a, minlength=len(cuts)), np.bincount(in_b, minlength=len(cuts))
+        upto = [np.searchsorted(x, ends, "right") for x in (end_a, end_b, cuts)]
+        n_a, n_b, n_groups = (np.diff(x, prepend=0) for x in upto)
+        whose = np.repeat(np.arange(len(ends)), n_a)  # the chunk of each A token
+        n_links = np.bincount(whose, many_b[in_a], len(ends)).astype(np.int64)
         key, times = self._links(a, in_a, whose, b, many_b)
-        sizes = np.bincount(key // self.span, minlength=len(n_a))
-        every = _texts(a, b, in_a, in_b)
-        edges = upto_g.tolist()
-        texts = [";".join(every[x:y]) for x, y in zip([0, *edges[:-1]], edges, strict=True)]
+        sizes = np.bincount(key // self.span, minlength=len(ends))
+        texts = self._texts(a, b, in_a, in_b, many_a, many_b, upto)
         return np.stack([n_a, n_b, n_groups, n_links], 1), texts, sizes, key % self.span, times
 
+    def _texts(self, a, b, in_a, in_b, many_a, many_b, upto) -> list[str]:
+        """``a1,a2|b1;a3|b2`` of every chunk: tokens in the order of group, side and place, each with what follows it."""
+        last_a, last_b = (np.diff(x, append=-1) != 0 for x in (in_a, in_b))  # the last of its group
+        closing = np.zeros(len(b), bool)
+        closing[upto[1][upto[1] > 0] - 1] = True  # the last of its chunk
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[in_a]] = 2 * a + last_a
+        order[np.arange(len(b)) + np.cumsum(many_a)[in_b]] = 2 * len(self.bytes_a) + 3 * b + last_b + closing
+        words = list(map(self.said.__getitem__, order.tolist()))
+        edges = (upto[0] + upto[1]).tolist()
+        return ["".join(words[x:y]) for x, y in zip([0, *edges[:-1]], edges, strict=True)]
+
     def _links(self, a, group, whose, b, many_b) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (chunk, A id, B id) as one number, and their occurrences: every A token with all B tokens of its
         group.  EXPANDED pairs are expanded at once; a token with more of them takes its B tokens by distinct id."""
@@ -220,19 +244,6 @@ def _room(held: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _texts(a, b, in_a, in_b) -> list[str]:
-    """``a1,a2|b1`` of every group."""
-    def listed(ids, group) -> list[str]:
-        words = list(map(str, ids.tolist()))
-        edges = np.flatnonzero(np.diff(group)) + 1
-        if len(edges) + 1 == len(words):
-            return words
-        upto = [0, *edges.tolist(), len(words)]
-        return [",".join(words[x:y]) for x, y in zip(upto[:-1], upto[1:], strict=True)]
-
-    return [f"{x}|{y}" for x, y in zip(listed(a, in_a), listed(b, in_b), strict=True)] if len(a) else []
-
-
 def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their times."""
     if len(keys) == 1:
@@ -260,7 +271,7 @@ class Block:
 
     def __init__(self, made: Pair):
         self.made, self.shas, self.whole, self.begun = made, [], [], []
-        self.waiting: list[tuple[int, list[str]]] = []
+        self.waiting: list[tuple[int, str]] = []
         self.held = self.size = 0
         self.numbers: list[tuple[np.ndarray, np.ndarray]] = []  # (document, its numbers so far)
         self.keys: list[np.ndarray] = []
@@ -274,8 +285,7 @@ class Block:
         self.begun.append(False)
         for i, part in enumerate(self.made.parts(text) if text else ()):
             self.again |= i > 0
-            chunks = self.made.chunks(part)
-            self.waiting.append((doc, chunks))
+            self.waiting.append((doc, part))
             self.held += len(part)
             if self.held >= AT_ONCE:
                 self.count()
@@ -285,13 +295,13 @@ class Block:
         if not self.waiting:
             return
         made = self.made
-        chunks = set().union(*(c for _, c in self.waiting))
         if len(made.index) > REMEMBERED:
             made.forget()
-        made.learn(chunks)
-        place = [np.fromiter(map(made.index.__getitem__, c), np.int64, len(c)) for _, c in self.waiting]
-        for (doc, c), at in zip(self.waiting, place, strict=True):
-            texts = list(map(made.texts.__getitem__, at.tolist()))
+        cut = made.chunks([part for _, part in self.waiting])
+        made.learn(set().union(*cut))
+        place = [list(map(made.index.__getitem__, c)) for c in cut]
+        for (doc, _), at in zip(self.waiting, place, strict=True):
+            texts = list(map(made.texts.__getitem__, at))
             if None in texts:
                 self.whole[doc] = False
             elif self.whole[doc]:
@@ -299,7 +309,7 @@ class Block:
                 self.begun[doc] = True
         n = len(made.texts)
         docs = np.repeat(np.array([d for d, _ in self.waiting], np.int64), [len(x) for x in place])
-        key, often = np.unique(docs * n + np.concatenate(place), return_counts=True)
+        key, often = np.unique(docs * n + np.array([i for at in place for i in at], np.int64), return_counts=True)
         doc, at = key // n, key % n
         edges = np.flatnonzero(np.diff(doc, prepend=-1))
         self.numbers.append((doc[edges], np.add.reduceat(made.numbers[at] * often[:, None], edges)))
@@ -350,7 +360,7 @@ def blocks(docs: DataFrame, a: str, b: str, by: str = "doc_id") -> DataFrame:
             block, start = Block(made), 0
             for i, text in enumerate(batch.column(1)):
                 block.add(text.as_py())
-                if block.size > EXPANDED:
+                if block.size > BLOCK:
                     yield block.batch(batch.column(0).slice(start, i + 1 - start))
                     block, start = Block(made), i + 1
             if block.shas:
