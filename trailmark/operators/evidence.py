@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.content import QUOTE_MIN, RANGE_MAX, quote_pieces, squash
 
@@ -102,3 +103,44 @@ def seen_at(cited: DataFrame, records: DataFrame) -> DataFrame:
 def reaches_new(evidence_to: Column, context: int) -> Column:
     """Whether any cited range (an array of end ids msg-N) reaches the part after ``context`` records."""
     return F.exists(evidence_to, lambda i: F.regexp_extract(i, r"^msg-(\d+)$", 1).try_cast("int") >= context)
+
+
+def excerpts(cited: DataFrame, records: DataFrame, reach: int = 3, budget: int = 20_000) -> DataFrame:
+    """(session_id, problem, block, first, last, n, chars, text, cut): what a writer sees of the records around a problem.
+
+    ``cited`` (session_id, problem, first, last): record numbers that its evidence names; each range is widened by
+    ``reach`` within the session, and ranges that overlap or touch are one block.  ``records`` (session_id, seq, line):
+    a record's block of text, already cut as a reader's.  Blocks come in order; once a problem's lines reach
+    ``budget`` characters the rest is left out, and ``cut`` says so; the record that crosses it is still whole.
+    """
+    ends = records.groupBy("session_id").agg(F.max("seq").alias("_end"))
+    wide = cited.where("first <= last").join(ends, "session_id").select(
+        "session_id", "problem", F.greatest(F.lit(0), F.col("first") - reach).alias("a"), F.least(F.col("_end"), F.col("last") + reach).alias("b")
+    ).where("a <= b")
+    sweep = Window.partitionBy("session_id", "problem").orderBy("a", "b")
+    furthest = F.max("b").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.coalesce(furthest, F.lit(-2)) + 1 < F.col("a")).cast("int")
+    numbered = wide.withColumn("_new", opens).withColumn("block", F.sum("_new").over(sweep.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = numbered.groupBy("session_id", "problem", "block").agg(F.min("a").alias("first"), F.max("b").alias("last"))
+    lines = blocks.select("*", F.explode(F.sequence("first", "last")).alias("seq")).join(records.select("session_id", "seq", "line"), ["session_id", "seq"])
+    read = Window.partitionBy("session_id", "problem").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    held = lines.withColumn("_before", F.coalesce(F.sum(F.length("line")).over(read), F.lit(0)))
+    kept = F.col("_before") < budget
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("seq", "line")))), lambda x: x["line"]), "\n\n")
+    return held.groupBy("session_id", "problem", "block", "first", "last").agg(
+        F.count_if(kept).alias("n"), F.sum(F.when(kept, F.length("line")).otherwise(0)).alias("chars"), text.alias("text"), F.bool_or(~kept).alias("cut")
+    )
+
+
+def with_excerpts(problems: DataFrame, reviews: DataFrame, records: DataFrame, project: int | str, **options) -> DataFrame:
+    """``problems`` (problem, review_id, evidence: array of structs with first and last) with ``excerpt``, their blocks joined.
+
+    ``reviews``: review_id, session_id, project_id, numbered (whether it kept its records' order).  A review that kept none, or
+    whose session is another project's now, gives no excerpt, and nor do problems without evidence.
+    """
+    own = reviews.where(F.col("numbered") & (F.col("project_id") == project)).select("review_id", "session_id")
+    cited = problems.join(own, "review_id").select("session_id", "problem", F.explode("evidence").alias("e")).select("session_id", "problem", "e.first", "e.last")
+    made = excerpts(cited, records, **options).where("n > 0").groupBy("problem").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]), "\n\n...\n\n").alias("excerpt")
+    )
+    return problems.join(made, "problem", "left").select(*problems.columns, "excerpt")

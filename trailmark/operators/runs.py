@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 from ..tables import settled
+from .chains import reached
 
 
 def ordered(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -57,24 +56,29 @@ def dense_ids(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str
 
 def pack(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, most: int) -> DataFrame:
     """``df`` with ``pack``: consecutive rows filled up to ``most``; a new pack begins before it would
-    overflow, and one larger row is a pack of its own.
+    overflow, and one larger row is a pack of its own.  Rows of no size go with what follows them; a null size is none.
 
-    Where a pack begins depends on all before it, which no window can say; groups are tracks of one
-    session.
+    Where a pack that began at a row would end is found in running sums, sorted together with the sums asked for; the
+    beginnings are those that the first row leads to by such ends (:func:`chains.reached`).
     """
-    schema = StructType([*df.schema, StructField("pack", IntegerType())])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        held, number, out = 0, 0, []
-        for n in rows[size].fillna(0):
-            if held and held + n > most:
-                number, held = number + 1, 0
-            held += n
-            out.append(number)
-        return rows.assign(pack=pd.array(out, dtype="int32"))
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    w = Window.partitionBy("_g").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({"_g": F.struct(*by), "_s": F.coalesce(F.col(size).cast("long"), F.lit(0))})
+    rows = settled(rows.withColumns({"_i": F.row_number().over(w), "_upto": F.sum("_s").over(upto)}))
+    before = F.col("_upto") - F.col("_s")
+    sums = rows.select("_g", "_i", F.col("_upto").alias("_v"), F.lit(1).alias("_kind"), before.alias("_b"))
+    asked = rows.select("_g", "_i", (before + most).alias("_v"), F.lit(0).alias("_kind"), before.alias("_b"))
+    # downwards, the last sum passed is the first row that is more than asked for
+    down = Window.partitionBy("_g").orderBy(F.col("_v").desc(), "_kind", F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    over = F.last(F.when(F.col("_kind") == 1, F.struct("_i", "_b")), ignorenulls=True).over(down)
+    found = sums.unionByName(asked).withColumn("_over", over).where("_kind = 0")
+    # nothing held before it: it is taken all the same
+    follow = F.col("_over._i") + F.when(F.col("_over._b") == F.col("_b"), 1).otherwise(0)
+    links = settled(found.select("_g", "_i", follow.alias("_to")))
+    starts, _ = reached(links, ["_g"], "_i", "_to", links.where("_i = 1").select("_g", "_i"))
+    met = rows.join(starts.withColumn("_new", F.lit(1)), ["_g", "_i"], "left")
+    number = F.count("_new").over(Window.partitionBy("_g").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return met.withColumn("pack", number.cast("int")).select(*df.columns, "pack")
 
 
 def around(cited: DataFrame, rows: DataFrame, by: Sequence[str], at: str, reach: int, most: int = 100) -> DataFrame:
@@ -87,6 +91,42 @@ def around(cited: DataFrame, rows: DataFrame, by: Sequence[str], at: str, reach:
     return near.withColumn("truncated", over).where(F.col("_place") <= most).drop("_place")
 
 
+def context(cited: DataFrame, records: DataFrame, by: Sequence[str], reach: int = 2) -> DataFrame:
+    """(by, item, seq, cited): what is shown of each citation: its records, and ``reach`` on each side.
+
+    ``cited``: by, item, first, last (record numbers); ``records``: by, seq, track, filled (whether there is anything to
+    see).  Neighbours are of the track of the first record cited and filled; of the cited ones the filled are
+    shown, or all where none is.  A citation whose first record is missing has no neighbours.
+
+    Filled records of a track are numbered, a citation's ends are placed among them by running counts, and
+    neighbours are met by number.
+    """
+    keys = list(by)
+    head = records.select(*keys, F.col("seq").alias("first"), "track")
+    placed = cited.join(head, [*keys, "first"])
+    marks = placed.select(*keys, "track", "item", F.explode(F.array(
+        F.struct(F.col("first").alias("at"), F.lit(0).alias("side")), F.struct(F.col("last").alias("at"), F.lit(1).alias("side"))
+    )).alias("p"))
+    none = F.lit(None)
+    item = cited.schema["item"].dataType
+    points = records.select(*keys, "track", F.col("seq").alias("at"), F.col("filled").cast("int").alias("n"), none.cast(item).alias("item"), none.cast("int").alias("side"))
+    # a first end comes before the record it names, a last end after it
+    turn = F.when(F.col("side") == 0, 0).when(F.col("side") == 1, 2).otherwise(1)
+    asked = marks.select(*keys, "track", F.col("p.at").alias("at"), F.lit(0).alias("n"), "item", F.col("p.side").alias("side"))
+    order = Window.partitionBy(*keys, "track").orderBy("at", turn, "item").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = points.unionByName(asked).withColumn("rank", F.sum("n").over(order))
+    wanted = numbered.where("side is not null").select(*keys, "track", "item", F.explode(F.when(
+        F.col("side") == 0, F.sequence(F.col("rank") - reach + 1, F.col("rank"))
+    ).otherwise(F.sequence(F.col("rank") + 1, F.col("rank") + reach))).alias("rank"))
+    filled = numbered.where("side is null and n = 1").select(*keys, "track", "rank", F.col("at").alias("seq"))
+    near = wanted.join(filled, [*keys, "track", "rank"]).select(*keys, "item", "seq", F.lit(False).alias("cited"))
+    spans = cited.where("first <= last").select(*keys, "item", F.explode(F.sequence("first", "last")).alias("seq"))
+    inside = spans.join(records.select(*keys, "seq", "filled"), [*keys, "seq"])
+    any_filled = F.max("filled").over(Window.partitionBy(*keys, "item"))
+    shown = inside.withColumn("_any", any_filled).where("filled or not _any").select(*keys, "item", "seq", F.lit(True).alias("cited"))
+    return shown.unionByName(near)
+
+
 def dominant(df: DataFrame, by: Sequence[str], value: str, line: str) -> DataFrame:
     """The most frequent ``value`` of each group; ties go to the one seen on the earliest line."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(line).alias("first"))

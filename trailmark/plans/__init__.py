@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import learning, projects, review, sessions, text, windows, writes
+from . import capture, learning, projects, review, sessions, text, windows, writes
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "learning", "projects", "review", "sessions", "text", "windows", "writes"]
+__all__ = ["QUERIES", "SQL", "capture", "learning", "projects", "review", "sessions", "text", "windows", "writes"]

@@ -141,7 +141,13 @@ def export_seq(spark, sf_dir):
     return kept.select("conv_id", "seq", F.concat(F.lit("msg-"), "seq").alias("id"), "turn")
 
 
-@query()
+@query("""
+WITH RECURSIVE sized AS (SELECT conv_id, turn, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+filled AS (SELECT conv_id, i, coalesce(chars, 0) AS held, 0 AS pack FROM sized WHERE i = 1
+  UNION ALL SELECT s.conv_id, s.i, CASE WHEN f.held > 0 AND f.held + coalesce(s.chars, 0) > 2000 THEN coalesce(s.chars, 0) ELSE f.held + coalesce(s.chars, 0) END,
+    f.pack + (f.held > 0 AND f.held + coalesce(s.chars, 0) > 2000)::INT FROM filled f JOIN sized s ON s.conv_id = f.conv_id AND s.i = f.i + 1)
+SELECT conv_id, turn, chars::INT AS chars, pack FROM filled JOIN sized USING (conv_id, i)
+""")
 def pack_pieces(spark, sf_dir):
     """Messages packed greedily into pieces of at most 2,000 characters."""
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))

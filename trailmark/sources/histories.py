@@ -225,3 +225,36 @@ def recordset(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.select(F.inline(F.from_json(column, f"array<struct<{schema}>>")))
 
 
+
+
+def reconciled(old: DataFrame, new: DataFrame, by: list[str], place: str, item: str) -> DataFrame:
+    """(by, place, item, fate) of two readings of ordered lists: what is ``kept``, ``withdrawn`` or ``fresh``.
+
+    A list is the same up to the first place where the readings differ; what the old one has from there on was rolled
+    back, whatever it is, and what the new one has there is fresh.  Places count from 1 without holes.  Each
+    reading carries, at every place, a mark of all its items up to there, so that two places meet only if
+    nothing before them differs: one join on (list, place, mark), however long the lists are.
+    """
+    w = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+
+    def marked(rows: DataFrame) -> DataFrame:
+        one = [F.xxhash64(F.lit(seed), F.col(place).cast("long"), F.col(item)) for seed in (1, 2)]  # 128 bits together
+        return rows.select(*by, place, item, F.bit_xor(one[0]).over(w).alias("_m1"), F.bit_xor(one[1]).over(w).alias("_m2"))
+
+    a, b = marked(old), marked(new).withColumn("_b", F.lit(True))
+    key = [*by, place, "_m1", "_m2"]
+    met = a.join(b.drop(item), key, "left").withColumn("fate", F.when(F.col("_b").isNotNull(), "kept").otherwise("withdrawn"))
+    fresh = b.join(a.select(*key), key, "left_anti").withColumn("fate", F.lit("fresh"))
+    return met.select(*by, place, item, "fate").unionByName(fresh.select(*by, place, item, "fate"))
+
+
+def still_pending(pending: DataFrame, turns: DataFrame, read: DataFrame, finished: DataFrame) -> DataFrame:
+    """Items (thread_id, turn_id, item_id, ...) that still wait: not finished, and their turn is still there.
+
+    A thread that was not ``read`` this time (thread_id) has no turns to check, so its items stay.
+    """
+    left = pending.join(finished.select("thread_id", "turn_id", "item_id"), ["thread_id", "turn_id", "item_id"], "left_anti")
+    seen = read.select("thread_id", F.lit(True).alias("_read")).distinct()
+    there = turns.select("thread_id", "turn_id", F.lit(True).alias("_turn")).distinct()
+    met = left.join(seen, "thread_id", "left").join(there, ["thread_id", "turn_id"], "left")
+    return met.where("_read is null or _turn is not null").select(*pending.columns)
