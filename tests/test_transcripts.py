@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,10 +91,51 @@ def test_ingest_twice(spark, tmp_path):
     assert ingest.ingest_files(store, files, 1) == {"ingested": 0, "deduped": 6}
     more = spark.createDataFrame([(PATH + "s1.jsonl", one + json.dumps(LINES[-1]) + "\n")], "path string, content string")
     assert ingest.ingest_files(store, more, 2) == {"ingested": 1, "deduped": 6}
-    schema = spark.read.parquet(str(tmp_path / "store/sessions/batch=0")).schema
+    schema = spark.read.parquet(str(tmp_path / "store/sessions/batch=0")).drop("shard").schema
     assert [r.messages for r in ingest.sessions(store, schema).collect()] == [7]
 
 
+def test_replay_equals_a_fresh_ingest(spark, tmp_path):
+    """A session read anew has the rows that it would have had at once; others keep theirs, and nothing else is read."""
+    name = PATH + "{}.jsonl"
+    text = lambda some: "".join(json.dumps(x) + "\n" for x in some)
+    files = lambda *some: spark.createDataFrame([(name.format(s), text(x)) for s, x in some], "path string, content string")
+    store = ingest.Store(spark, str(tmp_path / "store"), shards=8)
+    ingest.ingest_files(store, files(("s1", LINES), ("s2", LINES[:4])), 0)
+    ingest.replay(store, files(("s1", LINES[2:6])), 1)
+    ingest.ingest_files(store, files(("s2", LINES[:5])), 2)
+    fresh = ingest.Store(spark, str(tmp_path / "fresh"), shards=3)
+    ingest.ingest_files(fresh, files(("s1", LINES[2:6]), ("s2", LINES[:5])), 0)
+    schema = spark.read.parquet(str(tmp_path / "fresh/messages/batch=0")).drop("shard").schema
+    rows = lambda s: sorted(map(repr, s.read("messages", schema).collect()))
+    assert rows(store) == rows(fresh)
+    kind = spark.read.parquet(str(tmp_path / "fresh/sessions/batch=0")).drop("shard").schema
+    assert sorted(map(repr, ingest.sessions(store, kind).collect())) == sorted(map(repr, ingest.sessions(fresh, kind).collect()))
+    assert store.committed() == [(0, 2)]
+    near = store.shards_of(spark.createDataFrame([("s2",)], "session_id string"))
+    plan = store.read("messages", schema, shards=near)._jdf.queryExecution().executedPlan().toString()
+    assert len(near) == 1 and re.search(r"PartitionFilters: \[.*\(shard#", plan)
+
+
+def test_what_is_not_committed_is_not_there(spark, tmp_path):
+    store = ingest.Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("a", "1", 0, 1, 5), ("b", "1", 0, 1, 6)], "session_id string, line_uuid string, sub_index int, line int, ts int")
+    assert ingest.ingest_messages(store, rows, 3) == {"ingested": 2, "deduped": 0} and store.read("messages", rows.schema).count() == 0
+    store.commit(3)
+    assert store.read("messages", rows.schema).count() == 2 and store.committed() == [(3, 3)]
+    ingest.ingest_messages(store, rows.limit(0), 5, rows.where("session_id = 'a'"))  # a session that is gone
+    store.commit(5)
+    assert [r.session_id for r in store.read("messages", rows.schema).collect()] == ["b"] and store.committed() == [(3, 3), (5, 5)]
+    ingest.ingest_messages(store, rows.limit(0), 4)
+    store.commit(4)
+    store.commit(4)
+    assert store.committed() == [(3, 5)] and [r.session_id for r in store.read("messages", rows.schema).collect()] == ["b"]
+    for batch in range(6, 12):
+        ingest.ingest_messages(store, rows.limit(0), batch)
+        store.commit(batch)
+    assert store.committed() == [(3, 11)] and len(list((tmp_path / "store/manifests").glob("at=*"))) == ingest.BEHIND + 1
+
+
 def test_follow(spark, tmp_path):
     folder = tmp_path / "x/projects/p"
     folder.mkdir(parents=True)
@@ -103,7 +145,7 @@ def test_follow(spark, tmp_path):
     run()
     (folder / "s2.jsonl").write_text(TEXT)
     run()
-    schema = spark.read.parquet(str(tmp_path / "store/messages/batch=0")).schema
+    schema = spark.read.parquet(str(tmp_path / "store/messages/batch=0")).drop("shard").schema
     found = store.read("messages", schema).groupBy("session_id").count().collect()
     assert {r.session_id: r["count"] for r in found} == {"s1": 16, "s2": 16}
 

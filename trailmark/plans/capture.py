@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import chains, evidence, reviews, runs, transform
 from ..sources import histories
-from ..streaming import acks
+from ..streaming import acks, ingest, results
+from ..tables import folder
 from .registry import load, query
 
 _SENT = """
@@ -216,3 +219,49 @@ def review_lifecycle(spark, sf_dir):
 def review_refusals(spark, sf_dir):
     """Results that change nothing, and why."""
     return _finished(spark, sf_dir)[2]
+
+
+@query("SELECT conv_id AS session_id, turn AS line, role, CASE WHEN conv_id % 5 = 0 THEN 'again: ' || text ELSE text END AS text FROM conversations WHERE conv_id % 5 <> 0 OR turn < 2")
+def stored_messages(spark, sf_dir):
+    """Messages after three batches: some, then all with those some again, then every fifth session read anew and shorter."""
+    said = load(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").cast("string").alias("line_uuid"), F.lit(0).alias("sub_index"), F.col("turn").alias("line"), "role", "text"
+    )
+    store = ingest.Store(spark, folder(spark, "store"), shards=16)
+    again = said.where("session_id % 5 = 0")
+    shorter = again.where("line < 2").withColumn("text", F.concat(F.lit("again: "), "text"))
+    for batch, (rows, anew) in enumerate(((said.where("line % 2 = 0"), None), (said, None), (shorter, again.select("session_id")))):
+        ingest.ingest_messages(store, rows, batch, anew, at="line")
+        store.commit(batch)
+    return store.read("messages", said.schema).select("session_id", "line", "role", "text")
+
+
+_CALLS = """
+said AS (SELECT user_id AS session_id, ((props->>'$.k')::INT % 10) AS call_id, event_type = 'click' AS is_call, ts, event_id FROM events WHERE event_type IN ('click', 'purchase')),
+mark AS (SELECT max(epoch_us(ts)) // 1000 - 6 * 3600000 AS w FROM said),
+near AS (SELECT said.*, w, lead(is_call) OVER o AS next_call, lead(ts) OVER o AS next_ts, lag(is_call) OVER o AS last_call, lag(ts) OVER o AS last_ts
+  FROM said, mark WHERE epoch_us(ts) // 1000 < w WINDOW o AS (PARTITION BY session_id, call_id ORDER BY ts, event_id)),
+judged AS (SELECT *, CASE WHEN is_call THEN CASE WHEN next_ts <= ts + INTERVAL 3 DAYS THEN CASE WHEN next_call THEN 'superseded' ELSE 'answered' END
+    WHEN next_ts IS NOT NULL OR epoch_us(ts + INTERVAL 3 DAYS) // 1000 < w THEN 'unanswered' END
+  WHEN last_call AND ts <= last_ts + INTERVAL 3 DAYS THEN NULL ELSE 'orphan' END AS outcome FROM near)
+"""
+
+
+@query(f"""
+WITH {_CALLS}
+SELECT session_id, call_id, CASE WHEN is_call THEN ts END AS call_at, CASE WHEN NOT is_call THEN ts WHEN outcome = 'answered' THEN next_ts END AS result_at, outcome
+FROM judged WHERE outcome IS NOT NULL
+""")
+def late_results(spark, sf_dir):
+    """Calls and the results that came for them, however late in the stream, as a stateful stream settles them."""
+    shape = load(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(shape).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, so that a file will do
+    kind = F.when(F.col("event_type") == "click", "call").when(F.col("event_type") == "purchase", "result")
+    said = events.select(
+        F.col("user_id").alias("session_id"), (F.get_json_object("props", "$.k").cast("int") % 10).alias("call_id"), kind.alias("kind"),
+        F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"),
+    )
+    to = folder(spark, "results")
+    results.run_through(said, to, timedelta(days=3), "6 hours")
+    found = spark.read.parquet(f"{to}/rows")
+    return found.select("session_id", "call_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("call_at", "result_at")], "outcome")

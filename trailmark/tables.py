@@ -30,12 +30,18 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends, it outlives executors, and what was
     shuffled to make it is removed.  :func:`sweep` or :func:`forget` removes it."""
     spark = df.sparkSession
-    to = f"{shared(spark)}/table-{uuid.uuid4().hex}"
-    _ours.setdefault(spark.sparkContext.applicationId, []).append(to)
+    to = folder(spark)
     write(df, to)
     return spark.read.schema(df.schema).parquet(to)
 
 
+def folder(spark: SparkSession, kind: str = "table") -> str:
+    """Path of a new folder in the shared one; :func:`sweep` removes it."""
+    to = f"{shared(spark)}/{kind}-{uuid.uuid4().hex}"
+    _ours.setdefault(spark.sparkContext.applicationId, []).append(to)
+    return to
+
+
 def write(df: DataFrame, to: str, partition_by: Iterable[str] = ()) -> None:
     """Writes ``df`` as Parquet and removes what it shuffled."""
     conf = df.sparkSession.conf
