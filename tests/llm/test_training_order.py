@@ -68,7 +68,7 @@ def test_slots_do_not_depend_on_partitions(spark):
 
 
 def test_write_and_resume(spark, tmp_path):
-    """Reading on from a slot by its byte; a whole write is not done again, a broken one is."""
+    """Reading on from a slot by its byte; a whole write is not done again, and of a broken one only what broke."""
     tokens = spark.createDataFrame([(d, packed(*range(d, d + 30))) for d in range(40)], "doc_id long, token_ids binary")
     made, path = written(spark, tokens, tmp_path, 10, 8)
     every = [ids for r in order.read_shards(spark, path).orderBy("shard").collect() for ids in order.records(bytes(r.content), 10)]
@@ -76,7 +76,7 @@ def test_write_and_resume(spark, tmp_path):
     assert every == [by_slot[i] for i in range(120)]
     rest = [r for r in order.read_shards(spark, path, 37, 8).orderBy("shard").collect()]
     assert [r.shard for r in rest] == list(range(4, 15))
-    files = {int(f.parent.name[6:]): f for f in (tmp_path / "out").glob("shard=*/part*")}
+    files = {int(f.parent.name[6:]): f for f in (tmp_path / "out").glob("wave=*/shard=*/part*")}
     for slot in (0, 37, 119):
         with open(files[slot // 8], "rb") as f:
             f.seek(slot % 8 * order.stride(10))
@@ -84,11 +84,12 @@ def test_write_and_resume(spark, tmp_path):
     stamp = files[3].stat().st_mtime_ns
     order.write_shards(made, path, 10, 8)
     assert files[3].stat().st_mtime_ns == stamp
-    (tmp_path / "out" / "_SUCCESS").unlink()
+    (files[3].parent.parent / "_SUCCESS").unlink()
     files[3].write_bytes(b"broken")
+    other = files[0].stat().st_mtime_ns
     order.write_shards(made, path, 10, 8)
     again = [ids for r in order.read_shards(spark, path).orderBy("shard").collect() for ids in order.records(bytes(r.content), 10)]
-    assert again == every
+    assert again == every and files[0].stat().st_mtime_ns == other  # waves that were whole stay
 
 
 def test_empty_table(spark):

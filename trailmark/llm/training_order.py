@@ -22,7 +22,9 @@ KEY = 20_250_101
 #: Tokens of a record, records of a shard, and the number that fills up a record.
 LENGTH, PER_SHARD, PAD = 512, 1 << 14, 0xFFFF
 #: How sequences are packed while they wait for their slots: token ids shrink by half.
-PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+PACKED = {"compression": "zstd"}
+#: Shards are written in so many parts, one after another: of what is exchanged only a part lies on disk at once.
+WAVES = 4
 
 
 class Feistel:
@@ -168,24 +170,29 @@ def stride(length: int = LENGTH) -> int:
     return 4 + 2 * length + 1
 
 
-def write_shards(made: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, pad: int = PAD) -> None:
-    """Writes ordered sequences to ``path``/shard=i/, a raw file of fixed-stride records each, in slot order.
+def write_shards(made: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, pad: int = PAD, waves: int = WAVES) -> None:
+    """Writes ordered sequences to ``path``/wave=w/shard=i/, a raw file of fixed-stride records each, in slot order.
 
-    Tasks cover ranges of shards.  Nothing is seen of a write that is not complete; one that is complete is
-    not done again.  No sequences make a folder without shards.
+    Tasks cover ranges of shards, and waves ranges of these, one after another.  Nothing is seen of a wave that is not
+    complete; one that is complete is not done again, so a write that broke goes on where it was.  No sequences
+    make a folder without shards.
     """
     spark = made.sparkSession
-    if exists(spark, f"{path}/_SUCCESS"):
-        return
     shards = -(-made.count() // per_shard)
-    ranges = max(1, min(shards, parts(spark, 4)))
+    waves = max(1, min(waves, shards))
+    ranges = max(1, min(-(-shards // waves), parts(spark, 4)))
     fill = F.lit(bytes(np.array([pad], "<u2").tobytes()))
     head = F.unhex(F.lpad(F.hex(F.octet_length("ids") / 2), 8, "0"))
     record = F.concat(head, F.rpad("ids", 2 * length, fill))
     dealt = made.withColumn("shard", F.floor(F.col("slot") / per_shard))
-    dealt = dealt.repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {max(1, shards)} as int)"))
-    rows = dealt.sortWithinPartitions("shard", "slot").select("shard", record.cast("string").alias("value"))
-    write_clean(spark, lambda: rows.write.mode("overwrite").partitionBy("shard").option("lineSep", "\n").text(path))
+    for wave in range(waves):
+        at, first, end = f"{path}/wave={wave}", wave * shards // waves, (wave + 1) * shards // waves
+        if exists(spark, f"{at}/_SUCCESS"):
+            continue
+        own = dealt.where(F.col("slot").between(first * per_shard, end * per_shard - 1))
+        own = own.repartitionById(ranges, F.expr(f"cast((shard - {first}) * {ranges} div {max(1, end - first)} as int)"))
+        rows = own.sortWithinPartitions("shard", "slot").select("shard", record.cast("string").alias("value"))
+        write_clean(spark, lambda: rows.write.mode("overwrite").partitionBy("shard").option("lineSep", "\n").text(at))  # noqa: B023
 
 
 def index(made: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
