@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 from itertools import combinations
@@ -100,3 +101,24 @@ def test_twins_and_pairs(spark):
     rows += [(len(rows) + i, f"http://y{i}.com/{p}") for i, p in enumerate(["a/b/c", "c/b/a/d", "a/b", "c", "d/a/b"])]
     got = run(spark, rows)
     assert got == plain(rows) and any(r[5] and " " in r[5] for r in got)
+
+
+def random_rows(k, n=60, seed=2):
+    """URLs that each hold most of ``k`` segments, half of them blocked by host: nothing is a rule alone, nor a twin."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        some = [f"seg{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(k) if rnd.random() < 0.85]
+        out.append((i, ("http://a.net/" if i % 2 else "http://b.info/") + "/".join(some)))
+    return out
+
+
+def test_levels_equal_growth_and_brute_force(spark, monkeypatch):
+    rows = random_rows(9)
+    want = plain(rows)
+    for wide in (0, 99):
+        monkeypatch.setattr(url_rules, "WIDE", wide)
+        assert run(spark, rows) == want
+    rows = [(i, f"http://b.info/{'/'.join('xyzw'[:1 + i % 4])}/{i % 3}" if i % 5 else f"http://c.net/x/y/{i}") for i in range(80)]
+    monkeypatch.setattr(url_rules, "WIDE", 0)
+    assert run(spark, rows) == plain(rows)

@@ -8,7 +8,9 @@ token.
 
 A rule that contains a smaller rule says nothing new, and one of two tokens that are always seen
 together says as much as both.  So tokens that are rules alone, tokens too rare to be in any rule and
-all but one of such twins are left out before mining, which keeps the number of combinations small.
+all but one of such twins are left out before mining, which keeps the number of combinations small.  FP-growth
+makes every frequent combination, up to 2^k of k tokens of one URL, so where a URL has more than WIDE tokens left the
+combinations are made level by level, and one that is a rule, or is seen as often as a part of it, is never extended.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import bounded, forget, settle
 
 #: Fixed values: (host, path, verdict).
 RULES = (
@@ -31,6 +34,8 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 SUPPORT, CONFIDENCE = 0.01, 0.6
+#: Tokens of one URL, left after pruning, up to which FP-growth makes all combinations.
+WIDE = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)\??([^#]*)"
 
@@ -112,15 +117,21 @@ def mine(seen: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
     each = _each_token(seen)
     says = F.when(F.col("verdict") == "block", F.array(F.lit("verdict=block"))).otherwise(F.array().cast("array<string>"))
     baskets = each.join(open_tokens, "token").groupBy("id").agg(F.collect_set("token").alias("tokens"), F.first("verdict").alias("verdict"))
-    baskets = settle(baskets.where("size(tokens) > 1").select(F.concat("tokens", says).alias("items")))
-    n = baskets.count()
+    baskets = settle(baskets.where("size(tokens) > 1").select("id", F.concat("tokens", says).alias("items")))
+    n, widest = baskets.agg(F.count("*"), F.max(F.size(F.array_remove("items", "verdict=block")))).first()
     if n < need:
         return single
+    larger = _grown(baskets, n, need, confidence) if widest <= WIDE else _by_levels(baskets, need, confidence)
+    return single.unionByName(larger.select("antecedent", "confidence", (F.col("blocked") / total).alias("support")))
+
+
+def _grown(baskets: DataFrame, n: int, need: int, confidence: float) -> DataFrame:
+    """(antecedent, confidence, blocked) of the smallest rules of two tokens or more, by FP-growth."""
     model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n, minConfidence=confidence).fit(baskets)
     kept = model.associationRules.where(
         (F.col("consequent") == F.array(F.lit("verdict=block"))) & (F.size("antecedent") > 1) & ~F.array_contains("antecedent", "verdict=block")
     )
-    rules = settle(kept.select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * n / total).alias("support")))
+    rules = settle(kept.select(F.array_sort("antecedent").alias("antecedent"), "confidence", F.round(F.col("support") * n).alias("blocked")))
     small = rules.select(F.col("antecedent").alias("small"), F.element_at("antecedent", 1).alias("token"))
     large = rules.withColumn("token", F.explode("antecedent"))
     hidden = (
@@ -129,7 +140,49 @@ def mine(seen: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
         .select("antecedent")
         .distinct()
     )
-    return single.unionByName(rules.join(hidden, "antecedent", "left_anti").select(single.columns))
+    return rules.join(hidden, "antecedent", "left_anti")
+
+
+def _by_levels(baskets: DataFrame, need: int, confidence: float) -> DataFrame:
+    """What :func:`_grown` gives, a level a round: open sets of k tokens that agree but for the last make one of k + 1, if
+    all its parts are open.
+
+    A set is open if it is frequent, no rule, and seen less often than each of its parts.  What is seen as often as a
+    part is in the same URLs, so a rule with it is one without, and smaller.
+    """
+    block = "verdict=block"
+    urls = baskets.select(
+        "id", F.array_contains("items", block).alias("blocked"), F.array_sort(F.array_remove("items", block)).alias("tokens")
+    )
+    seen = settle(urls.select("id", "blocked", "tokens", F.explode(F.transform("tokens", lambda t: F.array(t))).alias("set")))
+    open_sets = settle(seen.groupBy("set").agg(F.count("*").alias("n")))
+    rules = []
+    while True:
+        stem, last = F.slice("set", 1, F.size("set") - 1), F.element_at("set", -1)
+        ends = open_sets.select(stem.alias("stem"), last.alias("last"))
+        pairs = ends.join(ends.withColumnRenamed("last", "next"), "stem").where("last < next")
+        made = pairs.select(F.concat("stem", F.array("last", "next")).alias("set"))
+        place = F.sequence(F.lit(1), F.size("set"))
+        without = F.transform(place, lambda i: F.concat(F.slice("set", 1, i - 1), F.slice("set", i + 1, F.size("set"))))
+        part = made.select("set", F.explode(without).alias("part")).join(open_sets.select(F.col("set").alias("part"), "n"), "part")
+        whole = part.groupBy("set").agg(F.count("*").alias("parts"), F.min("n").alias("least")).where(F.col("parts") == F.size("set"))
+        asked = settle(whole.select("set", "least"))
+        if asked.isEmpty():
+            break
+        grown = seen.select("id", "blocked", "tokens", "set", F.explode(F.filter("tokens", lambda t: t > F.element_at("set", -1))).alias("token"))
+        grown = grown.select("id", "blocked", "tokens", F.concat("set", F.array("token")).alias("set"))
+        met = settle(grown.join(bounded(asked, 1 << 16), "set"))
+        counts = met.groupBy("set", "least").agg(F.count("*").alias("n"), F.count_if("blocked").alias("b")).where(F.col("b") >= need)
+        counts = settle(counts.withColumn("confidence", F.col("b") / F.col("n")))
+        rules.append(counts.where(F.col("confidence") >= confidence).select(F.col("set").alias("antecedent"), "confidence", F.col("b").alias("blocked")))
+        before = seen, open_sets, asked, met
+        open_sets = settle(counts.where((F.col("confidence") < confidence) & (F.col("n") < F.col("least"))).select("set", "n"))
+        seen = settle(met.join(open_sets.select("set"), "set", "left_semi").select("id", "blocked", "tokens", "set"))
+        for df in before:
+            forget(baskets.sparkSession, df)
+    if not rules:
+        return baskets.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, blocked double")
+    return reduce(DataFrame.unionByName, rules)
 
 
 def matches(urls: DataFrame, rules: DataFrame, seen: DataFrame) -> DataFrame:
