@@ -10,6 +10,8 @@ from ..functions.content import QUOTE_MIN, RANGE_MAX, quote_pieces, squash
 
 #: Blanks of a key: quotes and texts meet by the first KEY + 1 words of a quote.
 KEY = 4
+#: Keys of quotes up to which texts are searched for them in place; more are met by a join.
+HELD = 2_048
 
 
 def contained(quotes: DataFrame, quote: str, texts: DataFrame, text: str, by: list[str], key: int = KEY) -> DataFrame:
@@ -18,22 +20,28 @@ def contained(quotes: DataFrame, quote: str, texts: DataFrame, text: str, by: li
     A quote's first words but its very first (which may begin inside a word) are its key.  Texts are cut
     in runs of as many words, only runs that are a key stay, and what meets is compared in full.  Quotes too
     short for a key, few words each, are looked for by their longest inner word, else by their characters.
-    Runs travel with ``by`` (columns of ``texts`` that name a row) alone, and texts join what was met.
+    Up to HELD keys are looked for within each text, and only texts that have one go on; beyond that runs travel with
+    ``by`` (columns of ``texts`` that name a row) alone to a join, and texts join what was met.
     """
     words = F.split(quote, " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     keyed = quotes.withColumn("_inner", inner)
     many = F.size("_inner")
     kinds = keyed.agg(F.count_if(many >= key), F.count_if((many > 0) & (many < key)), F.count_if(many == 0)).first()
-    w = F.col("_w")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - key + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, key), " ")))
-    runs = F.when(F.size(w) >= key, runs)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - QUOTE_MIN + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(QUOTE_MIN)))
+
+    def runs(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - key + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, key), " ")))
+        return F.when(F.size(w) >= key, found)
+
+    def grams(_: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - QUOTE_MIN + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(QUOTE_MIN)))
+
     # the longest inner word of a quote of a few words must be a word of the text
     longest = F.array_max(F.transform("_inner", lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
     ways = (
         (kinds[0], many >= key, F.xxhash64(F.array_join(F.slice("_inner", 1, key), " ")), runs),
-        (kinds[1], (many > 0) & (many < key), longest, w),
+        (kinds[1], (many > 0) & (many < key), longest, lambda w: w),
         (kinds[2], many == 0, F.substring(quote, 1, QUOTE_MIN), grams),
     )
     columns = [*quotes.columns, *texts.columns]
@@ -42,8 +50,18 @@ def contained(quotes: DataFrame, quote: str, texts: DataFrame, text: str, by: li
         if not count and out is not None:
             continue
         asked = keyed.where(which).withColumn("_key", of_quote).drop("_inner")
+        keys = [r[0] for r in asked.select("_key").distinct().limit(HELD + 1).collect()]
+        if len(keys) <= HELD:
+            listed = F.array(*map(F.lit, keys)) if keys else F.array().cast(asked.select(F.array("_key").alias("k")).schema["k"].dataType)
+            # the words are bound to a variable, else each run would split the text again
+            here = F.flatten(F.transform(F.array(F.split(text, " ")), lambda w: F.array_intersect(of_text(w), listed)))
+            rows = texts.select("*", F.explode_outer(here).alias("_key")).where("_key is not null")
+            met = rows.join(F.broadcast(asked), "_key")  # few keys
+            found = met.where(F.contains(F.col(text), F.col(quote))).select(columns)
+            out = found if out is None else out.unionByName(found)
+            continue
         # explode_outer, since explode would compute the runs again to filter empty ones
-        rows = texts.withColumn("_w", F.split(text, " ")).select(*by, F.explode_outer(F.array_distinct(of_text)).alias("_key"))
+        rows = texts.withColumn("_w", F.split(text, " ")).select(*by, F.explode_outer(F.array_distinct(of_text(F.col("_w")))).alias("_key"))
         met = rows.join(asked, "_key").drop("_key").distinct()
         found = met.join(texts, by).where(F.contains(F.col(text), F.col(quote))).select(columns)
         out = found if out is None else out.unionByName(found)
