@@ -233,11 +233,21 @@ def quote_check(spark, sf_dir):
     return contained(quotes, "quote", said, "said", ["doc_id"]).select("item_id", "doc_id")
 
 
-@query(r"""
-SELECT page_id, array_to_string(refs, ' ') AS refs FROM (
-  SELECT page_id, list_filter(list_transform(list_filter(regexp_extract_all(html, '(?i)(?:^|[^\w:-])(?:src|href|poster)\s*=\s*["'']([^"'']*)["'']', 1),
-    lambda r: NOT regexp_matches(r, '(?i)^(?:[a-z][a-z0-9+.-]*:|//|#)')), lambda r: url_decode(replace(regexp_replace(r, '[?#].*$', ''), '+', '%2B'))), lambda r: r <> '') AS all_refs,
-    list_transform(list_filter(list_zip(all_refs, range(len(all_refs))), lambda p: list_position(all_refs, p[1]) = p[2] + 1), lambda p: p[1]) AS refs FROM pages)
+_SPACES = "' ' || chr(9) || chr(10) || chr(13)"
+_NAME_CHARS = "'abcdefghijklmnopqrstuvwxyz0123456789_:-'"
+
+
+#: A value stands between quote marks behind a name and =; it is local unless it starts with a scheme, // or #.
+@query(f"""
+WITH cut AS (SELECT page_id, string_split(replace(html, chr(39), chr(34)), chr(34)) AS p FROM pages),
+ends AS (SELECT page_id, list_transform(range(1, len(p) - 1), lambda i: {{'before': rtrim(lower(p[i]), {_SPACES}), 'value': p[i + 1]}}) AS e FROM cut),
+named AS (SELECT page_id, list_transform(list_filter(e, lambda x: ends_with(x.before, '=')), lambda x: {{'name': rtrim(left(x.before, length(x.before) - 1), {_SPACES}), 'value': x.value}}) AS e FROM ends),
+ours AS (SELECT page_id, list_filter(e, lambda x: len(list_filter(['src', 'href', 'poster'], lambda n: ends_with(x.name, n)
+  AND (length(x.name) = length(n) OR strpos({_NAME_CHARS}, substr(x.name, length(x.name) - length(n), 1)) = 0))) > 0) AS e FROM named),
+local AS (SELECT page_id, list_filter(list_transform(e, lambda x: x.value), lambda v: NOT starts_with(v, '//') AND NOT starts_with(v, '#') AND NOT (strpos(v, ':') > 1
+  AND strpos('abcdefghijklmnopqrstuvwxyz', lower(left(v, 1))) > 0 AND translate(lower(split_part(v, ':', 1)), 'abcdefghijklmnopqrstuvwxyz0123456789+.-', '') = '')) AS v FROM ours),
+plain AS (SELECT page_id, list_filter(list_transform(v, lambda x: url_decode(replace(split_part(split_part(x, '?', 1), '#', 1), '+', '%2B'))), lambda x: x <> '') AS v FROM local)
+SELECT page_id, array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i), lambda i: v[i]), ' ') AS refs FROM plain
 """)
 def url_references(spark, sf_dir):
     """Local files that the attributes of a page refer to."""
