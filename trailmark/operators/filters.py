@@ -74,10 +74,6 @@ def any_tag(tags: Column, wanted: Sequence[str]) -> Column:
     return F.arrays_overlap(tags, F.array(*[F.lit(t) for t in wanted]))
 
 
-class Ambiguous(ValueError):
-    """A prefix that names more than one commit."""
-
-
 def commits_named(commits: DataFrame, prefix: str, column: str = "sha") -> DataFrame:
     """The rows of the one visible commit that a prefix means: an exact one wins, none gives no rows, and several
     fail the query that reads them."""
@@ -90,16 +86,6 @@ def commits_named(commits: DataFrame, prefix: str, column: str = "sha") -> DataF
     return commits.join(F.broadcast(found.select(one.alias(column))), column, "left_semi")
 
 
-def commit_by_prefix(commits: DataFrame, prefix: str, column: str = "sha") -> str | None:
-    """The one visible commit that a prefix means, looked up at once: several raise :class:`Ambiguous`."""
-    found = [r[0] for r in commits.where(F.col(column).startswith(prefix.lower())).select(column).distinct().orderBy(column).limit(2).collect()]
-    if prefix.lower() in found:
-        return prefix.lower()
-    if len(found) > 1:
-        raise Ambiguous(prefix)
-    return found[0] if found else None
-
-
 def on_branch(sessions: DataFrame, key: str, messages: DataFrame, commits: DataFrame, pulls: DataFrame, branch: str) -> DataFrame:
     """Sessions that a branch shows up in: of a message, of a commit, or as base or head of a pull request."""
     here = F.lit(branch)

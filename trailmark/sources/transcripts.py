@@ -25,7 +25,7 @@ ROLES = ("user", "assistant", "system", "developer")
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, modified, size, content), a row a file."""
     meta = [F.col(f"_metadata.{a}").alias(b) for a, b in (("file_path", "path"), ("file_modification_time", "modified"), ("file_size", "size"))]
-    return spark.read.option("wholetext", True).text(paths).select(*meta, F.col("value").alias("content"))
+    return spark.read.text(paths, wholetext=True).select(*meta, F.col("value").alias("content"))
 
 
 def changed(files: DataFrame, seen: DataFrame) -> DataFrame:
