@@ -32,7 +32,7 @@ def resolve(options: DataFrame, flag: str, typed: str) -> str:
         if len(found) == 1:
             return found[0]["value"]
         if found:
-            names = ", ".join(r["label"] for r in found[:SHOWN]) + (", ..." if len(found) > SHOWN else "")
+            names = ", ".join(r["label"] for r in found[:SHOWN]) + (" and more" if len(found) > SHOWN else "")
             raise OptionError(f"{flag} {typed} matches more than one: {names}. Use a more exact name.")
     steps = F.sequence(F.lit(1), F.lit(max(1, len(wanted))))
     shared = F.array_max(F.transform("_low", lambda n: F.size(F.filter(steps, lambda i: F.left(n, i) == F.left(F.lit(wanted), i)))))
