@@ -116,3 +116,41 @@ def test_long_texts_in_windows():
     assert len(scorer(raw, np.array([0, len(raw)]))) == 1
     assert tracemalloc.get_traced_memory()[1] < 120e6
     tracemalloc.stop()
+
+
+def test_every_labelled_row_teaches(spark):
+    """What only one row in thousands says is learnt, wherever it is, and so is what stands in a very long text."""
+    plain = [f"word{chr(97 + i % 26)}{i}" for i in range(300)]
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    for d in range(6000):
+        words = [plain[i] for i in rng.integers(0, 300, 12)]
+        toxic = int(d % 10 == 0)
+        if toxic:
+            words.insert(3, f"zq{d // 10 % 40:02}vile")  # a marker is in 15 rows or so
+        rows.append((d, " ".join(words), "en"))
+        labels.append((d, 1, toxic))
+    for d in range(6000, 6060):  # a word that stands in long texts only
+        rows.append((d, " ".join([*plain] * 80) + " kwdreadful", "en"))
+        labels.append((d, 1, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert min(len(t) for _, t, _ in rows[6000:]) > 1 << 17
+    model = toxicity.fit(docs, known, shard=1500)
+    asked = [(k, f"{plain[k]} {plain[k + 1]} zq{k:02}vile {plain[k + 2]}", "en") for k in range(40)]
+    asked += [(100, f"{plain[5]} kwdreadful {plain[6]}", "en")]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(asked, docs.schema), model).collect()}
+    assert sum(s >= 0.5 for k, s in got.items() if k < 40) >= 38
+    assert got[100] >= 0.5
+    again = toxicity.fit(docs, known, shard=1500)
+    assert np.array_equal(model.embedding, again.embedding) and model.bias == again.bias
+
+
+def test_step_in_pieces(monkeypatch):
+    """A training step gives the same whatever the number of words looked at together."""
+    texts = ["some plain text here", "", "bad words here and more of them", "x"] * 8
+    labels = np.array([0, 0, 1, 0] * 8)
+    whole = toxicity.train(texts, labels, epochs=2)
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 3)
+    cut = toxicity.train(texts, labels, epochs=2)
+    assert np.allclose(whole.embedding, cut.embedding, atol=1e-4) and np.allclose(whole.weights, cut.weights, atol=1e-4)

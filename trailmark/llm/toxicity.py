@@ -18,16 +18,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_of
+from .common import bounded, forget, map_arrow, parts, settle, text_of
+from .simhash import whole_groups
 
 #: Rows of the embedding for whole words, and as many again for their first PREFIX bytes.
 BUCKETS = 1 << 15
 PREFIX = 4
 NOTHING = 2 * BUCKETS
-#: Labelled rows the classifier is fitted on at most, of either label; the first by a hash of doc_id.
-MOST_OF_LABEL = 2_500
-#: Bytes of a text that the classifier may be fitted on; longer ones are scored like any other, but teach nothing.
-MOST_TAUGHT = 1 << 17
+#: Labelled rows and bytes of a shard, about: what one task learns from at a time.  All rows are in some shard.
+SHARD, SHARD_BYTES = 4096, 32 << 20
+#: Passes over all shards after the first shard has made a start; words that a training step looks at together.
+ROUNDS, STEP_WORDS = 3, 1 << 16
+#: Embedding rows that are averaged together, and groups that a block's sums are first added up in.
+BLOCK, LANES = 4096, 16
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 16, 16
 
@@ -156,43 +159,60 @@ def _word_end(raw: np.ndarray, at: int, step: int) -> int:
     return len(raw)
 
 
-def _shifts(ids: np.ndarray, counts: np.ndarray, width: int) -> list[np.ndarray]:
-    """``ids`` and the words 1, 2, .. places on in the same text (NOTHING beyond its end)."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    out = [ids]
-    for place in range(1, width):
-        moved = np.full(ids.shape, NOTHING)
-        same = owner[place:] == owner[:-place]
-        moved[:-place][same] = ids[place:][same]
-        out.append(moved)
+def _after(ids: np.ndarray, owner: np.ndarray, at: np.ndarray, place: int) -> np.ndarray:
+    """The words ``place`` places after those ``at``, in the same text (NOTHING beyond its end)."""
+    to = np.minimum(at + place, len(ids) - 1)
+    out = ids[to]
+    out[(to != at + place) | (owner[to] != owner[at])] = NOTHING
     return out
 
 
-def train(texts: list[str | bytes], labels: np.ndarray, epochs: int = 6, seed: int = 7) -> Classifier:
-    """Fits the classifier by Adam on small batches; every whole text is used."""
+def text_ids(raw: np.ndarray, window: int = 1 << 16) -> np.ndarray:
+    """:func:`word_ids` of one text, about ``window`` bytes of whole words at a time."""
+    out, start = [np.zeros((0, 2), np.int32)], 0
+    while start < len(raw):
+        end = _word_end(raw, min(start + window, len(raw)), window)
+        out.append(word_ids(raw[start:end], np.array([0, end - start]))[0].astype(np.int32))
+        start = end
+    return np.concatenate(out)
+
+
+def _constant(toxic: bool) -> Classifier:
+    """A model that scores all alike."""
+    filters = [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS]
+    return Classifier(np.zeros((NOTHING, DIM), np.float32), filters, np.zeros(FILTERS * len(WIDTHS), np.float32), 4.0 if toxic else -4.0)
+
+
+def train(
+    texts: list[str | bytes], labels: np.ndarray, epochs: int | None = None, seed: int = 7,
+    start: Classifier | None = None, rate: float | None = None,
+) -> Classifier:
+    """Fits the classifier by Adam on small batches; every whole text is used.
+
+    Goes on from ``start`` where there is one.  ``rate``, how many of all rows are toxic, is that of these unless given.
+    """
     rng = np.random.default_rng(seed)
-    model = Classifier(
-        rng.normal(0, 0.1, (NOTHING, DIM)).astype(np.float32),
-        [rng.normal(0, 0.5 / np.sqrt(w * DIM), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
-        rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32),
-    )
     n = len(texts)
-    if not n or len(set(labels.tolist())) < 2:
-        model.weights[:] = 0
-        model.bias = 4.0 if n and labels.all() else -4.0
-        return model
-    rows = []
-    for text in texts:
-        raw = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
-        rows.append(word_ids(raw, np.array([0, len(raw)]))[0].astype(np.int32))
-    rate = labels.mean()
-    model.bias = float(np.log(rate / (1 - rate)))
+    if rate is None:
+        if not n or len(set(labels.tolist())) < 2:
+            return _constant(bool(n and labels.all()))
+        rate = float(labels.mean())
+    if start is None:
+        model = Classifier(
+            rng.normal(0, 0.1, (NOTHING, DIM)).astype(np.float32),
+            [rng.normal(0, 0.5 / np.sqrt(w * DIM), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
+            rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32),
+            float(np.log(rate / (1 - rate))),
+        )
+    else:
+        model = Classifier(start.embedding.copy(), [f.copy() for f in start.filters], start.weights.copy(), start.bias)
+    rows = [text_ids(np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)) for text in texts]
     params = [model.embedding, *model.filters, model.weights]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     bias_moment = [0.0, 0.0]
     step, size = 0, 32
-    epochs = max(epochs, -(-1500 // max(1, n // size)) if n < 4000 else epochs)
-    epochs = min(epochs, 40)
+    if epochs is None:
+        epochs = min(40, max(6, -(-1500 // max(1, n // size))) if n < 4000 else 6)
     weight = np.where(labels == 1, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
     for _ in range(epochs):
         order = rng.permutation(n)
@@ -202,7 +222,6 @@ def train(texts: list[str | bytes], labels: np.ndarray, epochs: int = 6, seed: i
             ids = np.concatenate([rows[b] for b in batch])
             if not len(ids):
                 continue
-            ids = ids.copy()
             ids[rng.random(len(ids)) < 0.5, 0] = NOTHING  # so that first bytes are learnt as well
             step += 1
             _step(model, params, moment, bias_moment, ids, counts, labels[batch], weight[batch], step)
@@ -211,24 +230,32 @@ def train(texts: list[str | bytes], labels: np.ndarray, epochs: int = 6, seed: i
 
 def _step(model, params, moment, bias_moment, ids, counts, labels, weight, step) -> None:
     embedding = np.vstack([model.embedding, np.zeros((1, DIM), np.float32)])
-    some = np.flatnonzero(counts > 0)
-    begin = (np.cumsum(counts) - counts)[some]
-    ends = begin + counts[some]
-    shifted = _shifts(ids, counts, max(WIDTHS))
-    words = [embedding[s[:, 0]] + embedding[s[:, 1]] for s in shifted]
-    pool = np.zeros((len(counts), FILTERS * len(WIDTHS)), np.float32)
+    begin = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(counts)), counts)
+    pool = np.full((len(counts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
     where = np.zeros(pool.shape, np.int64)
-    for w, by in enumerate(model.filters):
-        answer = words[0] @ by[0]
-        for place in range(1, len(by)):
-            answer += words[place] @ by[place]
-        span = slice(w * FILTERS, (w + 1) * FILTERS)
-        for row, a, b in zip(some, begin, ends, strict=True):
-            best = answer[a:b].argmax(0)
-            where[row, span] = best + a
-            pool[row, span] = answer[a + best, np.arange(FILTERS)]
+    for lo in range(0, len(ids), STEP_WORDS):  # a long text in pieces: a maximum of maxima
+        hi = min(lo + STEP_WORDS, len(ids))
+        words = []
+        for place in range(max(WIDTHS)):
+            word = _after(ids, owner, np.arange(lo, hi), place)
+            words.append(embedding[word[:, 0]] + embedding[word[:, 1]])
+        for w, by in enumerate(model.filters):
+            answer = words[0] @ by[0]
+            for place in range(1, len(by)):
+                answer += words[place] @ by[place]
+            span = slice(w * FILTERS, (w + 1) * FILTERS)
+            for row in range(owner[lo], owner[hi - 1] + 1):
+                a, b = max(begin[row], lo), min(begin[row] + counts[row], hi)
+                if a >= b:
+                    continue
+                best = answer[a - lo : b - lo].argmax(0) + a
+                top = answer[best - lo, np.arange(FILTERS)]
+                better = top > pool[row, span]
+                where[row, span] = np.where(better, best, where[row, span])
+                pool[row, span] = np.maximum(pool[row, span], top)
     live = pool > 0
-    pool *= live
+    pool = np.where(live, pool, np.float32(0))
     score = 1 / (1 + np.exp(-np.clip(pool @ model.weights + model.bias, -30, 30)))
     error = ((score - labels) * weight / len(labels)).astype(np.float32)
     grads = [np.zeros_like(p) for p in params[1:]]
@@ -239,7 +266,7 @@ def _step(model, params, moment, bias_moment, ids, counts, labels, weight, step)
         span = slice(w * FILTERS, (w + 1) * FILTERS)
         at, g = where[:, span], back[:, span]
         for place in range(len(by)):
-            word = shifted[place][at]
+            word = _after(ids, owner, at, place)
             grads[w][place] = np.einsum("nfd,nf->df", embedding[word].sum(2), g)
             down = (g[:, :, None] * by[place].T[None]).reshape(-1, DIM)
             for k in (0, 1):
@@ -304,14 +331,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_of_label: int = MOST_OF_LABEL, most_taught: int = MOST_TAUGHT) -> Classifier:
-    """Trains on labelled documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, shard: int = SHARD, shard_bytes: int = SHARD_BYTES, rounds: int = ROUNDS) -> Classifier:
+    """Trains on all labelled documents outside the held-out fold.
 
-    Of each label the first ``most_of_label`` rows by a hash of doc_id are chosen from ``labels``
-    alone; so many ids at most are broadcast, and as many whole texts of ``most_taught`` bytes at most come to
-    the driver.  Rows with a null doc_id or label and longer texts teach nothing; a doc_id labelled both ways is
-    toxic; of several texts of a doc_id one is taken.  Nothing to learn from gives a model that scores all alike.  Every tenth chosen row sets thresholds instead
-    of weights: for each language, as its labels say, the score that best separates the two.
+    Rows are dealt to shards by a hash.  The first shard makes a start; then, ``rounds`` times, every shard goes on from
+    the model so far in a task of its own, once through its texts, and what the shards changed is averaged.  Only the
+    model (a few MB whatever the input) comes to the driver, and reruns over the same partitions agree.  Rows with a null doc_id
+    or label teach nothing; a doc_id labelled both ways is toxic; each text of a doc_id teaches once.  Nothing to learn
+    from gives a model that scores all alike.  About every tenth row sets thresholds instead of weights: for
+    each language, as its labels say, the score that best separates the two.
     """
     spark = docs.sparkSession
     known = (
@@ -320,38 +348,93 @@ def fit(docs: DataFrame, labels: DataFrame, most_of_label: int = MOST_OF_LABEL,
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    chosen = None
-    for label in (0, 1):
-        rows = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id")
-        rows = rows.limit(most_of_label)
-        chosen = rows if chosen is None else chosen.unionByName(rows)
-    picked = [tuple(r) for r in chosen.collect()]
-    if not picked:
-        return train([], np.zeros(0, np.int64))
-    ids = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int"))
-    texts = docs.select("doc_id", "lang", text_of(docs).cast("binary").alias("text")).where(F.octet_length("text") <= most_taught)
-    table = texts.join(ids, "doc_id").dropDuplicates(["doc_id"]).toArrow()  # bytes, not a Python object a row
-    order = sorted(range(table.num_rows), key=[(d * 2654435761 % 2**32, d) for d in table["doc_id"].to_pylist()].__getitem__)
-    row = lambda i: {"text": table["text"][i].as_py(), "toxic": table["toxic"][i].as_py(), "lang": table["lang"][i].as_py()}
-    teach = [row(i) for k, i in enumerate(order) if k % 10]
-    model = train([r["text"] for r in teach], np.array([r["toxic"] for r in teach], np.int64))
-    tune = [row(i) for i in order[::10]]
+    known = settle(known)
+    texts = docs.select("doc_id", "lang", text_of(docs).alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    taught = texts.join(bounded(known), "doc_id").withColumn("hash", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "hash"])
+    taught = settle(taught)
+    forget(spark, known)
+    teach, tune = taught.where("pmod(hash, 10) <> 0"), taught.where("pmod(hash, 10) = 0")
+    n, toxic, size = teach.agg(F.count("*"), F.sum("toxic"), F.sum(F.octet_length("text"))).first()
+    if not n or toxic in (0, n):
+        model = _constant(bool(n and toxic == n))
+    else:
+        shards = max(-(-n // shard), -(-size // shard_bytes))
+        dealt = teach.select(F.pmod(F.expr("hash div 10"), F.lit(shards)).alias("shard"), "doc_id", "hash", "toxic", "text")
+        model = _pass(dealt.where("shard = 0"), None, toxic / n, None)
+        for k in range(rounds if shards > 1 else 0):
+            model = _pass(dealt, model, toxic / n, 1, k + 1)
     _calibrate(model, tune)
+    forget(spark, taught)
     return model
 
 
-def _calibrate(model: Classifier, rows: list) -> None:
+def _pass(dealt: DataFrame, start: Classifier | None, rate: float, epochs: int | None, number: int = 0) -> Classifier:
+    """The mean of what each shard of (shard, doc_id, hash, toxic, text) makes of ``start``: of an embedding row over the
+    shards that changed it, of all else over the rows."""
+    spark = dealt.sparkSession
+    shared = spark.sparkContext.broadcast(start)
+    rows = dealt.repartition(parts(spark), "shard").sortWithinPartitions("shard", "doc_id", "hash")
+    names = ["block", "lane", "shard", "total", "n"]
+    schema = "block int, lane int, shard long, total binary, n binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total, n, rest, held = None, 0, 0, 0, 0
+        begun = shared.value
+        for table in whole_groups(batches, 1, 1):
+            shard = table.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = table.slice(a, b - a)
+                data, starts = utf8(part.column("text").combine_chunks())
+                some = [data[x:y] for x, y in zip(starts, starts[1:], strict=False)]
+                labels = part.column("toxic").to_numpy().astype(np.int64)
+                model = train(some, labels, epochs, 7 + 1000 * number + int(shard[a]), begun, rate)
+                first = int(shard[a]) if first is None else first
+                change = model.embedding.astype(np.float64)
+                if begun is not None:
+                    change -= begun.embedding
+                    n = n + (change != 0).any(1).astype(np.float64)
+                else:
+                    n = n + np.ones(len(change))
+                total = total + change
+                rest = rest + (b - a) * np.concatenate([*(f.ravel() for f in model.filters), model.weights, [model.bias]]).astype(np.float64)
+                held += b - a
+        if first is not None:
+            out = [(at // BLOCK, total[at : at + BLOCK], n[at : at + BLOCK]) for at in range(0, NOTHING, BLOCK)]
+            for block, x, k in [*out, (-1, rest, np.array([float(held)]))]:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, (block, first % LANES, first, x.tobytes(), k.tobytes()), strict=True))], _SUMS)
+
+    def add(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("shard").to_numpy())
+        total, n = (sum(np.frombuffer(group.column(c)[int(i)].as_py(), np.float64) for i in order) for c in ("total", "n"))
+        row = {c: group.column(c)[int(order[0])].as_py() for c in names[:3]} | {"total": total.tobytes(), "n": n.tobytes()}
+        return pa.Table.from_pylist([row], _SUMS)
+
+    sums = map_arrow(rows, run, schema).groupBy("block", "lane").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    sums = settle(sums)  # with that, the shuffled texts go
+    by = {r["block"]: (np.frombuffer(r["total"], np.float64), np.frombuffer(r["n"], np.float64)) for r in sums.toArrow().to_pylist()}  # a model
+    forget(spark, sums)
+    shared.unpersist()
+    rest, held = by.pop(-1)
+    rest = (rest / held).astype(np.float32)
+    mean = np.concatenate([x.reshape(-1, DIM) / np.maximum(n, 1)[:, None] for _, (x, n) in sorted(by.items())])
+    cuts = np.cumsum([w * DIM * FILTERS for w in WIDTHS])
+    filters = [f.reshape(w, DIM, FILTERS) for w, f in zip(WIDTHS, np.split(rest, cuts)[:-1], strict=True)]
+    if start is not None:
+        mean = start.embedding + mean
+    return Classifier(mean.astype(np.float32), filters, rest[cuts[-1] : -1], float(rest[-1]))
+
+
+_SUMS = pa.schema([("block", pa.int32()), ("lane", pa.int32()), ("shard", pa.int64()), ("total", pa.binary()), ("n", pa.binary())])
+
+
+def _calibrate(model: Classifier, tune: DataFrame) -> None:
     """For each language: the threshold in 0.2 .. 0.8 with the fewest errors, nearest 0.5 on ties."""
     model.thresholds = {None: 0.5}
-    scorer = Scorer(model)
-    for lang in {r["lang"] for r in rows}:
-        own = [r for r in rows if r["lang"] == lang]
-        raw = [r["text"] for r in own]
-        starts = np.cumsum([0, *map(len, raw)])
-        scores = scorer(np.frombuffer(b"".join(raw), np.uint8), starts)
-        truth = np.array([r["toxic"] for r in own]) == 1
-        grid = np.round(np.arange(0.2, 0.81, 0.05), 2)
-        errors = [((scores >= t) != truth).sum() for t in grid]
+    grid = np.round(np.arange(0.2, 0.81, 0.05), 2)
+    scored = score(tune.where("lang is not null"), model, keep=("lang", "toxic"))
+    wrong = [F.count_if((F.col("score") >= float(t)) != (F.col("toxic") == 1)).alias(f"e{k}") for k, t in enumerate(grid)]
+    for lang, *errors in scored.groupBy("lang").agg(*wrong).collect():  # a row a language
         model.thresholds[lang] = float(min(zip(errors, np.abs(grid - 0.5), grid, strict=True))[2])
 
 
