@@ -150,3 +150,18 @@ def test_planted_pairs_among_many_shards(spark, monkeypatch):
         rows += [(len(rows), a.astype(np.float32).tolist(), 1), (len(rows) + 1, b.astype(np.float32).tolist(), 1)]
     got = {r[0]: r for r in map(tuple, vectors.near_vectors(frame(spark, rows)).collect())}
     assert sum(got[i + 1][2] == i for i in range(0, 3000, 2)) >= 0.97 * 1500
+
+
+def test_what_centroids_cannot_part_loses_no_pair(spark, monkeypatch):
+    """A region that is still too large after all splits: every two of its cuts meet."""
+    monkeypatch.setattr(vectors, "REGION", 60)
+    monkeypatch.setattr(vectors, "LEVELS", 0)
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(150):  # pairs that have nothing in common with others
+        c = rng.normal(size=48)
+        for _ in range(2):
+            rows.append((len(rows), (c + rng.normal(size=48) * 0.1).astype(np.float32).tolist(), 0))
+    got = sorted(map(tuple, vectors.near_vectors(frame(spark, rows)).collect()), key=repr)
+    assert got == brute(rows)
+    assert sum(n for _, n, _, _ in got) >= 290

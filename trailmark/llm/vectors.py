@@ -1,7 +1,8 @@
 """Embedding near-dedup with a robust-pruned flat graph.
 
 Vectors of a label make a region; larger ones are dealt to overlapping regions of their nearest centroids,
-again and again until a region fits a task.  In a region, vectors are dealt to overlapping cluster
+again and again until a region fits a task; what centroids cannot part is cut, and every two cuts are a region, so
+that no pair in it is left out.  In a region, vectors are dealt to overlapping cluster
 shards, and every shard grows a graph: a vector is searched for in the graph so far, and what the
 search saw is pruned so that no kept neighbour is much nearer to another kept neighbour than to the
 vector.  The shards' lists are united to one graph, in which each vector is looked for from the shards'
@@ -238,7 +239,9 @@ _KEY = ["label", "dims", "region"]
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """(label, dims, region, node, x): every node in the regions it is searched in, none much larger than REGION."""
+    """(label, dims, region, node, x): every node in the regions it is searched in, none much larger than REGION.
+
+    Any two nodes of a region that is still too large after LEVELS splits meet in one of its pairs of cuts."""
     now = nodes.select("label", "dims", F.lit(0).cast("long").alias("region"), "node", "x")
     done = None
     for level in range(LEVELS + 1):
@@ -250,9 +253,15 @@ def _regions(nodes: DataFrame) -> DataFrame:
         split = now.join(large, _KEY)
         if level < LEVELS:
             now = settle(_split(split, large))
-    # what centroids cannot part is cut by a hash
-    piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION))
-    return done.unionByName(split.withColumn("region", F.col("region") * (SPLIT + 1) + piece + 1).drop("n"))
+    return done.unionByName(_pairs(split))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """What centroids cannot part (regions of ``rows``, with n, their sizes): cut by a hash, and every two cuts are a region."""
+    cut = rows.withColumn("cuts", F.ceil(2 * F.col("n") / REGION).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    met = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).where("own <> other")
+    return met.select("label", "dims", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "node", "x")
 
 
 def _split(rows: DataFrame, large: DataFrame) -> DataFrame:
