@@ -120,3 +120,17 @@ def test_kept_until_its_source_changes(spark, tmp_path):
     assert second != first and spark.read.parquet(second).count() == 7
     for at in (first, second):
         delete(spark, at)
+
+
+def test_texts_are_listed_once_and_repeats_brought_together(spark):
+    """No position of a text is shuffled by itself: what is dealt to ranges is a row a document and word."""
+    rows = [("session", 1, 0, "b a b"), ("session", 1, 0, "b c"), ("message", None, 0, "a"), ("message", None, 0, "a a"), ("session", 2, 0, None), ("session", 3, 0, "ß A a")]
+    docs = spark.createDataFrame(rows, "source_kind string, id long, source_row long, text string")
+    index = postings.build(docs)
+    got = {(r.source_kind, r.id, r.token): r.positions for r in index.collect()}
+    assert got == {
+        ("session", 1, "a"): [1], ("session", 1, "b"): [0, 0, 2], ("session", 1, "c"): [1], ("message", None, "a"): [0, 0, 1],
+        ("session", 3, "ß"): [0], ("session", 3, "a"): [1, 2],
+    }
+    plan = postings.build(docs.where("id = 3"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "Scan parquet" in plan
