@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, forget, map_arrow, parts, settle, text_of
-from .simhash import whole_groups
 
 #: Rows of the embedding for whole words, and as many again for their first PREFIX bytes.
 BUCKETS = 1 << 15
@@ -191,8 +190,17 @@ def train(
 
     Goes on from ``start`` where there is one.  ``rate``, how many of all rows are toxic, is that of these unless given.
     """
+    rows = [text_ids(np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)) for text in texts]
+    return train_words(rows, labels, epochs, seed, start, rate)
+
+
+def train_words(
+    rows: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, seed: int = 7,
+    start: Classifier | None = None, rate: float | None = None,
+) -> Classifier:
+    """:func:`train` of texts that are :func:`text_ids` already."""
     rng = np.random.default_rng(seed)
-    n = len(texts)
+    n = len(rows)
     if rate is None:
         if not n or len(set(labels.tolist())) < 2:
             return _constant(bool(n and labels.all()))
@@ -206,7 +214,6 @@ def train(
         )
     else:
         model = Classifier(start.embedding.copy(), [f.copy() for f in start.filters], start.weights.copy(), start.bias)
-    rows = [text_ids(np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)) for text in texts]
     params = [model.embedding, *model.filters, model.weights]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     bias_moment = [0.0, 0.0]
@@ -380,25 +387,18 @@ def _pass(dealt: DataFrame, start: Classifier | None, rate: float, epochs: int |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, total, n, rest, held = None, 0, 0, 0, 0
         begun = shared.value
-        for table in whole_groups(batches, 1, 1):
-            shard = table.column("shard").to_numpy()
-            edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                part = table.slice(a, b - a)
-                data, starts = utf8(part.column("text").combine_chunks())
-                some = [data[x:y] for x, y in zip(starts, starts[1:], strict=False)]
-                labels = part.column("toxic").to_numpy().astype(np.int64)
-                model = train(some, labels, epochs, 7 + 1000 * number + int(shard[a]), begun, rate)
-                first = int(shard[a]) if first is None else first
-                change = model.embedding.astype(np.float64)
-                if begun is not None:
-                    change -= begun.embedding
-                    n = n + (change != 0).any(1).astype(np.float64)
-                else:
-                    n = n + np.ones(len(change))
-                total = total + change
-                rest = rest + (b - a) * np.concatenate([*(f.ravel() for f in model.filters), model.weights, [model.bias]]).astype(np.float64)
-                held += b - a
+        for shard, words, labels in _shards(batches):
+            model = train_words(words, labels, epochs, 7 + 1000 * number + shard, begun, rate)
+            first = shard if first is None else first
+            change = model.embedding.astype(np.float64)
+            if begun is not None:
+                change -= begun.embedding
+                n = n + (change != 0).any(1).astype(np.float64)
+            else:
+                n = n + np.ones(len(change))
+            total = total + change
+            rest = rest + len(words) * np.concatenate([*(f.ravel() for f in model.filters), model.weights, [model.bias]]).astype(np.float64)
+            held += len(words)
         if first is not None:
             out = [(at // BLOCK, total[at : at + BLOCK], n[at : at + BLOCK]) for at in range(0, NOTHING, BLOCK)]
             for block, x, k in [*out, (-1, rest, np.array([float(held)]))]:
@@ -425,6 +425,22 @@ def _pass(dealt: DataFrame, start: Classifier | None, rate: float, epochs: int |
     return Classifier(mean.astype(np.float32), filters, rest[cuts[-1] : -1], float(rest[-1]))
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(shard, words of its texts, labels) of rows sorted by shard; texts are held a batch at a time, as they come."""
+    at, words, labels = None, [], []
+    for batch in batches:
+        data, starts = utf8(batch.column("text"))
+        for i, (shard, toxic) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("toxic").to_pylist(), strict=True)):
+            if shard != at and words:
+                yield at, words, np.array(labels, np.int64)
+                words, labels = [], []
+            at = shard
+            words.append(text_ids(data[starts[i] : starts[i + 1]]))
+            labels.append(toxic)
+    if words:
+        yield at, words, np.array(labels, np.int64)
+
+
 _SUMS = pa.schema([("block", pa.int32()), ("lane", pa.int32()), ("shard", pa.int64()), ("total", pa.binary()), ("n", pa.binary())])
 
 
