@@ -151,3 +151,20 @@ def test_late_results_of_reviews(spark):
     assert got(after) == [("a", "done", 2, "productive", "s", "m9"), ("b", "failed", 3, None, None, None), ("c", "done", 1, "x", "s", "m"), ("d", "waiting", 1, None, None, None), ("e", "waiting", 1, None, None, None)]
     assert got(problems) == [("a", 0, "one"), ("a", 1, "two"), ("b", 0, "stays"), ("c", 0, "kept")]
     assert got(refused) == [("a", 1, 1, "other attempt"), ("a", 2, 3, "repeated"), ("c", 1, 1, "not running"), ("e", None, 1, "not running"), ("zzz", 1, 1, "unknown")]
+
+
+def test_packing_shuffles_once(spark):
+    rows = spark.range(3_000).selectExpr("id % 7 as g", "id as i", "id % 5 as s", "'x' as text", "timestamp_seconds(id) as at")
+    made = runs.pack(rows, ["g"], ["i"], "s", 9)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "parquet" not in plan  # nothing is written and read again
+    want, held, number, group = {}, 0, 0, None
+    for r in rows.orderBy("g", "i").collect():
+        if r.g != group:
+            held, number, group = 0, 0, r.g
+        if held > 0 and held + r.s > 9:
+            held, number = r.s, number + 1
+        else:
+            held += r.s
+        want[r.i] = (number, r.text, r.at)
+    assert {r.i: (r.pack, r.text, r.at) for r in made.collect()} == want

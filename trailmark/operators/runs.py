@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 from ..tables import settled
-from .chains import reached
 
 
 def ordered(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -58,27 +59,27 @@ def pack(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, most
     """``df`` with ``pack``: consecutive rows filled up to ``most``; a new pack begins before it would
     overflow, and one larger row is a pack of its own.  Rows of no size go with what follows them; a null size is none.
 
-    Where a pack that began at a row would end is found in running sums, sorted together with the sums asked for; the
-    beginnings are those that the first row leads to by such ends (:func:`chains.reached`).
+    A group's rows pass in order through one task, which holds nothing of them but what the open pack has so far.
     """
-    w = Window.partitionBy("_g").orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumns({"_g": F.struct(*by), "_s": F.coalesce(F.col(size).cast("long"), F.lit(0))})
-    rows = settled(rows.withColumns({"_i": F.row_number().over(w), "_upto": F.sum("_s").over(upto)}))
-    before = F.col("_upto") - F.col("_s")
-    sums = rows.select("_g", "_i", F.col("_upto").alias("_v"), F.lit(1).alias("_kind"), before.alias("_b"))
-    asked = rows.select("_g", "_i", (before + most).alias("_v"), F.lit(0).alias("_kind"), before.alias("_b"))
-    # downwards, the last sum passed is the first row that is more than asked for
-    down = Window.partitionBy("_g").orderBy(F.col("_v").desc(), "_kind", F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    over = F.last(F.when(F.col("_kind") == 1, F.struct("_i", "_b")), ignorenulls=True).over(down)
-    found = sums.unionByName(asked).withColumn("_over", over).where("_kind = 0")
-    # nothing held before it: it is taken all the same
-    follow = F.col("_over._i") + F.when(F.col("_over._b") == F.col("_b"), 1).otherwise(0)
-    links = settled(found.select("_g", "_i", follow.alias("_to")))
-    starts, _ = reached(links, ["_g"], "_i", "_to", links.where("_i = 1").select("_g", "_i"))
-    met = rows.join(starts.withColumn("_new", F.lit(1)), ["_g", "_i"], "left")
-    number = F.count("_new").over(Window.partitionBy("_g").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return met.withColumn("pack", number.cast("int")).select(*df.columns, "pack")
+    names = df.columns
+    first = F.row_number().over(ordered(by, order)) == 1
+    rows = df.select(*names, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_s"), first.alias("_first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = number = 0
+        for batch in batches:
+            packs = []
+            for s, new in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+                if new:
+                    held = number = 0
+                if held > 0 and held + s > most:
+                    held, number = s, number + 1
+                else:
+                    held += s
+                packs.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(packs, pa.int32())], [*names, "pack"])
+
+    return rows.mapInArrow(run, StructType([*df.schema.fields, StructField("pack", IntegerType())]))
 
 
 def around(cited: DataFrame, rows: DataFrame, by: Sequence[str], at: str, reach: int, most: int = 100) -> DataFrame:

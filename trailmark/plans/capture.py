@@ -11,7 +11,7 @@ from ..operators import chains, evidence, reviews, runs, transform
 from ..sources import histories
 from ..streaming import acks, ingest, results
 from ..tables import folder
-from .registry import load, query
+from .registry import load, portions, query
 
 _SENT = """
 chunks AS (SELECT l_orderkey AS track, l_linenumber AS chunk, l_linenumber * 500 AS last_line, NOT (l_returnflag = 'R' AND l_quantity < 15) AS ok FROM lineitem),
@@ -171,8 +171,9 @@ SELECT l_orderkey, l_linenumber, l_partkey, pack FROM filled JOIN sized USING (l
 """)
 def request_chunks(spark, sf_dir):
     """Records of a track in requests of at most sixty messages, the track's order kept."""
-    lines = load(spark, sf_dir, "lineitem")
-    made = runs.pack(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity", 60)
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", *order, "l_quantity").repartition(portions(spark, sf_dir, "lineitem"), "l_orderkey")
+    made = runs.pack(lines, ["l_orderkey"], order, "l_quantity", 60)
     return made.select("l_orderkey", "l_linenumber", "l_partkey", "pack")
 
 
