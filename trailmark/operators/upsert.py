@@ -74,9 +74,14 @@ def reparent(sessions: DataFrame, source: int | str, to: int | str, owner: int |
 def replace_problems(target: DataFrame, reviews: DataFrame) -> DataFrame:
     """``target`` (review_id, position, title, ...) with the problems of ``reviews`` (review_id, problems: an array of
     structs) in place of those their reviews had; a position is the place in the array, and no problems leave none."""
-    rest = target.join(reviews.select("review_id"), "review_id", "left_anti")
     fresh = reviews.select("review_id", F.posexplode("problems").alias("position", "p")).select("review_id", "position", "p.*")
-    return rest.select(target.columns).unionByName(fresh.select(target.columns))
+    return replace_problem_rows(target, reviews, fresh)
+
+
+def replace_problem_rows(target: DataFrame, reviews: DataFrame, problems: DataFrame) -> DataFrame:
+    """:func:`replace_problems` where the problems of ``reviews`` (review_id) are rows as in ``target``, so none is gathered."""
+    rest = target.join(reviews.select("review_id"), "review_id", "left_anti")
+    return rest.select(target.columns).unionByName(problems.select(target.columns))
 
 
 def observe_commits(target: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
