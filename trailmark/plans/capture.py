@@ -186,7 +186,9 @@ told AS (SELECT *, CASE WHEN why IS NULL AND row_number() OVER (PARTITION BY run
 """
 
 
-def _finished(spark, sf_dir):
+def _reviewed(spark, sf_dir):
+    """(runs, problems, results, partitions) of the review queries; runs and results are dealt by run."""
+    parts = portions(spark, sf_dir, "lineitem", "orders")
     none = F.lit(None).cast("string")
     status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "done").otherwise("waiting")
     made = load(spark, sf_dir, "orders").select(
@@ -194,13 +196,14 @@ def _finished(spark, sf_dir):
     )
     arrival = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"))
     problem = F.struct(F.col("l_partkey").alias("title"))
-    results = load(spark, sf_dir, "lineitem").select(
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
+    results = lines.repartition(parts, "l_orderkey").select(
         F.col("l_orderkey").alias("run_id"), (1 + F.col("l_partkey") % 3).alias("attempt"), arrival.alias("arrival"), F.when(F.col("l_returnflag") == "R", "broken").alias("error"),
         F.col("l_linestatus").alias("outcome"), none.alias("summary"), none.alias("last_message_id"),
         F.array_repeat(problem, (F.col("l_suppkey") % 3).cast("int")).alias("problems"),
     )
     had = made.where("run_id % 2 = 0").select(F.col("run_id").alias("review_id"), F.lit(0).alias("position"), F.lit(-1).cast("long").alias("title"))
-    return reviews.finish(made, had, results)
+    return made.repartition(parts, "run_id"), had, results, parts
 
 
 @query(f"""
@@ -211,7 +214,8 @@ SELECT run_id, status, attempts, outcome, problems::BIGINT AS problems FROM afte
 """)
 def review_lifecycle(spark, sf_dir):
     """Runs and how many problems they have after results came back, late and repeated ones among them."""
-    after, problems, _ = _finished(spark, sf_dir)
+    made, had, results, parts = _reviewed(spark, sf_dir)
+    after, problems, _ = reviews.finish(made, had, results, parts=parts)
     held = problems.groupBy(F.col("review_id").alias("run_id")).agg(F.count("*").alias("problems"))
     return after.join(held, "run_id", "left").select("run_id", "status", "attempts", "outcome", F.coalesce("problems", F.lit(0)).alias("problems"))
 
@@ -219,7 +223,8 @@ def review_lifecycle(spark, sf_dir):
 @query(f"WITH {_RESULTS} SELECT run_id, attempt, arrival::INT AS arrival, reason FROM told WHERE reason IS NOT NULL")
 def review_refusals(spark, sf_dir):
     """Results that change nothing, and why."""
-    return _finished(spark, sf_dir)[2]
+    made, _, results, _ = _reviewed(spark, sf_dir)
+    return reviews.refused(made, results)
 
 
 @query("SELECT conv_id AS session_id, turn AS line, role, CASE WHEN conv_id % 5 = 0 THEN 'again: ' || text ELSE text END AS text FROM conversations WHERE conv_id % 5 <> 0 OR turn < 2")
