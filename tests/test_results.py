@@ -1,7 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from trailmark.streaming import results
 
@@ -59,3 +61,47 @@ def test_outcomes_by_hand(spark):
 def test_nothing(spark):
     assert results.in_batch(spark.createDataFrame([], SCHEMA), PATIENCE, LATE).count() == 0
     assert results.in_batch(spark.createDataFrame([(1, "a", "call", None, 1)], SCHEMA).where(F.lit(True)), PATIENCE, LATE).count() == 0
+
+
+def test_calls_of_a_session_share_state():
+    """A session's rows go to its state at once, and one timer settles all its calls."""
+    done = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.held = name, []
+
+        def appendList(self, rows):
+            done.append(("append", self.name, len(rows)))
+            self.held += rows
+
+        def get(self):
+            return iter(self.held)
+
+        def put(self, rows):
+            done.append(("put", self.name, len(rows)))
+            self.held = rows
+
+        def clear(self):
+            done.append(("clear", self.name))
+            self.held = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State(name)
+
+        def registerTimer(self, at):
+            done.append(("timer", at))
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 1 + 3600_000 * 3 // 2
+
+    hour = 3600_000_000
+    settler = results.Settler(PATIENCE, StringType())
+    settler.init(Handle())
+    said = [Row(call_id=c, at_us=i, seq=i, kind="call") for i, c in enumerate("abcdefghij")] + [Row(call_id="a", at_us=hour, seq=10, kind="result"), Row(call_id="b", at_us=4 * hour, seq=11, kind="result")]
+    assert list(settler.handleInputRows((7,), iter(said), Times())) == []
+    out = list(settler.handleExpiredTimer((7,), Times(), None))
+    assert [(r.session_id, r.call_id, r.outcome) for r in out] == [(7, "a", "answered")]
+    assert done == [("append", "rows", 12), ("timer", 1), ("put", "rows", 1), ("put", "open", 9), ("timer", 2 * 3600_000 + 1)]
