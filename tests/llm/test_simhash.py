@@ -195,6 +195,47 @@ def test_keep_one(spark):
     assert got == sorted([(3, text + " more", "en"), (9, rows[3][1], "en"), (None, text, "en"), (4, None, "en")], key=repr)
 
 
+def test_no_table_as_long_as_the_corpus_is_broadcast(spark, monkeypatch):
+    sent, bounded = [], simhash.bounded
+
+    def spied(small, *most):
+        sent.append(small.count())
+        return bounded(small, *most)
+
+    monkeypatch.setattr(simhash, "bounded", spied)
+    rows = [(d, " ".join(f"w{d}x{i}" for i in range(30))) for d in range(200)]
+    rows += [(1000 + d, rows[d][1] + " more") for d in range(5)] + [(None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(simhash.keep_one(docs).collect(), key=repr) == sorted(rows[:200] + rows[-1:], key=repr)
+    assert max(sent) <= 10
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+@pytest.mark.parametrize("copies", [1, 3])
+def test_keep_one_by_either_list(spark, monkeypatch, sent, copies):
+    monkeypatch.setattr(simhash, "SENT", sent)
+    rows = [(d, f"a{d % 4} b c d e f g h{d % 4}") for d in range(4 * copies + 1)] + [(None, "x"), (0, "a0 b c d e f g h0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr) == sorted(rows[:4] + [(None, "x")], key=repr)
+
+
+@pytest.mark.parametrize("most", [0, 5, 40, 1000])
+def test_frequent_shingles(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "FREQUENT", most)
+    rng = np.random.default_rng(5)
+    known = rng.integers(0, 2**32, 60)
+    sets = [np.sort(known[: rng.integers(1, 61)]).astype(np.uint32) for _ in range(80)]
+    counts = {int(h): sum(int(h) in s for s in sets) for h in known}
+    counts = {h: n for h, n in counts.items() if n >= simhash.OFTEN}
+    df = spark.createDataFrame([(s.tobytes(),) for s in sets], "own binary").coalesce(1)
+    h, n = simhash.frequent(df)
+    given = dict(zip(h.tolist(), n.tolist(), strict=True))
+    assert h.tolist() == sorted(given) and len(given) <= most and given.items() <= counts.items()
+    rest = [n for x, n in counts.items() if x not in given]
+    assert not given or not rest or min(given.values()) >= max(rest)
+    assert len(given) >= min(most, len(counts)) - 5  # what is left out are slices of ties
+
+
 def edited(rng, words, edits):
     changed = list(words)
     for n, k in enumerate(rng.choice(len(words), edits, replace=False)):

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import bounded, forget, map_arrow, parts, settle, text_of
 from .components import components
@@ -29,6 +30,8 @@ CLUSTER = 1 << 18
 WORDS, GATE, WIDE_GATE, SMALL = 4, 28, 74, 16
 #: Shingles known to be frequent at most (the most frequent ones), shingles counted at once, and the least count there.
 FREQUENT, COUNTED, OFTEN = 1 << 17, 1 << 22, 3
+#: Rows of a table of ids that is broadcast at most; the driver holds it several times over while it is made.
+SENT = 1 << 16
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -290,7 +293,7 @@ def near_sets(met: DataFrame, prints: DataFrame, gate: int, wide_gate: int, leas
     """(u, v) that connect the sets that are near in each (bucket, lo, hi) of rows with side, node, fp, size and exact.
 
     Rows are compared by the 64 bits of ``fp`` first; only those left with a partner get their ``wide`` fingerprint
-    of ``prints`` (node, wide) and are compared by it.
+    of ``prints`` (node, wide) and are compared by it.  ``prints`` is as long as the corpus, so it is shuffled, not broadcast.
     """
     keys = ["bucket", "lo", "hi", "side", "node", "size", "exact"]
 
@@ -311,7 +314,7 @@ def near_sets(met: DataFrame, prints: DataFrame, gate: int, wide_gate: int, leas
 
     kinds = "bucket long, lo int, hi int, side int, node long, size long, exact boolean"
     left = map_arrow(_dealt(met, "size", "exact", "fp"), first, kinds)
-    left = left.join(bounded(prints), "node")
+    left = left.join(prints, "node")
     return map_arrow(_dealt(left.select(*keys, "wide"), "size", "exact", "wide"), second, "u long, v long")
 
 
@@ -415,11 +418,12 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes, counts): the FREQUENT shingles that most sets hold, sorted by hash.
+    """(shingle hashes, counts): the shingles that most sets hold, FREQUENT at most, sorted by hash.
 
     Tasks count COUNTED shingles at a time, over all sets, and leave out what is there less than OFTEN times; so a
     shingle that is not given has fewer sets than that for each such count, or is rarer than all that are given.
-    Counts only decide in which order shingles are looked at; no result depends on them.
+    Counts only decide in which order shingles are looked at; no result depends on them.  Where to stop is read from how
+    many shingles have each count (those of one count in 16 slices by hash), so no task sends its own best to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,8 +436,13 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield _often(np.concatenate(held), OFTEN)
 
-    counts = map_arrow(sets.select("own"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "h").limit(FREQUENT).toPandas()
+    counts = settle(map_arrow(sets.select("own"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    counts = counts.withColumn("rank", F.struct(-F.col("n"), F.shiftright("h", 28)))
+    held = counts.groupBy("rank").agg(F.count("*").alias("held"))
+    held = held.withColumn("held", F.sum("held").over(Window.orderBy("rank")))
+    last = held.where(F.col("held") <= FREQUENT).agg(F.max("rank").alias("last"))
+    top = counts.join(F.broadcast(last), F.col("rank") <= F.col("last")).select("h", "n").toPandas()
+    forget(sets.sparkSession, counts)
     h = top["h"].to_numpy(np.int64).astype(np.uint32)
     order = np.argsort(h)
     return h[order], top["n"].to_numpy(np.int64)[order]
@@ -545,7 +554,7 @@ def _exact_links(rows: DataFrame, texts: DataFrame, words: int, least: float) ->
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    met = texts.join(bounded(settle(rows.select(*keys, "node", "doc_id", "key").distinct())), ["doc_id", "key"])
+    met = texts.join(bounded(settle(rows.select(*keys, "node", "doc_id", "key").distinct()), SENT), ["doc_id", "key"])
     met = met.select(*keys, "node", "text").repartition(parts(rows.sparkSession), *keys)
     return map_arrow(met.sortWithinPartitions(*keys, "node"), run, "u long, v long")
 
@@ -668,11 +677,18 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     empty table gives none.  Columns of any name stay.
     """
     found = near_copies(docs, **options)
-    kept = settle(found.where("doc_id = component_id and key = component_key").groupBy(
-        F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")
-    ).agg(F.count("*").alias("_kept_rows")))
-    named = docs.withColumns({"_kept_id": F.col("doc_id").cast("long"), "_kept_key": F.xxhash64(text_of(docs))})
-    named = named.join(bounded(kept.drop("_kept_rows")), ["_kept_id", "_kept_key"], "left_semi")
-    if not kept.where("_kept_rows > 1").isEmpty():
-        named = named.dropDuplicates(["_kept_id", "_kept_key"])
+    ids = ["_kept_id", "_kept_key"]
+    fate = settle(found.groupBy(F.col("doc_id").alias(ids[0]), F.col("key").alias(ids[1])).agg(
+        F.bool_or((F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("component_key"))).alias("stays"),
+        F.count("*").alias("rows"),
+    ))
+    kept, gone = fate.where("stays"), fate.where("not stays")
+    few, many, most = fate.agg(F.count_if(~F.col("stays")), F.count_if("stays"), F.max(F.when(F.col("stays"), F.col("rows")))).first()
+    named = docs.withColumns({ids[0]: F.col("doc_id").cast("long"), ids[1]: F.xxhash64(text_of(docs))}).where(F.col(ids[0]).isNotNull())
+    if few <= many:  # the shorter list goes to all tasks
+        named = named.join(bounded(gone.select(ids), SENT), ids, "left_anti")
+    else:
+        named = named.join(bounded(kept.select(ids), SENT), ids, "left_semi")
+    if (most or 0) > 1:
+        named = named.dropDuplicates(ids)
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
