@@ -38,3 +38,11 @@ def test_nulls_loops_and_empty(spark):
     df = spark.createDataFrame([(1, None), (None, 2), (3, 3), (5, 4)], "u long, v long")
     assert sorted(map(tuple, components.components(df).collect())) == [(4, 4), (5, 4)]
     assert components.components(df.limit(0)).count() == 0
+
+
+def test_a_round_makes_no_broadcast(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "u long, v long")
+    done = components._star(components._star(df, large=True), large=False)
+    assert sorted(map(tuple, done.collect())) == [(2, 1), (3, 1), (5, 4)]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

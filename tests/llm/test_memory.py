@@ -1,10 +1,12 @@
 import os
 import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from trailmark.llm import toxicity
+from trailmark.llm import common, toxicity
 from trailmark.llm.common import map_arrow
 
 
@@ -39,3 +41,19 @@ def test_shards_are_cut_across_batches():
         batches = [whole.slice(i, size) for i in range(0, len(rows), size)]
         found = list(toxicity._shards(iter(batches)))
         assert [(s, [len(w) for w in words], labels.tolist()) for s, words, labels in found] == [(0, [2, 1, 0], [1, 0, 0]), (2, [1], [1]), (5, [2], [0])]
+
+
+@pytest.mark.parametrize("taken, collected", [(40, 0), (50, 0), (51, 1), (100, 1)])
+def test_a_driver_whose_heap_is_over_half_collects_its_garbage(taken, collected):
+    done = []
+    heap = SimpleNamespace(totalMemory=lambda: taken, maxMemory=lambda: 100)
+    lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap), System=SimpleNamespace(gc=lambda: done.append(1)))
+    common.collect_garbage(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang)))))
+    assert len(done) == collected
+
+
+def test_every_settled_table_sees_to_the_drivers_garbage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "collect_garbage", seen.append)
+    assert common.settle(spark.range(3)).count() == 3
+    assert len(seen) == 1

@@ -210,6 +210,23 @@ def test_no_table_as_long_as_the_corpus_is_broadcast(spark, monkeypatch):
     assert max(sent) <= 10
 
 
+def test_near_copies_are_merged_not_broadcast(spark, monkeypatch):
+    plans, settle = [], simhash.settle
+
+    def spied(df, **options):
+        df.collect()  # so that the plan is the one that was run
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, **options)
+
+    monkeypatch.setattr(simhash, "settle", spied)
+    rows = [(d, " ".join(f"w{d % 3}x{i}" for i in range(30 + d))) for d in range(9)]
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {d: d % 3 for d in range(9)}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p and "doc_id" not in p.split("BroadcastHashJoin")[1][:40]]
+
+
 @pytest.mark.parametrize("sent", [0, 100])
 @pytest.mark.parametrize("copies", [1, 3])
 def test_keep_one_by_either_list(spark, monkeypatch, sent, copies):

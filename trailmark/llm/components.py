@@ -13,14 +13,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
     Every node's links are moved to its smallest neighbour.  The smallest neighbour comes from an
     aggregate (combined before the shuffle) that is joined back, so a node with very many links is
-    a skewed join, which adaptive execution splits, and never one group in memory.
+    a skewed join, which adaptive execution splits, and never one group in memory.  Both sides lie shuffled
+    already, so they are merged: a broadcast in every round would only load the driver.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = both.join(least, "u")
+    met = both.join(least.hint("merge"), "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -314,7 +314,7 @@ def near_sets(met: DataFrame, prints: DataFrame, gate: int, wide_gate: int, leas
 
     kinds = "bucket long, lo int, hi int, side int, node long, size long, exact boolean"
     left = map_arrow(_dealt(met, "size", "exact", "fp"), first, kinds)
-    left = left.join(prints, "node")
+    left = left.join(_merged(prints), "node")
     return map_arrow(_dealt(left.select(*keys, "wide"), "size", "exact", "wide"), second, "u long, v long")
 
 
@@ -559,10 +559,16 @@ def _exact_links(rows: DataFrame, texts: DataFrame, words: int, least: float) ->
     return map_arrow(met.sortWithinPartitions(*keys, "node"), run, "u long, v long")
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """``side`` of a join by shuffling and merging.  These tables grow with the corpus, and the driver, which makes a
+    broadcast, would hold one after another where they are still short."""
+    return side.hint("merge")
+
+
 def _cut(held: DataFrame, by: str, weight: Column, most: int, name: str) -> DataFrame:
     """``held`` with ``name``, which of the cuts of its group ``by`` a node is in, and ``name``s, how many there are."""
     cuts = held.groupBy(by).agg(F.ceil(F.sum(weight) / most).cast("int").alias(f"{name}s"))
-    return held.join(cuts, by).withColumn(name, F.pmod(F.xxhash64("node"), F.col(f"{name}s")).cast("int"))
+    return held.join(_merged(cuts), by).withColumn(name, F.pmod(F.xxhash64("node"), F.col(f"{name}s")).cast("int"))
 
 
 def _every(count: str) -> Column:
@@ -575,16 +581,16 @@ def _apart(held: DataFrame, by: str, labels: DataFrame, weight: Column, most: in
     A group's stragglers are the nodes that ``labels`` (node, component) do not join to its largest component.
     A group all in one component has none and goes.
     """
-    held = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = held.join(_merged(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     main = held.groupBy(by, "component").agg(F.sum(weight).alias("w")).groupBy(by).agg(
         F.max_by("component", F.struct("w", "component")).alias("main"), F.count("*").alias("n")
     ).where("n > 1")
-    held = held.join(main.drop("n"), by)
+    held = held.join(_merged(main.drop("n")), by)
     few = _cut(held.where("component <> main"), by, weight, most, "few")
     many = _cut(held, by, weight, most, "many")
     sides = few.select(by, "fews").distinct(), many.select(by, "manys").distinct()
-    one = few.join(sides[1], by).withColumn("hi", _every("manys")).withColumn("lo", F.col("few")).withColumn("side", F.lit(1))
-    two = many.join(sides[0], by).withColumn("lo", _every("fews")).withColumn("hi", F.col("many")).withColumn("side", F.lit(2))
+    one = few.join(_merged(sides[1]), by).withColumn("hi", _every("manys")).withColumn("lo", F.col("few")).withColumn("side", F.lit(1))
+    two = many.join(_merged(sides[0]), by).withColumn("lo", _every("fews")).withColumn("hi", F.col("many")).withColumn("side", F.lit(2))
     return one.unionByName(two, allowMissingColumns=True)
 
 
@@ -615,7 +621,7 @@ def near_copies(
     nodes = settle(every.groupBy("same").agg(
         F.min(F.struct("doc_id", "key", "row")).alias("first"), F.first("size").alias("size")
     ).select("same", "first.doc_id", "first.key", "first.row", "size"))
-    sets = settle(every.join(nodes.where("size > 0").select("same", "row"), ["same", "row"]).select("same", "size", "wide", "own"))
+    sets = settle(every.join(_merged(nodes.where("size > 0").select("same", "row")), ["same", "row"]).select("same", "size", "wide", "own"))
     signed = settle(every.select("doc_id", "key", "same"))
     forget(spark, every)
     known = frequent(sets)
@@ -633,19 +639,19 @@ def near_copies(
         near = near_sets(_apart(large, "bucket", labels, F.lit(1), piece), prints, gate, wide_gate, least)
         edges = edges.unionByName(_verified(_clusters(near, nodes), texts, words, least, labels))
     found = _labels(edges).withColumnRenamed("node", "same")
-    linked = nodes.join(found, "same")
+    linked = nodes.join(_merged(found), "same")
     by = linked.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"))
-    ids = linked.join(by, "component").select("same", "least")
+    ids = linked.join(_merged(by), "component").select("same", "least")
     own = F.coalesce("least", F.struct("doc_id", "key"))
-    ids = nodes.join(ids, "same", "left").select("same", own.alias("least"))
-    return signed.select("doc_id", "key", "same").join(settle(ids), "same").select(
+    ids = nodes.join(_merged(ids), "same", "left").select("same", own.alias("least"))
+    return signed.select("doc_id", "key", "same").join(_merged(settle(ids)), "same").select(
         "doc_id", "key", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("component_key")
     )
 
 
 def _clusters(near: DataFrame, nodes: DataFrame) -> DataFrame:
     found = _labels(near).withColumnRenamed("component", "cluster")
-    return found.join(nodes.select(F.col("same").alias("node"), "size", "doc_id", "key"), "node")
+    return found.join(_merged(nodes.select(F.col("same").alias("node"), "size", "doc_id", "key")), "node")
 
 
 def _verified(held: DataFrame, texts: DataFrame, words: int, least: float, labels: DataFrame | None = None) -> DataFrame:
