@@ -4,9 +4,10 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import pytest
 
-from trailmark.llm import common, toxicity
+from trailmark.llm import common, resampling, toxicity
 from trailmark.llm.common import map_arrow
 
 
@@ -57,3 +58,30 @@ def test_every_settled_table_sees_to_the_drivers_garbage(spark, monkeypatch):
     monkeypatch.setattr(common, "collect_garbage", seen.append)
     assert common.settle(spark.range(3)).count() == 3
     assert len(seen) == 1
+
+
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    yield
+    spark.conf.set(name, before)
+
+
+def block_tables(spark, since):
+    """(rows, row groups) of the files of each table of blocks that was settled after the first ``since``."""
+    out = []
+    for at in common._ours[spark.sparkContext.applicationId][since:]:
+        held = ds.dataset(at.removeprefix("file://"), format="parquet")
+        if "indptr" in held.schema.names:
+            out.append([(f.metadata.num_rows, f.metadata.num_row_groups) for f in held.get_fragments() if f.metadata.num_rows])
+    return out
+
+
+def test_a_task_holds_one_block_of_features(spark, small_batches):
+    """A task with many blocks writes and reads them one by one."""
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('w', id, ' x') AS text").coalesce(1)
+    since = common.written(spark)
+    assert resampling.resampled(docs, docs.select("text")).count() == 50
+    assert block_tables(spark, since) == [[(5, 5)]]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, parts, settle
+from .common import map_arrow, parts, settle, settle_blocks
 
 #: Parameters: buckets of features, words of the longest feature, words a drawn document has at least, share drawn.
 BUCKETS, RUN, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, "2024"
@@ -248,7 +248,7 @@ def drawn(scored: DataFrame, by: str, least: int = LEAST_WORDS, percent: int = P
 
 def scores(docs: DataFrame, target: DataFrame, by: str = "doc_id", buckets: int = BUCKETS, run: int = RUN, seed: str = SEED) -> DataFrame:
     """(``by``, n_words, n_features, weight, score) of every document; its count matrix is written once and read twice."""
-    matrix = settle(blocks(docs, by, buckets=buckets, run=run), compression="zstd")
+    matrix = settle_blocks(blocks(docs, by, buckets=buckets, run=run))
     gain = gains(column_sums(matrix, buckets), column_sums(blocks(target.withColumn("_id", F.lit(0)), "_id", buckets=buckets, run=run), buckets), buckets)
     weighed = weights(matrix, gain).withColumnRenamed("id", by)
     return weighed.withColumn("score", F.col("weight") + noise(F.col(by), seed))
