@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 
-from trailmark.llm import common, resampling, toxicity
+from trailmark.llm import alignment, common, resampling, toxicity
 from trailmark.llm.common import map_arrow
 
 
@@ -85,3 +85,22 @@ def test_a_task_holds_one_block_of_features(spark, small_batches):
     since = common.written(spark)
     assert resampling.resampled(docs, docs.select("text")).count() == 50
     assert block_tables(spark, since) == [[(5, 5)]]
+
+
+def test_a_task_holds_one_block_of_links(spark, small_batches):
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('w', id, ' x') AS text").coalesce(1)
+    since = common.written(spark)
+    assert alignment.aligned(docs, *alignment.public_tokenizers_paths()).count() == 50
+    assert block_tables(spark, since) == [[(5, 5)]]
+
+
+def test_long_chunks_are_forgotten(monkeypatch):
+    """Texts without a space are single chunks: few of them, however long, fill what a worker remembers."""
+    monkeypatch.setattr(alignment, "REMEMBERED_BYTES", 100_000, raising=False)
+    monkeypatch.setattr(alignment, "AT_ONCE", 1 << 12)
+    made = alignment.Pair(*alignment.public_tokenizers_paths())
+    block = alignment.Block(made)
+    for i in range(100):
+        block.add("".join(f"x{(i * 1_000 + k) ** 3}" for k in range(500)))
+    block.count()
+    assert sum(map(len, made.index)) + sum(len(t) for t in made.texts if t) < 400_000

@@ -25,19 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, parts, settle
+from .common import map_arrow, parts, settle, settle_blocks
 
 #: Links whose number of documents every task holds: those in more documents than all links' sum divided by this,
 #: so no more links than this.
 HELD = 1 << 20
 #: Partial sums of one link are dealt to so many keys first.
 SALT = 16
-#: Chunks that a task remembers at most; it then starts anew.
-REMEMBERED = 400_000
+#: Chunks that a task remembers at most, and bytes of them, their groups and links; it then starts anew.
+REMEMBERED, REMEMBERED_BYTES = 200_000, 1 << 26
 #: Pairs expanded at once; links of a block's documents, after which it ends.
-EXPANDED, BLOCK = 1 << 22, 1 << 20
+EXPANDED, BLOCK = 1 << 22, 1 << 18
 #: Characters whose chunks are counted at once; a longer text is cut at a safe space behind so many.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 _BLOCK = (
     "doc array<{}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
@@ -98,6 +98,11 @@ class Pair:
         self.numbers = np.empty((1024, 4), np.int64)  # n_a, n_b, n_groups, n_links
         self.upto = np.zeros(1025, np.int64)  # where a chunk's links end, by its place + 1
         self.links, self.times = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.bytes = 0  # about what chunks, groups and links take
+
+    def full(self) -> bool:
+        """Whether it is time to forget: many chunks, or long ones, as texts without spaces are."""
+        return len(self.index) > REMEMBERED or self.bytes > REMEMBERED_BYTES
 
     def parts(self, text: str) -> Iterator[str]:
         """``text`` cut at safe spaces behind every AT_ONCE characters."""
@@ -176,6 +181,7 @@ class Pair:
         self.links[at : at + len(links)], self.times[at : at + len(links)] = links, times
         self.texts += [t if ok else None for t, ok in zip(texts, same, strict=True)]
         self.index.update(zip(chunks, range(start, end), strict=True))
+        self.bytes += int(sizes.sum()) + sum(map(len, texts)) + 16 * len(links)
 
     def _aligned(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple:
         """Numbers, groups text, number of links, and links with their times, of each chunk; ``ends`` are the chunks' last
@@ -295,7 +301,7 @@ class Block:
         if not self.waiting:
             return
         made = self.made
-        if len(made.index) > REMEMBERED:
+        if made.full():
             made.forget()
         cut = made.chunks([part for _, part in self.waiting])
         made.learn(set().union(*cut))
@@ -384,7 +390,7 @@ def aligned(docs: DataFrame, a: str, b: str) -> DataFrame:
     stays null.  Of links that are an A id's most frequent, ties all count.  An empty table gives no rows.
     Other columns, whatever their names, are left behind.
     """
-    made = settle(blocks(docs, a, b), compression="zstd")
+    made = settle_blocks(blocks(docs, a, b))
     return with_counts(made, settle(link_counts(made)), pair(a, b).width)
 
 
