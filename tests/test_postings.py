@@ -1,9 +1,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from trailmark import plans
 from trailmark.functions.query import Operand
 from trailmark.operators import postings, search
 from trailmark.tables import delete, kept, write
@@ -134,3 +136,29 @@ def test_texts_are_listed_once_and_repeats_brought_together(spark):
     }
     plan = postings.build(docs.where("id = 3"))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan and "Scan parquet" in plan
+
+
+@pytest.fixture(scope="module")
+def long_texts(tmp_path_factory):
+    """Tables with words behind 32,768 characters, and in a run of over 2,040 of them."""
+    at = tmp_path_factory.mktemp("long")
+    far, run = "a " * 20_000, "x," * 1_100
+    texts = [far + "und", far + "und die", run + "und", run + "und die", far + "that the", far + "that the und", "that " + run[:-1] + " the", run + "that the", None]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (i BIGINT, x VARCHAR)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    for name, columns in {"documents": "i AS doc_id, x AS text", "conversations": "i % 5 AS conv_id, i AS turn, 'user' AS role, x AS text", "pages": "i AS page_id, x AS html"}.items():
+        db.execute(f"CREATE VIEW {name} AS SELECT {columns} FROM t")
+        db.execute(f"COPY {name} TO '{at}/{name}.parquet'")
+    return str(at), db
+
+
+def both(spark, long_texts, name):
+    at, db = long_texts
+    made = plans.QUERIES[name](spark, at)
+    return sorted(map(tuple, made.collect())), sorted(db.execute(f"SELECT {', '.join(made.columns)} FROM ({plans.SQL[name]})").fetchall())
+
+
+def test_match_reads_whole_texts(spark, long_texts):
+    got, want = both(spark, long_texts, "search_match")
+    assert got == want == [(0,), (2,), (5,)]
