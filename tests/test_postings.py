@@ -162,3 +162,9 @@ def both(spark, long_texts, name):
 def test_match_reads_whole_texts(spark, long_texts):
     got, want = both(spark, long_texts, "search_match")
     assert got == want == [(0,), (2,), (5,)]
+
+
+def test_phrase_reads_whole_texts(spark, long_texts):
+    """Words on both sides of a long run are not neighbours."""
+    got, want = both(spark, long_texts, "search_phrase")
+    assert got == want == [(4,), (7,)]
