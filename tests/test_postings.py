@@ -168,3 +168,10 @@ def test_phrase_reads_whole_texts(spark, long_texts):
     """Words on both sides of a long run are not neighbours."""
     got, want = both(spark, long_texts, "search_phrase")
     assert got == want == [(4,), (7,)]
+
+
+def test_best_source_reads_whole_texts(spark, long_texts):
+    """Hits of every kind of row behind the cap and in long runs are found and counted."""
+    got, want = both(spark, long_texts, "search_best_source")
+    assert got == want
+    assert [(r[0], r[1], r[-1]) for r in got] == [("message", 0, 1), ("message", 1, 1), ("message", 2, 1), ("session", 4, 3), ("session", 5, 2), ("session", 6, 2), ("session", 7, 2)]
