@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmark import plans
 from trailmark.functions.query import Operand
 from trailmark.operators import postings, search
-from trailmark.tables import delete, kept, write
+from trailmark.tables import delete, kept, write, written
 
 WORDS = "the then brown quick fox a-b don't été 12 und".split()
 QUERIES = [
@@ -175,3 +175,15 @@ def test_best_source_reads_whole_texts(spark, long_texts):
     got, want = both(spark, long_texts, "search_best_source")
     assert got == want
     assert [(r[0], r[1], r[-1]) for r in got] == [("message", 0, 1), ("message", 1, 1), ("message", 2, 1), ("session", 4, 3), ("session", 5, 2), ("session", 6, 2), ("session", 7, 2)]
+
+
+def test_whole_texts_in_parts(spark, index, tmp_path):
+    """Parts by document make the same index, repeated documents included, and leave none of their lists."""
+    df, _ = index
+    docs = df.unionByName(df.limit(7))
+    want = sorted(map(tuple, postings.build(docs, whole=True).collect()))
+    before = written(spark)
+    postings.write_whole(docs, str(tmp_path / "index"))
+    made = postings.stored(spark, str(tmp_path / "index"))
+    assert written(spark) == before and made.select("wave").distinct().count() > 1
+    assert sorted(map(tuple, made.drop("wave").collect())) == want
